@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, neardup, quality, sharding, suffixes, tokens, topk, warc
+from . import bpe, mixing, neardup, pages, quality, sharding, suffixes, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op4_warc": op4_warc,
     "op5_topk": op5_topk,
     "op6_neardup": op6_neardup,
+    "op7_pages": op7_pages,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,

@@ -46,7 +46,7 @@ from .neardup import mix
 
 GRAM, SLAB, PERIOD = 32, 8, 36
 #: Bytes that a task looks at together; bits of a place in them.
-STRETCH, PLACE_BITS = 4 << 20, 24
+STRETCH, PLACE_BITS = 2 << 20, 24
 FIRST, SHARED, REMOVED, ASKED = 0, 1, 2, 3
 NO_KEY = -(1 << 63)
 
@@ -83,7 +83,7 @@ class Hashes:
     """64-bit hashes of any stretch of an array of bytes, vectorised over places."""
 
     def __init__(self, data: np.ndarray, which: int):
-        n = 1 << max(16, len(data).bit_length())
+        n = STRETCH if len(data) > 1 << 16 else 1 << 16
         up, self.down = _powers(which, n)
         self.sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(_BYTES[which][data] * up[: len(data)], dtype="u8")])
 
