@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # White space as Unicode strip() and \s of the text rules mean it; Java's \s
 # and (?U)\s are both different sets, so the class is spelled out.
-SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
-SPACE_NO_LF = r"\x09\x0B-\x0D\x1C-\x20\x85\xA0  -     　"
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE_NO_LF = r"\x09\x0B-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
