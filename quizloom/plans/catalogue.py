@@ -1,14 +1,706 @@
-"""Named queries over the given tables, and the SQL each is checked against."""
+"""Named queries over the given tables, and the SQL each is checked against.
+
+The tables hold no quizzes, so each operator runs on the table nearest to what it is for:
+orders as attempts, line items as questions, customers as quizzes or users, conversations
+as comments, parts rendered as question sheets.  Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quizloom.functions import strings
+from quizloom.operators import dml, grading, questions, quiz_json, serving, text
+from quizloom.sources import files, provider
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Cleaned documents by language: how many, how many lines and characters went."""
+    c = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("lang", F.length(c).alias("before"), F.length(text.preprocess(c)).alias("after"), text.removed_line_count(c).alias("removed_lines"))
+    return docs.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("removed_lines").alias("removed_lines"), F.sum(F.col("before") - F.col("after")).alias("removed_chars")
+    )
+
+
+# -- text -----------------------------------------------------------------------------
+
+_REPEATED = r"""
+    lines AS (
+        SELECT doc_id, pos, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s
+        FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM src)
+    ),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM lines),
+    marked AS (SELECT *, s <> '' AND length(s) < 80 AND n >= 3 AS gone FROM counted),
+    left_over AS (
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS t, count(*) FILTER (WHERE gone) AS removed
+        FROM marked GROUP BY doc_id
+    )
+"""
+_PAGES = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?i)(page|trang)\s+\d+\s*(of|/|trên)\s*\d+', '', 'g'),
+    '(?m)^\s*\d{{1,4}}\s*$', '', 'g'), '(?m)^\s*[-–—]\s*\d+\s*[-–—]\s*$', '', 'g')"""
+_SPACES = r"regexp_replace(regexp_replace({0}, '[\t\v\f\r ]+', ' ', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g')"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_PAGES.format('text')} AS cleaned FROM documents")
+def text_page_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.remove_page_numbers(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {_SPACES.format('text')} AS cleaned FROM documents")
+def text_whitespace(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize_whitespace(F.col("text")).alias("cleaned"))
+
+
+@query(f"WITH src AS (SELECT doc_id, text AS t FROM documents), {_REPEATED} SELECT doc_id, t AS cleaned, CAST(removed AS INTEGER) AS removed FROM left_over")
+def text_repeated_lines(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.remove_repeated_lines(c).alias("cleaned"), text.removed_line_count(c).alias("removed"))
+
+
+@query(
+    f"WITH src AS (SELECT doc_id, {_PAGES.format('text')} AS t FROM documents), {_REPEATED}"
+    f" SELECT doc_id, {_STRIP.format(_SPACES.format('t'))} AS cleaned FROM left_over"
+)
+def text_preprocess(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.preprocess(F.col("text")).alias("cleaned"))
+
+
+@query(
+    r"""
+    WITH cut AS (SELECT doc_id, text, substr(text, 1, 800) AS head FROM documents),
+    ends AS (
+        SELECT *, CASE WHEN strpos(reverse(head), chr(10) || chr(10)) > 0 THEN length(head) - strpos(reverse(head), chr(10) || chr(10)) - 1 ELSE -1 END AS para,
+               CASE WHEN strpos(reverse(head), ' .') > 0 THEN length(head) - strpos(reverse(head), ' .') - 1 ELSE -1 END AS sent
+        FROM cut
+    )
+    SELECT doc_id, CASE WHEN length(text) <= 800 THEN text ELSE regexp_replace(
+        CASE WHEN para > 560 THEN substr(head, 1, para) WHEN sent > 640 THEN substr(head, 1, sent + 1) ELSE head END, '^\s+|\s+$', '', 'g') END AS cut
+    FROM ends
+    """
+)
+def text_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.smart_truncate(F.col("text"), 800).alias("cut"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE piece AS (
+        SELECT doc_id, text, 0 AS chunk_no, 0 AS start,
+               CASE WHEN length(text) > 600 AND p.at > 300 THEN p.at ELSE 600 END AS stop
+        FROM documents, LATERAL (SELECT CASE WHEN strpos(reverse(substr(text, 1, 600)), chr(10) || chr(10)) > 0
+             THEN length(substr(text, 1, 600)) - strpos(reverse(substr(text, 1, 600)), chr(10) || chr(10)) - 1 ELSE -1 END AS at) p
+        WHERE text IS NOT NULL
+        UNION ALL
+        SELECT doc_id, text, chunk_no + 1, stop - 100,
+               CASE WHEN stop + 500 < length(text) AND q.at > 300 THEN stop - 100 + q.at ELSE stop + 500 END
+        FROM piece, LATERAL (SELECT CASE WHEN strpos(reverse(substr(text, stop - 99, 600)), chr(10) || chr(10)) > 0
+             THEN length(substr(text, stop - 99, 600)) - strpos(reverse(substr(text, stop - 99, 600)), chr(10) || chr(10)) - 1 ELSE -1 END AS at) q
+        WHERE length(text) > 600 AND stop - 100 < length(text)
+    ), cut AS (
+        SELECT doc_id, chunk_no, CASE WHEN length(text) <= 600 THEN text
+               ELSE regexp_replace(substr(text, start + 1, stop - start), '^\s+|\s+$', '', 'g') END AS chunk,
+               max(chunk_no) OVER (PARTITION BY doc_id) AS last
+        FROM piece
+    )
+    SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM cut WHERE NOT (chunk_no = last AND chunk_no > 0 AND length(chunk) < 100)
+    """
+)
+def text_chunks(spark, sf_dir):
+    return text.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 600, 100)
+
+
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS text_length, CAST(length(text) // 4 AS INTEGER) AS tokens, substr(text, 1, 3000) AS head FROM documents")
+def text_tokens(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(c).alias("text_length"), text.estimate_tokens(c).alias("tokens"), F.substring(c, 1, 3000).alias("head"))
+
+
+@query(
+    f"""
+    SELECT doc_id, reason = '' AS is_valid, reason FROM (
+        SELECT doc_id, CASE WHEN text IS NULL OR s = '' THEN 'no_text' WHEN length(s) < 100 THEN 'too_short' ELSE '' END AS reason
+        FROM (SELECT doc_id, text, {_STRIP.format("text")} AS s FROM documents))
+    """
+)
+def text_validity(spark, sf_dir):
+    v = text.validity(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", v["is_valid"].alias("is_valid"), v["reason"].alias("reason"))
+
+
+@query(
+    r"""
+    SELECT p_partkey, p_name || ' Câu đầu trường ' || p_partkey AS restored, true AS was_legacy, false AS plain_is_legacy FROM part
+    """
+)
+def text_legacy(spark, sf_dir):
+    """Part names written in the legacy letters, and read back."""
+    plain = F.concat("p_name", F.lit(" Câu đầu trường "), F.col("p_partkey").cast("string"))
+    legacy = F.translate(plain, text.UNICODE[:74], text.LEGACY[:74])
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.from_legacy(legacy).alias("restored"), text.is_legacy(legacy).alias("was_legacy"), text.is_legacy(F.col("p_name")).alias("plain_is_legacy")
+    )
+
+
+@query(r"SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
+def text_clean_extracted(spark, sf_dir):
+    """Documents with carriage returns and NULs put in, cleaned."""
+    dirty = F.regexp_replace(F.col("text"), "\n", "  \r\n\t")
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_extracted(F.concat(dirty, F.lit("\x00"))).alias("cleaned"))
+
+
+# -- dedup keys ------------------------------------------------------------------------
+
+@query(
+    r"""
+    SELECT doc_id, k AS norm FROM (
+        SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n
+        FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS k FROM documents)) WHERE n = 1
+    """
+)
+def dedup_parser_key(spark, sf_dir):
+    key = strings.parser_key(F.col("text"))
+    return questions.first_of_each(table(spark, sf_dir, "documents"), [], key, "doc_id").select("doc_id", key.alias("norm"))
+
+
+@query(
+    r"""
+    SELECT doc_id, k AS norm FROM (
+        SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n
+        FROM (SELECT doc_id, translate(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '') AS k FROM documents)) WHERE n = 1
+    """
+)
+def dedup_generated_key(spark, sf_dir):
+    key = strings.generated_key(F.col("text"))
+    return questions.first_of_each(table(spark, sf_dir, "documents"), [], key, "doc_id").select("doc_id", key.alias("norm"))
+
+
+# -- serving ---------------------------------------------------------------------------
+
+@query(
+    """
+    SELECT (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT p_brand AS v FROM part WHERE p_size % 2 = 0 AND p_brand <> '')) AS p_brand,
+           (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT p_type AS v FROM part WHERE p_size % 2 = 0 AND p_type <> '')) AS p_type
+    """
+)
+def filter_options(spark, sf_dir):
+    found = serving.filter_options(table(spark, sf_dir, "part").where("p_size % 2 = 0"), "p_brand", "p_type")
+    return found.select(*(F.array_join(c, "|").alias(c) for c in found.columns))
+
+
+@query(
+    """
+    SELECT o_orderkey, o_orderdate, c_mktsegment, o_orderpriority, total, CAST(ceil(total / 20) AS BIGINT) AS pages FROM (
+        SELECT o_orderkey, o_orderdate, c_mktsegment, o_orderpriority, count(*) OVER () AS total
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE o_orderstatus = 'F' AND regexp_matches(c_mktsegment, 'build|auto', 'i') AND regexp_matches(o_orderpriority, '^[12]', 'i'))
+    ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20
+    """
+)
+def list_page(spark, sf_dir):
+    """Second page of orders, newest first, with the size of what it is a page of."""
+    orders, customers = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), table(spark, sf_dir, "customer")
+    found = serving.matching(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), c_mktsegment="build|auto", o_orderpriority="^[12]", c_name="")
+    rows = serving.page(found, [F.desc("o_orderdate"), F.asc("o_orderkey")], 2, 20)
+    return rows.select("o_orderkey", "o_orderdate", "c_mktsegment", "o_orderpriority").crossJoin(F.broadcast(serving.page_count(found, 20)))
+
+
+@query(
+    """
+    SELECT e.event_id, coalesce(c_name, '(deleted quiz)') AS quiz_title, round_even(value, 2) AS percentage,
+           strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microsecond', e.ts) % 1000000 = 0 THEN '' ELSE '.' || strftime(e.ts, '%f') END AS completed_at
+    FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50) e LEFT JOIN customer ON c_custkey = user_id * 7
+    """
+)
+def history_page(spark, sf_dir):
+    """A page of events as attempts; the quiz of some is gone."""
+    e = table(spark, sf_dir, "events")
+    attempts = e.select(F.col("event_id").alias("id"), (F.col("user_id") * 7).alias("quiz_id"), F.lit(1).alias("score"), F.lit(1).alias("total"), F.col("value").alias("percentage"), F.col("ts").alias("completed_at"))
+    quizzes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    return serving.history(attempts, quizzes, 2, 50).select(F.col("id").alias("event_id"), "quiz_title", "percentage", "completed_at")
+
+
+@query(
+    """
+    SELECT o_orderkey, o_totalprice, string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS questions
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice
+    """
+)
+def detail_ordered(spark, sf_dir):
+    quizzes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("quiz_id"), F.col("l_linenumber").alias("order"), F.col("l_partkey").alias("id"), F.lit("").alias("question_text"), F.lit("").alias("options")
+    )
+    shown = F.array_join(F.transform("questions", lambda q: F.concat_ws(":", q["order"].cast("string"), q["id"].cast("string"))), ",")
+    return serving.quiz_detail(quizzes, lines).select(F.col("id").alias("o_orderkey"), "o_totalprice", shown.alias("questions"))
+
+
+@query(
+    """
+    SELECT conv_id, turn, position, author, content FROM (
+        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS position,
+               coalesce(c_name, CASE WHEN role = 'assistant' THEN 'Assistant' END, 'Guest') AS author, text AS content
+        FROM conversations LEFT JOIN customer ON role = 'user' AND c_custkey = conv_id)
+    """
+)
+def comments_thread(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("role") == "user", F.col("conv_id")).alias("user_id"),
+        F.when(F.col("role") == "assistant", "Assistant").alias("guest_name"),
+        F.col("text").alias("content"),
+    )
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"))
+    return serving.thread(serving.with_author(talk, users), "conv_id", "turn", "content").select("conv_id", "turn", "position", "author", "content")
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'not_found' WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_custkey) THEN 'no_questions' ELSE '' END AS status
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0
+    """
+)
+def quiz_status(spark, sf_dir):
+    """Requests for quizzes that exist, don't, or have no questions."""
+    requests = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("quiz_id"))
+    quizzes = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"))
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("quiz_id"))
+    return serving.quiz_status(requests, quizzes, asked).select("o_orderkey", "status")
+
+
+@query(
+    """
+    SELECT id, CASE WHEN regexp_full_match(id, '[0-9a-fA-F]{24}') THEN '' ELSE 'invalid_id' END AS id_status
+    FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN substr(md5(c_name), 1, 23) WHEN c_custkey % 5 = 1 THEN 'g' || substr(md5(c_name), 1, 23) ELSE substr(md5(c_name), 1, 24) END AS id FROM customer)
+    """
+)
+def id_validity(spark, sf_dir):
+    h = F.md5("c_name")
+    made = F.when(F.col("c_custkey") % 5 == 0, F.substring(h, 1, 23)).when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("g"), F.substring(h, 1, 23))).otherwise(F.substring(h, 1, 24))
+    return serving.guarded_ids(table(spark, sf_dir, "customer").select(made.alias("id")), "id")
+
+
+@query(
+    """
+    SELECT l.doc_id, CASE WHEN l.doc_id % 11 = 0 THEN 'no_document_id' WHEN d.doc_id IS NULL THEN 'document_not_found' WHEN coalesce(d.text, '') = '' THEN 'empty_text' ELSE '' END AS skip_reason
+    FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.doc_id % 7 <> 0
+    """
+)
+def documents_of_quizzes(spark, sf_dir):
+    quizzes = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("doc_id").cast("string")).alias("document_id"))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("extracted_text"))
+    return serving.documents_of(quizzes, docs).select("doc_id", "skip_reason")
+
+
+@query("SELECT c_custkey AS id, c_name AS title, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, '') AS description, c_acctbal > 5000 AS is_public, false AS is_approved FROM customer")
+def quiz_summaries(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    quizzes = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("description"),
+        F.lit(1).alias("total_questions"), none.alias("difficulty"), none.alias("subject"), none.alias("chapter"), none.alias("exam_type"), none.alias("school"),
+        (F.col("c_acctbal") > 5000).alias("is_public"), F.lit(None).cast("boolean").alias("is_approved"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    return serving.quiz_summary(quizzes, own=True).select("id", "title", "description", "is_public", "is_approved")
+
+
+@query("SELECT doc_id FROM documents WHERE coalesce(lang, '') = '' OR coalesce(source, '') = '' OR coalesce(nullif(source, 'src3'), '') = ''")
+def lacking_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    quizzes = docs.withColumns({"subject": F.col("lang"), "chapter": F.col("source"), "exam_type": F.when(F.col("source") != "src3", F.col("source")), "school": F.col("source")})
+    return serving.lacking_metadata(quizzes).select("doc_id")
+
+
+# -- grading ---------------------------------------------------------------------------
+
+#: Line items as questions and answers: the right letter from the part, the chosen one from
+#: the supplier (none for every fifth); a second answer to some questions comes later.
+_GRADED = """
+    answers AS (
+        SELECT l_orderkey AS oid, l_linenumber::BIGINT * 1000000000 + l_partkey AS qid, 1000000 + l_suppkey AS pos, CASE WHEN l_suppkey % 5 < 4 THEN chr(CAST(65 + l_suppkey % 5 AS INTEGER)) END AS sel FROM lineitem
+        UNION ALL SELECT l_orderkey, l_linenumber::BIGINT * 1000000000 + l_partkey, 2000000 + l_suppkey, chr(CAST(65 + l_partkey % 4 AS INTEGER)) FROM lineitem WHERE l_suppkey % 7 = 0
+        UNION ALL SELECT l_orderkey, -1, 3000000 + l_suppkey, 'A' FROM lineitem WHERE l_suppkey % 11 = 0
+    ),
+    last AS (SELECT oid, qid, arg_max(coalesce(sel, '?'), pos) AS sel FROM answers GROUP BY oid, qid),
+    asked AS (SELECT DISTINCT l_orderkey AS oid, l_linenumber::BIGINT * 1000000000 + l_partkey AS qid, chr(CAST(65 + l_partkey % 4 AS INTEGER)) AS correct FROM lineitem),
+    graded AS (SELECT a.oid, a.qid, correct, nullif(sel, '?') AS sel, coalesce(nullif(sel, '?') = correct, false) AS ok FROM asked a LEFT JOIN last USING (oid, qid))
+"""
+
+
+def _questions_and_answers(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("oid"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("question_id"), "l_partkey", "l_suppkey"
+    )
+    letter = lambda c, n: F.char((F.lit(65) + c % n).cast("int"))
+    asked = li.select("oid", "question_id", letter(F.col("l_partkey"), 4).alias("correct_answer"), F.lit(None).cast("string").alias("explanation")).distinct()
+    first = li.select("oid", "question_id", (F.col("l_suppkey") + 1000000).alias("pos"), F.when(F.col("l_suppkey") % 5 < 4, letter(F.col("l_suppkey"), 5)).alias("selected"))
+    again = li.where("l_suppkey % 7 = 0").select("oid", "question_id", (F.col("l_suppkey") + 2000000).alias("pos"), letter(F.col("l_partkey"), 4).alias("selected"))
+    stray = li.where("l_suppkey % 11 = 0").select("oid", F.lit(-1).cast("long").alias("question_id"), (F.col("l_suppkey") + 3000000).alias("pos"), F.lit("A").alias("selected"))
+    return asked, first.unionByName(again).unionByName(stray)
+
+
+@query(f"WITH {_GRADED} SELECT oid, qid AS question_id, sel AS selected, correct AS correct_answer, ok AS is_correct, '' AS explanation FROM graded")
+def grade_submissions(spark, sf_dir):
+    asked, answers = _questions_and_answers(spark, sf_dir)
+    return grading.grade(asked, answers, ["oid"]).select("oid", "question_id", "selected", "correct_answer", "is_correct", "explanation")
+
+
+@query(
+    f"""
+    WITH {_GRADED}, t AS (
+        SELECT oid, count(*) FILTER (WHERE ok) AS score, count(*) AS total, count(*) FILTER (WHERE NOT ok AND sel IS NOT NULL) AS wrong, count(*) FILTER (WHERE sel IS NULL) AS skipped
+        FROM graded GROUP BY oid)
+    SELECT oid, score, total, wrong, skipped, round_even(score / total * 100, 2) AS percentage_rounded,
+           CASE WHEN score / total * 100 >= 80 THEN 'excellent' WHEN score / total * 100 >= 60 THEN 'good' WHEN score / total * 100 >= 40 THEN 'fair' ELSE 'poor' END AS band
+    FROM t
+    """
+)
+def tallies(spark, sf_dir):
+    asked, answers = _questions_and_answers(spark, sf_dir)
+    return grading.tally(grading.grade(asked, answers, ["oid"]), ["oid"]).drop("percentage")
+
+
+@query(f"WITH {_GRADED} SELECT oid, count(sel) AS answered, count(*) - count(sel) AS unanswered FROM graded GROUP BY oid")
+def answered_counts(spark, sf_dir):
+    asked, answers = _questions_and_answers(spark, sf_dir)
+    return grading.unanswered(asked, answers, ["oid"])
+
+
+@query(
+    """
+    WITH q AS (SELECT o_orderkey AS id, l_partkey AS question_id, arg_min(l_suppkey, l_linenumber * 1000000 + l_suppkey) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+    SELECT id, question_id, chr(CAST(65 + question_id % 4 AS INTEGER)) AS correct_answer, CASE WHEN s % 2 = 0 THEN chr(CAST(65 + s % 4 AS INTEGER)) END AS selected,
+           CASE WHEN s % 2 = 0 THEN 'choice ' || chr(CAST(65 + s % 4 AS INTEGER)) END AS choice_text, 'choice ' || chr(CAST(65 + question_id % 4 AS INTEGER)) AS right_text, 7 AS stored_score
+    FROM q
+    """
+)
+def attempt_detail(spark, sf_dir):
+    """Orders as attempts, graded on the questions as they are; the stored score is another."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("oid"), "l_partkey").agg(F.min_by("l_suppkey", F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).alias("s"))
+    answer = F.struct(F.col("l_partkey").alias("question_id"), F.char((F.lit(65) + F.col("s") % 4).cast("int")).alias("selected"))
+    given = li.groupBy("oid").agg(F.collect_list(F.when(F.col("s") % 2 == 0, answer)).alias("answers"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    attempts = orders.join(given, F.col("id") == F.col("oid")).select("id", F.col("id").alias("quiz_id"), "answers", F.lit(7).alias("score"), F.lit(9).alias("total"))
+    options = F.array(*(F.struct(F.lit(x).alias("key"), F.lit(f"choice {x}").alias("text")) for x in "ABCD"))
+    asked = li.select(
+        F.col("oid").alias("quiz_id"), F.col("l_partkey").alias("id"), F.lit(1).alias("order"), F.lit("").alias("question_text"), options.alias("options"),
+        F.char((F.lit(65) + F.col("l_partkey") % 4).cast("int")).alias("correct_answer"), F.lit("").alias("explanation"),
+    )
+    rows = grading.attempt_detail(attempts, orders.withColumn("title", F.lit("")), asked)
+    return rows.select("id", "question_id", "correct_answer", "selected", "choice_text", "right_text", "stored_score")
+
+
+# -- questions from text ------------------------------------------------------------------
+
+def _sheets(spark, sf_dir, noisy: bool) -> DataFrame:
+    """Parts as question sheets, 20 to a document: the expected rows come from the table itself."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    letter = F.char((F.lit(65) + F.col("p_partkey") % 4).cast("int"))
+    option = lambda x, w: F.concat(F.when(letter == x, "**").otherwise(""), F.lit(f"{x}. {w} "), size, F.when(letter == x, "**").otherwise("")) if noisy else F.concat(F.lit(f"{x}. {w} "), size)
+    head = F.concat(F.lit("Câu "), (F.col("p_partkey") % 20 + 1).cast("string"), F.lit(": Which size has "), "p_name", F.lit(" no. "), key, F.lit("?"))
+    if noisy:
+        parts = [head, F.lit("  choose one"), option("A", "small"), option("B", "wide"), option("C", "tall"), F.lit(""), option("D", "deep"), F.lit("or more")]
+    else:
+        parts = [head, F.concat_ws("  ", option("A", "small"), option("B", "wide")), option("C", "tall"), option("D", "deep"), F.concat(F.lit("Đáp án: "), letter)]
+    sheet = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat_ws("\n", *parts).alias("t")))), lambda s: s["t"]), "\n")
+    doc = F.floor(F.col("p_partkey") / 20)
+    made = table(spark, sf_dir, "part").groupBy(doc.alias("doc_id")).agg(sheet.alias("t"))
+    return made.select("doc_id", F.concat(F.lit("Chương "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(": parts\n"), "t").alias("text"))
+
+
+_SHOWN = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), "|")
+
+
+@query(
+    """
+    SELECT p_partkey // 20 AS doc_id, CAST(p_partkey % 20 + 1 AS INTEGER) AS number, 'Chương ' || (p_partkey // 20 % 9 + 1) || ': parts' AS chapter,
+           'Which size has ' || p_name || ' no. ' || p_partkey || '?' AS question_text,
+           'A=small ' || p_size || '|B=wide ' || p_size || '|C=tall ' || p_size || '|D=deep ' || p_size AS options,
+           chr(CAST(65 + p_partkey % 4 AS INTEGER)) AS correct_answer, 'inline' AS answer_source
+    FROM part
+    """
+)
+def mcq_roundtrip(spark, sf_dir):
+    found = questions.deduplicate(questions.parse_questions(_sheets(spark, sf_dir, False)))
+    return found.select("doc_id", "number", "chapter", "question_text", _SHOWN.alias("options"), "correct_answer", "answer_source")
+
+
+@query(
+    """
+    SELECT p_partkey // 20 AS doc_id, CAST(p_partkey % 20 + 1 AS INTEGER) AS number, 'Chương ' || (p_partkey // 20 % 9 + 1) || ': parts' AS chapter,
+           'Which size has ' || p_name || ' no. ' || p_partkey || '? choose one' AS question_text,
+           'A=small ' || p_size || '|B=wide ' || p_size || '|C=tall ' || p_size || '|D=deep ' || p_size || ' or more' AS options,
+           chr(CAST(65 + p_partkey % 4 AS INTEGER)) AS correct_answer, 'marked' AS answer_source
+    FROM part
+    """
+)
+def mcq_noisy(spark, sf_dir):
+    """As above, with continued lines, blank lines and the answer marked in bold."""
+    found = questions.parse_questions(_sheets(spark, sf_dir, True))
+    return found.select("doc_id", "number", "chapter", "question_text", _SHOWN.alias("options"), "correct_answer", "answer_source")
+
+
+@query(
+    """
+    SELECT p_partkey // 20 AS doc_id, 1 AS quiz_no, 'Chương ' || (p_partkey // 20 % 9 + 1) || ': parts' AS chapter,
+           'extracted from sheet ' || (p_partkey // 20) || ' - Chương ' || (p_partkey // 20 % 9 + 1) || ': parts' AS title, CAST(count(*) AS INTEGER) AS total_questions
+    FROM part GROUP BY p_partkey // 20
+    """
+)
+def quiz_per_chapter(spark, sf_dir):
+    found = questions.parse_questions(_sheets(spark, sf_dir, False))
+    titled = found.withColumn("base", files.title_from(F.concat(F.lit("sheet "), F.col("doc_id").cast("string")), F.lit("")))
+    return questions.group_chapters(titled, "doc_id", "base").drop("questions")
+
+
+@query(
+    """
+    SELECT doc_id, raw, raw AS distinct_questions, with_answer, solved, missing,
+           raw || ' questions, ' || with_answer || ' answered in the text' || CASE WHEN solved > 0 THEN ', ' || solved || ' solved' ELSE '' END
+           || CASE WHEN missing > 0 THEN ', ' || missing || ' without an answer' ELSE '' END AS description
+    FROM (SELECT p_partkey // 20 AS doc_id, count(*) AS raw, count(*) FILTER (WHERE p_partkey % 5 > 1) AS with_answer,
+                 count(*) FILTER (WHERE p_partkey % 5 = 0) AS solved, count(*) FILTER (WHERE p_partkey % 5 = 1) AS missing FROM part GROUP BY 1)
+    """
+)
+def answer_source_stats(spark, sf_dir):
+    """Answers of every fifth question are solved elsewhere, of every fifth missing."""
+    parts = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / 20).alias("doc_id"), (F.col("p_partkey") % 20).alias("number"), F.concat(F.col("p_name"), F.col("p_partkey").cast("string")).alias("question_text"),
+        F.when(F.col("p_partkey") % 5 > 1, "B").otherwise("").alias("correct_answer"), F.lit("inline").alias("answer_source"),
+    )
+    solved = parts.where("(doc_id * 20 + number) % 5 = 0").select("doc_id", "number", F.lit("C").alias("letter"))
+    return questions.answer_statistics(questions.resolve_answers(parts, solved, ["doc_id", "number"]), ["doc_id"])
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, n AS order_no, CAST((n - 1) // 3 AS INTEGER) AS batch_no, CAST((n - 1) % 3 + 1 AS INTEGER) AS batch_index
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)
+    """
+)
+def number_and_batch(spark, sf_dir):
+    found = questions.number_and_batch(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 3)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "order_no", "batch_no", "batch_index")
+
+
+@query(
+    """
+    SELECT o_custkey, batch_index, CASE WHEN o_custkey % 3 = 0 THEN 'P' || batch_index WHEN batch_index = 1 THEN 'X' WHEN batch_index % 2 = 0 THEN 'I' || batch_index END AS letter
+    FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS batch_index FROM orders)
+    """
+)
+def merge_solved(spark, sf_dir):
+    """Replies by index (with strays and repeats), or by position where a whole batch has no index."""
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    batch = table(spark, sf_dir, "orders").select("o_custkey", nth.alias("batch_index"))
+    i = F.col("batch_index")
+    placeless = F.col("o_custkey") % 3 == 0
+    by_index = batch.where(~placeless & (i % 2 == 0)).select("o_custkey", (i - 1).alias("pos"), i.alias("index"), F.concat(F.lit("I"), i.cast("string")).alias("letter"))
+    first = batch.where(~placeless & (i == 1)).select("o_custkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("o_custkey", (F.col("k") * 1000).alias("pos"), F.lit(1).alias("index"), F.when(F.col("k") == 2, "X").otherwise("W").alias("letter"))
+    stray = batch.where(~placeless & (i == 1)).select("o_custkey", F.lit(9999).alias("pos"), F.lit(9999).alias("index"), F.lit("S").alias("letter"))
+    by_place = batch.where(placeless).select("o_custkey", (i - 1).alias("pos"), F.lit(None).cast("int").alias("index"), F.concat(F.lit("P"), i.cast("string")).alias("letter"))
+    return questions.merge_solved(batch, by_index.unionByName(first).unionByName(stray).unionByName(by_place), ["o_custkey"]).select("o_custkey", "batch_index", "letter")
+
+
+@query(
+    """
+    SELECT source, lang, first_doc, n, row_number() OVER (PARTITION BY source ORDER BY first_doc) AS quiz_no
+    FROM (SELECT source, lang, min(doc_id) AS first_doc, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY source, lang)
+    """
+)
+def group_first_seen(spark, sf_dir):
+    """Documents of a source grouped by language, groups in order of first appearance."""
+    grouped = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).cast("int").alias("n"))
+    return grouped.withColumn("quiz_no", F.row_number().over(Window.partitionBy("source").orderBy("first_doc")))
+
+
+@query(
+    """
+    SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS heading FROM events
+    """
+)
+def carry_forward(spark, sf_dir):
+    over = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(over)
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce(heading, F.lit(-1)).alias("heading"))
+
+
+@query(
+    """
+    SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 9 THEN 0 WHEN 8 THEN 0 ELSE 2 END AS question_no,
+           CASE p_partkey % 10 WHEN 0 THEN 'bad_json' WHEN 1 THEN 'no_questions' WHEN 2 THEN 'not_a_list' WHEN 3 THEN 'missing_fields' WHEN 4 THEN 'option_count'
+                WHEN 5 THEN 'option_keys' WHEN 6 THEN 'answer' WHEN 7 THEN 'empty_text' ELSE '' END AS code,
+           p_partkey % 10 > 2 AS parses
+    FROM part
+    """
+)
+def json_validate(spark, sf_dir):
+    """Parts as generated quizzes of two questions, the second with a defect by key."""
+    kind = F.col("p_partkey") % 10
+    option = lambda i, x: F.struct(F.when((kind == 5) & (i == 3), "E").otherwise(x).alias("key"), F.when((kind == 7) & (i == 2), " ").otherwise(F.col("p_name")).alias("text"))
+    options = F.slice(F.array(*(option(F.lit(i), F.lit(x)) for i, x in enumerate("ABCD"))), F.lit(1), F.when(kind == 4, 2).otherwise(4))
+    sound = F.array(*(F.struct(F.lit(x).alias("key"), F.col("p_name").alias("text")) for x in "ABCD"))
+    question = lambda o, bad: F.to_json(F.struct(F.lit("What?").alias("question_text"), o.alias("options"), F.when(bad & (kind == 6), "E").when(~(bad & (kind == 3)), "A").alias("correct_answer")))
+    listed = F.concat(F.lit("["), question(sound, F.lit(False)), F.lit(","), question(options, F.lit(True)), F.lit("]"))
+    body = F.when(kind == 1, '{"title": "t"}').when(kind == 2, '{"questions": "none"}').otherwise(F.concat(F.lit('{"questions": '), listed, F.lit("}")))
+    fenced = F.when(kind == 0, "no JSON here").when(kind == 9, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    v = quiz_json.validate(F.col("reply"))
+    made = table(spark, sf_dir, "part").select("p_partkey", fenced.alias("reply"))
+    parses = F.coalesce(F.size(quiz_json.parse(F.col("reply"))["questions"]) > 0, F.lit(False))
+    return made.select("p_partkey", v["question_no"].alias("question_no"), v["code"].alias("code"), parses.alias("parses"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# -- changes -------------------------------------------------------------------------------
+
+@query(
+    """
+    SELECT 'quizzes' AS collection, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0 AND c_custkey = o_orderkey)
+    UNION ALL SELECT 'questions', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0 AND c_custkey = l_orderkey)
+    UNION ALL SELECT 'attempts', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal < 0 AND c_custkey = event_id)
+    """
+)
+def cascade_delete(spark, sf_dir):
+    deleted = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    quizzes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("quiz_id"))
+    attempts = table(spark, sf_dir, "events").select(F.col("event_id").alias("quiz_id"))
+    names = zip(("quizzes", "questions", "attempts"), ("id", "quiz_id", "quiz_id"), dml.cascade_delete(deleted, quizzes, asked, attempts), strict=True)
+    parts = [df.agg(F.lit(n).alias("collection"), F.count(F.lit(1)).alias("rows"), F.sum(c).alias("ids")) for n, c, df in names]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    """
+    SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 0 THEN coalesce(CASE WHEN l.quality IS NOT NULL THEN 'q' || l.quality END, CASE WHEN d.doc_id % 8 = 0 THEN '' END) ELSE d.source END AS source
+    FROM documents d LEFT JOIN labels l USING (doc_id)
+    """
+)
+def backfill_metadata(spark, sf_dir):
+    """Sources of every fourth document are lost, and filled from the labels where there are any."""
+    lost = F.when(F.col("doc_id") % 8 == 0, "").when(F.col("doc_id") % 4 != 0, F.col("source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", lost.alias("source"))
+    changes = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
+    return dml.backfill(docs, changes, "doc_id", ["source"])
+
+
+@query(
+    """
+    SELECT c_name AS google_id, 'old' AS email FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_name, 'new' FROM customer WHERE c_custkey % 3 <> 0 AND c_acctbal >= 0
+    """
+)
+def upsert_users(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    users = c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("google_id"), F.lit("old").alias("email"))
+    incoming = c.select(F.col("c_name").alias("google_id"), F.when(F.col("c_acctbal") >= 0, "new").otherwise("").alias("email"))
+    return dml.find_or_insert(users, incoming)[0]
+
+
+@query(
+    """
+    SELECT event_id, coalesce(CASE WHEN event_type <> 'error' THEN user_id END, (SELECT CASE WHEN count(*) = 1 THEN min(r_regionkey) END FROM region WHERE r_name = 'ASIA')) AS user_id FROM events
+    """
+)
+def orphan_assign(spark, sf_dir):
+    users = table(spark, sf_dir, "region").where("r_name = 'ASIA'").select(F.col("r_regionkey").cast("long").alias("id"))
+    attempts = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"))
+    return dml.assign_orphans(attempts, users)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'approved' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def approve_all(spark, sf_dir):
+    return dml.update_where(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "P", o_orderpriority="approved").select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT d.doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS labelled FROM documents d")
+def text_join_labels(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    return docs.join(labels, "doc_id", "left_semi").withColumn("labelled", F.lit(True)).unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("labelled", F.lit(False)))
+
+
+@query("SELECT CAST(to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus}) AS VARCHAR) AS json FROM orders")
+def json_export(spark, sf_dir):
+    return dml.as_json(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus")
+
+
+# -- sources ----------------------------------------------------------------------------------
+
+@query(
+    """
+    SELECT path, CASE WHEN ext IN ('pdf', 'docx', 'txt') THEN CASE WHEN n = 0 THEN 'empty_file' WHEN n > 2097152 THEN 'too_large' END ELSE 'unsupported_type' END AS error
+    FROM (SELECT c_name || CASE c_custkey % 6 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' WHEN 3 THEN '.tar.gz' WHEN 4 THEN '' ELSE '.v2.txt' END AS path,
+                 CASE c_custkey % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'txt' WHEN 3 THEN 'gz' WHEN 4 THEN '' ELSE 'txt' END AS ext,
+                 (c_custkey % 4) * 1000000 AS n FROM customer)
+    """
+)
+def upload_gate(spark, sf_dir):
+    kind = F.col("c_custkey") % 6
+    suffix = F.when(kind == 0, ".PDF").when(kind == 1, ".docx").when(kind == 2, ".txt").when(kind == 3, ".tar.gz").when(kind == 4, "").otherwise(".v2.txt")
+    made = table(spark, sf_dir, "customer").select(F.concat("c_name", suffix).alias("path"), ((F.col("c_custkey") % 4) * 1000000).alias("length"))
+    return files.gate(made, 2).select("path", "error")
+
+
+@query(
+    f"""
+    SELECT doc_id, s AS text, length(s) >= 100 AS is_valid, CASE WHEN length(s) >= 100 THEN 'completed' ELSE 'failed' END AS status
+    FROM (SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda s: {_STRIP.format("s")}), chr(10)), '^\\s+|\\s+$', '', 'g') AS s FROM documents)
+    """
+)
+def upload_text(spark, sf_dir):
+    """Documents as uploaded text files, with a byte order mark on every third."""
+    mark = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
+    made = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.concat(mark, F.encode("text", "UTF-8")).alias("content"))
+    out = files.extract(made.withColumn("length", F.length("content").cast("long")))
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "text", "is_valid", "status")
+
+
+@query(
+    r"""
+    SELECT doc_id, substr(string_split(regexp_replace(substr(text, 1, 3000), '^\s+|\s+$', '', 'g'), chr(10))[1], 1, 80) AS title, '' AS subject FROM documents
+    """
+)
+def metadata_offline(spark, sf_dir):
+    return provider.metadata(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "title", "subject")
+
+
+@query(
+    """
+    SELECT p_partkey // 20 AS doc_id, CAST(p_partkey % 20 + 1 AS INTEGER) AS number, 'A' AS correct_answer, 'solved' AS answer_source FROM part
+    """
+)
+def solve_offline(spark, sf_dir):
+    """Question sheets without answers, solved in batches by the offline provider."""
+    sheets = _sheets(spark, sf_dir, False).withColumn("text", F.regexp_replace("text", "Đáp án: [A-D]", ""))
+    found = questions.parse_questions(sheets)
+    solved = provider.solve(found, "doc_id", size=30)
+    batched = questions.number_and_batch(found, ["doc_id"], ["order"], 30)
+    merged = questions.merge_solved(batched.select("doc_id", "batch_no", "batch_index", "order"), solved, ["doc_id", "batch_no"]).select("doc_id", "order", "letter")
+    return questions.resolve_answers(found, merged, ["doc_id", "order"]).select("doc_id", "number", "correct_answer", "answer_source")

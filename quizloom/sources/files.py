@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quizloom.functions.strings import strip
 from quizloom.operators import dml, text
@@ -69,7 +70,7 @@ def pdf_text(data: bytes) -> str:
         return "\n\n".join(t for p in doc if (t := p.get_text("text")).strip())
 
 
-@F.pandas_udf("struct<text:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
 def _binary_text(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     rows: list[tuple[str | None, str | None]] = []
     for data, k in zip(content, kind, strict=True):
