@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,11 +133,15 @@ def chunk_documents(df: DataFrame, key: str, text: str, size: int = MAX_INPUT, o
     if not 0 <= overlap < size / 2:
         raise ValueError("the overlap must be less than half of the chunk size")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = batch[text].map(lambda t: list(enumerate(chunks(t, size, overlap))))
-            rows = batch[[key]].assign(part=parts).explode("part").dropna(subset=["part"])
-            yield pd.DataFrame({key: rows[key], "chunk_no": [n for n, _ in rows["part"]], "chunk": [c for _, c in rows["part"]]})
+            parts = [chunks(t, size, overlap) for t in batch.column(1).to_pylist()]
+            rows = [i for i, found in enumerate(parts) for _ in found]
+            numbers = [n for found in parts for n in range(len(found))]
+            texts = [c for found in parts for c in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[key, "chunk_no", "chunk"]
+            )
 
     schema = T.StructType([df.schema[key], T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
-    return df.select(key, text).mapInPandas(run, schema)
+    return df.select(key, text).mapInArrow(run, schema)

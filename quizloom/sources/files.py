@@ -52,7 +52,11 @@ def docx_text(data: bytes) -> str:
     """Paragraphs, then table rows with their cells joined by " | "."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    words = lambda e: "".join("\t" if t.tag == f"{_W}tab" else "\n" if t.tag in (f"{_W}br", f"{_W}cr") else t.text or "" for t in e.iter(f"{_W}t", f"{_W}tab", f"{_W}br", f"{_W}cr"))
+    marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+
+    def words(e: ElementTree.Element) -> str:
+        return "".join(marks.get(t.tag, t.text or "") for t in e.iter() if t.tag in marks or t.tag == f"{_W}t")
+
     parts = [words(p).strip() for p in body.findall(f"{_W}p")]
     for row in body.findall(f"{_W}tbl/{_W}tr"):
         cells = ["\n".join(words(p) for p in c.findall(f"{_W}p")).strip() for c in row.findall(f"{_W}tc")]
