@@ -24,7 +24,7 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content)."""
+    """(path, modificationTime, length, content); Spark's scan leaves empty files out."""
     return spark.read.format("binaryFile").load(path)
 
 
