@@ -51,25 +51,35 @@ def remove_page_numbers(c: Column) -> Column:
     return c
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda a column is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repeated_lines(c: Column) -> Column:
     """The stripped short lines that occur ``REPEATED_TIMES`` times or more: in a sorted
     array those are the ones equal to the entry two places on."""
     short = F.array_sort(F.filter(F.transform(lines(c), strip), lambda s: (s != "") & (F.length(s) < REPEATED_UNDER)))
-    ahead = F.slice(short, REPEATED_TIMES, F.greatest(F.size(short), F.lit(1)))
-    same = F.zip_with(short, ahead, lambda a, b: F.when(a == b, a))
-    return F.array_distinct(F.filter(same, lambda s: s.isNotNull()))
+
+    def same_ahead(found: Column) -> Column:
+        ahead = F.slice(found, REPEATED_TIMES, F.greatest(F.size(found), F.lit(1)))
+        return F.filter(F.zip_with(found, ahead, lambda a, b: F.when(a == b, a)), lambda s: s.isNotNull())
+
+    return F.array_distinct(_let(short, same_ahead))
 
 
 def remove_repeated_lines(c: Column) -> Column:
     """Without any occurrence of a repeated short line; other lines as they are."""
-    repeated = repeated_lines(c)
-    kept = F.filter(lines(c), lambda line: ~F.array_contains(repeated, strip(line)))
-    return F.when(F.size(repeated) > 0, F.array_join(kept, "\n")).otherwise(c)
+
+    def without(repeated: Column) -> Column:
+        kept = F.filter(lines(c), lambda line: ~F.array_contains(repeated, strip(line)))
+        return F.when(F.size(repeated) > 0, F.array_join(kept, "\n")).otherwise(c)
+
+    return _let(repeated_lines(c), without)
 
 
 def removed_line_count(c: Column) -> Column:
-    repeated = repeated_lines(c)
-    return F.size(F.filter(lines(c), lambda line: F.array_contains(repeated, strip(line))))
+    return _let(repeated_lines(c), lambda repeated: F.size(F.filter(lines(c), lambda line: F.array_contains(repeated, strip(line)))))
 
 
 def normalize_whitespace(c: Column) -> Column:

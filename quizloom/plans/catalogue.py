@@ -260,7 +260,7 @@ def detail_ordered(spark, sf_dir):
 @query(
     """
     SELECT conv_id, turn, position, author, content FROM (
-        SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS position,
+        SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS INTEGER) AS position,
                coalesce(c_name, CASE WHEN role = 'assistant' THEN 'Assistant' END, 'Guest') AS author, text AS content
         FROM conversations LEFT JOIN customer ON role = 'user' AND c_custkey = conv_id)
     """
@@ -496,7 +496,7 @@ def answer_source_stats(spark, sf_dir):
 
 @query(
     """
-    SELECT l_orderkey, l_linenumber, l_partkey, n AS order_no, CAST((n - 1) // 3 AS INTEGER) AS batch_no, CAST((n - 1) % 3 + 1 AS INTEGER) AS batch_index
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(n AS INTEGER) AS order_no, CAST((n - 1) // 3 AS INTEGER) AS batch_no, CAST((n - 1) % 3 + 1 AS INTEGER) AS batch_index
     FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)
     """
 )
@@ -507,7 +507,7 @@ def number_and_batch(spark, sf_dir):
 
 @query(
     """
-    SELECT o_custkey, batch_index, CASE WHEN o_custkey % 3 = 0 THEN 'P' || batch_index WHEN batch_index = 1 THEN 'X' WHEN batch_index % 2 = 0 THEN 'I' || batch_index END AS letter
+    SELECT o_custkey, CAST(batch_index AS INTEGER) AS batch_index, CASE WHEN o_custkey % 3 = 0 THEN 'P' || batch_index WHEN batch_index = 1 THEN 'X' WHEN batch_index % 2 = 0 THEN 'I' || batch_index END AS letter
     FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS batch_index FROM orders)
     """
 )
@@ -526,7 +526,7 @@ def merge_solved(spark, sf_dir):
 
 @query(
     """
-    SELECT source, lang, first_doc, n, row_number() OVER (PARTITION BY source ORDER BY first_doc) AS quiz_no
+    SELECT source, lang, first_doc, n, CAST(row_number() OVER (PARTITION BY source ORDER BY first_doc) AS INTEGER) AS quiz_no
     FROM (SELECT source, lang, min(doc_id) AS first_doc, CAST(count(*) AS INTEGER) AS n FROM documents GROUP BY source, lang)
     """
 )
