@@ -177,19 +177,34 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     in the order of the text, as often as they are taken; what is taken once and whole
     keeps its text as it is.  White space stays with the word before it."""
     columns = docs.columns
-    plan = mix_plan(docs, key, text, **options).where("taken > 0")
-    # copies of one row are interchangeable: the n-th goes with the n-th
-    nth = Window.partitionBy("__k", "__s", "__n").orderBy("__o")
-    numbered = docs.withColumns({"__k": F.col(key), "__s": F.col("source"), "__n": word_count(F.col(text)), "__o": F.xxhash64(text)}).withColumn("__i", F.row_number().over(nth))
-    plan = plan.select(F.col(key).alias("k"), F.col("source").alias("s"), F.col("size").alias("n"), "taken", "parts", F.row_number().over(Window.partitionBy(key, "source", "size").orderBy("offset")).alias("i"))
-    same = F.col("__k").eqNullSafe(F.col("k")) & F.col("__s").eqNullSafe(F.col("s")) & (F.col("__n") == F.col("n")) & (F.col("__i") == F.col("i"))
-    joined = numbered.join(plan, same)
-    words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"))
-    in_order = F.array_sort(F.transform("parts", lambda p: F.struct(p["first"].alias("first"), p["slot"].alias("slot"), p["words"].alias("words"))))
-    cut = F.array_join(F.transform(in_order, lambda p: F.array_join(F.slice(F.col("__words"), (p["first"] + 1).cast("int"), p["words"].cast("int")), "")), "")
-    distinct_parts = F.size(F.array_distinct(F.transform("parts", lambda p: p["first"])))
-    once = (F.col("taken") == F.col("n")) & (distinct_parts == F.size("parts"))
-    out = joined.withColumn("__words", F.when(~once, words)).withColumn(text, F.when(once, F.col(text)).otherwise(cut))
+
+    def same(k: Column, source: Column, n: Column) -> list[Column]:
+        return [k.isNull(), F.coalesce(k, F.lit(0)), source.isNull(), F.coalesce(source, F.lit("")), n]
+
+    # One row per document on either side, found by a hash of what tells documents apart, so
+    # that the texts are shuffled once; copies of one row are interchangeable: the n-th in
+    # order goes with the n-th.
+    plan = mix_plan(docs, key, text, **options)
+    named = [c.alias(f"o{i}") for i, c in enumerate(same(F.col(key), F.col("source"), F.col("size")))]
+    plan = plan.groupBy(F.xxhash64(*same(F.col(key), F.col("source"), F.col("size"))).alias("__h")).agg(
+        F.array_sort(F.collect_list(F.struct(*named, "offset", "taken", F.col("size").alias("n"), "parts"))).alias("__plans")
+    )
+    own = same(F.col(key), F.col("source"), word_count(F.col(text)))
+    nth = F.row_number().over(Window.partitionBy("__h").orderBy(*own[:4], "__n", F.xxhash64(text)))
+    numbered = docs.withColumns({"__h": F.xxhash64(*own), "__n": own[4]}).withColumn("__i", nth)
+    joined = numbered.join(plan, "__h").withColumn("__p", F.element_at("__plans", F.col("__i"))).where("__p.taken > 0")
+    # the last word too ends in white space, so that parts don't run together
+    words = F.regexp_extract_all(F.concat(F.col(text), F.lit(" ")), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)"))
+    in_order = F.array_sort(F.transform("__p.parts", lambda p: F.struct(p["first"].alias("first"), p["slot"].alias("slot"), p["words"].alias("words"))))
+
+    def cut(w: Column) -> Column:
+        return F.array_join(F.transform(in_order, lambda p: F.array_join(F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")), "")), "")
+
+    # words are taken apart once per text: inside a lambda a column is computed for each element
+    taken = F.regexp_replace(F.element_at(F.transform(F.array(words), cut), 1), r" \z", "")
+    distinct_parts = F.size(F.array_distinct(F.transform("__p.parts", lambda p: p["first"])))
+    once = (F.col("__p.taken") == F.col("__p.n")) & (distinct_parts == F.size("__p.parts"))
+    out = joined.withColumn(text, F.when(once, F.col(text)).otherwise(taken))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

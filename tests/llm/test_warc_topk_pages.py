@@ -66,7 +66,7 @@ def test_tile_with_scores_beyond_double_precision():
     ids, best, scores = topk.tile_best(np.array([0]), q, np.array([5, 6, 7]), c, 2)
     assert best.tolist() == [6, 7] and scores.tolist() == [(1 << 58) + 6] * 2
     with pytest.raises(OverflowError):
-        topk.tile_best(np.array([0]), q << 3, np.array([5, 6, 7]), c, 2)
+        topk.tile_best(np.array([0]), q << 4, np.array([5, 6, 7]), c, 2)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li>Home<li>About</ul></nav>
