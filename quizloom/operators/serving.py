@@ -116,3 +116,30 @@ def documents_of(quizzes: DataFrame, documents: DataFrame) -> DataFrame:
 def lacking_metadata(quizzes: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return quizzes.where(blank("subject") | blank("chapter") | blank("exam_type") | blank("school"))
+
+
+def lookup(df: DataFrame, **equal) -> DataFrame:
+    """The one row whose columns have the given values; equality reaches the scan's statistics."""
+    for column, value in equal.items():
+        df = df.where(F.col(column) == F.lit(value))
+    return df.limit(1)
+
+
+def check_requests(requests: DataFrame) -> DataFrame:
+    """Requests (selected, content, page, size) with the first rule they break as ``request_error``, "" if none."""
+    error = (
+        F.when(~F.coalesce(F.col("selected").rlike(r"\A[A-D]\z"), F.lit(False)), "selected")
+        .when(F.coalesce(F.col("content"), F.lit("")) == "", "content")
+        .when(~F.coalesce(F.col("page") >= 1, F.lit(False)), "page")
+        .when(~F.coalesce(F.col("size").between(1, 50), F.lit(False)), "size")
+        .otherwise("")
+    )
+    return requests.withColumn("request_error", error)
+
+
+def count_by_encoding(questions: DataFrame, quizzes: DataFrame, encodings: dict[str, Column]) -> DataFrame:
+    """Per quiz, how many questions refer to it under each encoding of its id."""
+    kinds = quizzes.select("id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("ref")) for k, c in encodings.items()))))
+    sums = questions.groupBy("quiz_id").agg(F.count(F.lit(1)).alias("n"))
+    joined = kinds.join(sums, kinds["ref"] == sums["quiz_id"], "left")
+    return joined.groupBy("id").agg(*(F.sum(F.when(F.col("kind") == k, F.coalesce("n", F.lit(0))).otherwise(0)).alias(k) for k in encodings))

@@ -333,6 +333,44 @@ def lacking_metadata(spark, sf_dir):
     return serving.lacking_metadata(quizzes).select("doc_id")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT 77) AND o_custkey >= 0")
+def point_lookup(spark, sf_dir):
+    return serving.lookup(table(spark, sf_dir, "orders"), o_orderkey=77).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    """
+    SELECT event_id, CASE WHEN event_id % 6 >= 4 THEN 'selected' WHEN event_id % 7 = 0 THEN 'content' WHEN event_id % 5 = 0 THEN 'page' WHEN user_id % 60 > 50 OR user_id % 60 = 0 THEN 'size' ELSE '' END AS request_error
+    FROM events
+    """
+)
+def request_checks(spark, sf_dir):
+    """Events as requests, some of which break a rule."""
+    e = F.col("event_id")
+    made = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(e % 6 < 4, F.char((F.lit(65) + e % 6).cast("int"))).when(e % 6 == 4, "E").alias("selected"),
+        F.when(e % 7 != 0, "text").alias("content"),
+        (e % 5).alias("page"),
+        (F.col("user_id") % 60).alias("size"),
+    )
+    return serving.check_requests(made).select("event_id", "request_error")
+
+
+@query(
+    """
+    SELECT o_orderkey AS id, CAST(count(l_orderkey) FILTER (WHERE l_orderkey % 2 = 0) AS BIGINT) AS by_text, CAST(count(l_orderkey) FILTER (WHERE l_orderkey % 2 = 1) AS BIGINT) AS by_hex
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey
+    """
+)
+def count_by_encoding(spark, sf_dir):
+    """Line items refer to even orders by their number as text, to odd ones in hexadecimal."""
+    key = F.col("l_orderkey")
+    asked = table(spark, sf_dir, "lineitem").select(F.when(key % 2 == 0, F.concat(F.lit("t"), key.cast("string"))).otherwise(F.concat(F.lit("h"), F.hex(key))).alias("quiz_id"))
+    quizzes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return serving.count_by_encoding(asked, quizzes, {"by_text": F.concat(F.lit("t"), F.col("id").cast("string")), "by_hex": F.concat(F.lit("h"), F.hex("id"))})
+
+
 # -- grading ---------------------------------------------------------------------------
 
 #: Line items as questions and answers: the right letter from the part, the chosen one from
