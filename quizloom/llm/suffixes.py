@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -335,10 +336,15 @@ def _sorted_buckets(window: int):
     return run
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 100) -> DataFrame:
-    """(key, spans): for each document that loses bytes, (start, n) of the windows that also
-    start earlier; a window removes its ``window`` bytes.  Null keys read as NO_KEY."""
-    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text), null keys as NO_KEY.  Both joins with texts take them in this form, so
+    that Spark shuffles the texts once and reuses the exchange."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))
+
+
+def removals(named: DataFrame, window: int = 100) -> DataFrame:
+    """(key, spans): for each document of :func:`keyed` that loses bytes, (start, n) of the
+    windows that also start earlier; a window removes its ``window`` bytes."""
     rows = named.mapInArrow(_block_rows(window), "gram long, body long, key long, packed long")
     judged = written(_judged(rows))
     asked = judged.where(F.col("kind") == ASKED).groupBy("key").agg(F.collect_list(F.struct("start", "n", "offset")).alias("blocks"))
@@ -378,10 +384,12 @@ def kept_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                 out.append((len(data), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            keys = batch.column(0)
+            keys = pc.if_else(pc.equal(keys, NO_KEY), pa.scalar(None, pa.int64()), keys)
+            yield pa.RecordBatch.from_arrays([keys, *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"))
-    joined = named.join(removals(docs, key, text, window), "key", "left").select("doc_id", "text", "spans")
+    named = keyed(docs, key, text)
+    joined = named.join(removals(named, window), "key", "left").select("key", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -409,7 +417,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     named = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)))
-    spans = removals(docs, key, text, window).withColumnsRenamed({"key": "__key", "spans": "__spans"})
+    spans = removals(keyed(docs, key, text), window).withColumnsRenamed({"key": "__key", "spans": "__spans"})
     out = named.join(spans, "__key", "left").select(*docs.columns, "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
