@@ -157,8 +157,8 @@ def _candidates(rows: DataFrame, used: DataFrame | None, percent: int) -> tuple[
     split = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     open_rows = written(rows.join(split, "bucket", "left_semi"))
     free = open_rows if used is None else open_rows.join(used, (open_rows["bucket"] == used["bucket"]) & (open_rows["doc_id"] == used["a"]), "left_anti")
-    best = free.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("m"), "n", "component")).alias("c"))
-    centres = written(best.select("bucket", (-F.col("c.m")).alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")))
+    best = free.groupBy("bucket").agg(F.max(F.struct("score", F.bitwise_not("doc_id").alias("m"), "n", "component")).alias("c"))
+    centres = written(best.select("bucket", F.bitwise_not("c.m").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")))
     pairs = open_rows.join(centres, "bucket").where(
         (F.col("component") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
     )
@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sketches = written(_sketches(docs, key, text, width))
     with_set = sketches.where("n > 0 AND doc_id IS NOT NULL")
     # equal sets: one vertex each, the least id
-    classes = with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("fp", "rep")
+    # written, so that the join below reads two shuffles and a hot set can be split
+    classes = written(with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("fp", "rep"))
     copies = written(with_set.select("doc_id", "fp").join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
     members = with_set.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
