@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rounds of the swap-or-not shuffle.
 ROUNDS = 8
@@ -140,15 +142,17 @@ def mix_plan(
     cap: int = 3,
     block_words: int = 64,
     shard_slots: int = 1024,
-    chunk_docs: int = 4096,
+    chunk_docs: int = 1024,
     seed: int = 7,
 ) -> DataFrame:
     """One row per document: (key, source, size, source_size, target, taken, parts), where
     ``parts`` lists (slot, first, words): the document's words that each slot of the mix takes."""
-    sized = docs.select(F.col(key), F.col("source"), word_count(F.col(text)).alias("size"))
+    # texts are read once; what follows works on a few bytes per document
+    sized = written(docs.select(F.col(key), F.col("source"), word_count(F.col(text)).alias("size")))
     placed, sizes = _packed(sized, key, block_words, chunk_docs)
     aims = targets(sizes, weights, cap)
     taken = block_draws(aims, block_words, cap, shard_slots, seed).groupBy("rank", "block").agg(F.collect_list("slot").alias("slots"))  # at most cap slots each
+    taken = taken.hint("merge")  # its estimate doesn't see the rows made from quotas, and it grows with the data
     small = aims.select(F.col("source").alias("s"), "source_size", "target", "rank")
     placed = placed.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("row", F.monotonically_increasing_id())
     spread = placed.where("size > 0").select(
