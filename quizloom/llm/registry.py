@@ -71,6 +71,16 @@ QUERIES: dict[str, Query] = {
 # What SQL can say of a query's rows is said whole; where it can't (trained cutoffs, draws,
 # vocabularies, slots of a filled table), tests hold the query against brute force.
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((CAST('0x' || substr(h, CAST((k // 4) * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d
+    """,
     "op5_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -87,4 +97,23 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op6_neardup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+        ), e AS (
+            SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), l AS (
+            SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+        ), reach(v, c) AS (
+            SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.c FROM reach r JOIN l ON r.v = l.a
+        )
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM s JOIN (SELECT v, min(c) AS component_id FROM reach GROUP BY v) ON v = doc_id
+    """,
 }
