@@ -11,7 +11,7 @@ picked rejects most bad documents, a good one weighing as much as ``WEIGHT`` bad
 rule that has no allowed cutoff, or none that gains, rejects nothing in that stratum.
 
 The text statistics are computed in Arrow tasks, one row at a time and independent of
-others.  The holdout is summed to one row per stratum, rule and cutoff before anything
+others, and written; texts are never shuffled.  The holdout is summed to one row per stratum, rule and cutoff before anything
 leaves the executors, so what the driver sees doesn't grow with the labels.
 
 Defined results: a null text has no words; a null key is kept as a row and matches no
@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
@@ -172,10 +174,11 @@ def judge(
 ) -> DataFrame:
     """(key, stratum, carried columns, statistics, base_failed, kept) for every document."""
     keep = list(dict.fromkeys([key, stratum, *(carry or [])]))
-    scored = with_stats(docs, keep, text)
-    # statistics are computed for the labelled documents first, then for all
-    labelled = docs.join(labels.where(F.col(key).isNotNull()).select(F.col(key)).distinct(), key, "left_semi")
-    chosen = choose_cutoffs(with_stats(labelled, [key, stratum], text), labels, key, stratum, max_false_rejection, delta, max_strata)
+    # texts are read once for the cutoffs; the labels meet a few numbers per document, not texts
+    scored = written(with_stats(docs, [key, stratum], text))
+    chosen = choose_cutoffs(scored, labels, key, stratum, max_false_rejection, delta, max_strata)
+    if carry:
+        scored = with_stats(docs, keep, text)
     known = sorted({s for s, _, _ in chosen} - {"*"})
     name = F.coalesce(F.col(stratum), F.lit("(null)"))
     at = F.when(name.isin(known), name).otherwise("*") if known else F.lit("*")
