@@ -468,7 +468,9 @@ def _sheets(spark, sf_dir, noisy: bool) -> DataFrame:
     return made.select("doc_id", F.concat(F.lit("Chương "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(": parts\n"), "t").alias("text"))
 
 
-_SHOWN = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), "|")
+def _shown():
+    """Options as one string."""
+    return F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit("="), o["text"])), "|").alias("options")
 
 
 @query(
@@ -482,7 +484,7 @@ _SHOWN = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(
 )
 def mcq_roundtrip(spark, sf_dir):
     found = questions.deduplicate(questions.parse_questions(_sheets(spark, sf_dir, False)))
-    return found.select("doc_id", "number", "chapter", "question_text", _SHOWN.alias("options"), "correct_answer", "answer_source")
+    return found.select("doc_id", "number", "chapter", "question_text", _shown(), "correct_answer", "answer_source")
 
 
 @query(
@@ -497,7 +499,7 @@ def mcq_roundtrip(spark, sf_dir):
 def mcq_noisy(spark, sf_dir):
     """As above, with continued lines, blank lines and the answer marked in bold."""
     found = questions.parse_questions(_sheets(spark, sf_dir, True))
-    return found.select("doc_id", "number", "chapter", "question_text", _SHOWN.alias("options"), "correct_answer", "answer_source")
+    return found.select("doc_id", "number", "chapter", "question_text", _shown(), "correct_answer", "answer_source")
 
 
 @query(

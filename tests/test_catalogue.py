@@ -43,3 +43,14 @@ def test_nothing_else_imports_the_optional_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(encoding="utf-8"), p
+
+
+def test_registry_needs_no_session():
+    """The queries can be listed before Spark is started."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=True)
+    assert int(said.stdout.split()[0]) >= int(said.stdout.split()[1]) > 40
