@@ -11,7 +11,15 @@ candidates: their number is bounded by documents * bands however large a bucket
 centre is the member that shares most buckets with others, so that the original of
 many edited copies is the centre wherever it occurs.  Candidates are confirmed on the
 full sets.  Buckets that still hold members of more than one component get another
-centre, as long as that finds links.
+centre, as long as that pays.
+
+What stays open is settled exactly: the documents of buckets that hold several components
+are joined by the prefixes of their full sets.  Shingles are ordered from rare to frequent,
+those that only one component holds before all others.  Two sets that are similar enough
+share a shingle so early that what follows it can still hold their overlap, so only such
+pairs are confirmed.  Sets are first compared by profile (shingle, size, how many shingles
+follow), then by component, and only then by document, so a family that shares its
+frequent shingles isn't paired; what remains of a hot profile is joined in a grid of parts.
 
 With 32 bands of 4 rows two sets at similarity 0.8 share no bucket with probability
 (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -39,7 +47,10 @@ from .components import connected_components
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-MAX_ROUNDS_WITHOUT_LINKS = 2
+#: Another round of stars pays if at least one in so many of the last round's pairs was a link.
+PAYING = 100
+#: Components of a profile that are joined in one part.
+PART = 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -152,17 +163,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _candidates(rows: DataFrame, used: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Star-shaped pairs of this round, and each bucket's centre.  rows: (bucket, doc_id, n, score, component)."""
+def _candidates(rows: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets with several components, and the star-shaped pairs of this round.
+    rows: (bucket, doc_id, n, score, component).  After the first round any member may be a centre."""
     split = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     open_rows = written(rows.join(split, "bucket", "left_semi"))
-    free = open_rows if used is None else open_rows.join(used, (open_rows["bucket"] == used["bucket"]) & (open_rows["doc_id"] == used["a"]), "left_anti")
-    best = free.groupBy("bucket").agg(F.max(F.struct("score", F.bitwise_not("doc_id").alias("m"), "n", "component")).alias("c"))
+    first = F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "doc_id")
+    best = open_rows.groupBy("bucket").agg(F.max(F.struct(first, F.bitwise_not("doc_id").alias("m"), "n", "component")).alias("c"))
     centres = written(best.select("bucket", F.bitwise_not("c.m").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")))
     pairs = open_rows.join(centres, "bucket").where(
         (F.col("component") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
     )
-    return pairs.select("a", F.col("doc_id").alias("b")).distinct(), centres.select("bucket", "a")
+    return open_rows, pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+
+
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, component, n, x, r) of members (doc_id, component): the shingles x that may be the
+    first that a set of n shares with a similar set of another component; r of the n follow, x included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = batch.column(2)[i].as_py()
+                x = np.frombuffer(data, "i8")
+                same = [pa.array(np.full(len(x), v, "i8")) for v in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), xxhash.xxh3_64_intdigest(data) - (1 << 63), len(x))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(x)], names=["doc_id", "component", "which", "n", "x"])
+
+    shingles = sets.join(members, "doc_id").select("doc_id", "component", "shingles").mapInArrow(run, "doc_id long, component long, which long, n long, x long")
+    seen = shingles.groupBy("x").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    common = written(seen.where("lo <> hi").select("x", "f"))
+    ordered = shingles.join(common, "x").groupBy("doc_id", "component", "which", "n").agg(F.sort_array(F.collect_set(F.struct("f", "x"))).alias("xs"))
+    # of n shingles the first n - ceil(n * percent / 100) + 1; those of one component alone come before xs
+    longest = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1 - (F.col("n") - F.size("xs"))
+    early = ordered.where(longest > 0).select("doc_id", "component", "n", F.size("xs").alias("held"), F.posexplode(F.slice("xs", 1, longest.cast("int"))).alias("at", "s"))
+    return written(early.select("doc_id", "component", "n", F.col("s.x").alias("x"), (F.col("held") - F.col("at")).cast("long").alias("r")))
+
+
+def _left_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of members (doc_id, component) in different components that can be similar enough."""
+    prefixes = _prefixes(members, sets, percent)
+    groups = written(prefixes.select("x", "n", "r", "component").distinct())
+    profiles = written(groups.groupBy("x", "n", "r").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")))
+    named = lambda df, side: df.select("x", *(F.col(c).alias(c + side) for c in df.columns if c != "x"))
+    met = named(profiles, "_a").join(named(profiles, "_b"), "x").where(
+        "(n_a < n_b OR n_a = n_b AND r_a <= r_b) AND least(lo_a, lo_b) <> greatest(hi_a, hi_b)"
+        f" AND 100 * n_a >= {percent} * n_b AND {100 + percent} * least(r_a, r_b) >= {percent} * (n_a + n_b)"
+    )
+    met = written(met.select("x", "n_a", "r_a", "n_b", "r_b", F.ceil(F.sqrt(F.col("k_a").cast("double") * F.col("k_b")) / PART).cast("long").alias("parts")))
+    # a grid of parts: a component is in one row of it as a, in one column as b
+    part = lambda side: F.pmod(F.xxhash64("component" + side), "parts")
+    all_parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    on = ["x", "n_a", "r_a", "n_b", "r_b"]
+    left = named(groups, "_a").join(met, ["x", "n_a", "r_a"]).select(*on, "component_a", part("_a").alias("p"), all_parts.alias("q"))
+    right = named(groups, "_b").join(met, ["x", "n_b", "r_b"]).select(*on, "component_b", part("_b").alias("q"), all_parts.alias("p"))
+    differ = "component_a <> component_b AND (n_a <> n_b OR r_a <> r_b OR component_a < component_b)"
+    apart = left.join(right, [*on, "p", "q"]).where(differ)
+    pairs = apart.join(named(prefixes, "_a"), ["x", "n_a", "r_a", "component_a"]).join(named(prefixes, "_b"), ["x", "n_b", "r_b", "component_b"])
+    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -181,27 +238,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = written(rows.drop("in_bucket").join(scores, "doc_id"))
     sets = written(_sets(docs, key, text, width, scores.select("doc_id")))
 
-    links, used, tested, idle = copies, None, None, 0
-    labels = None
-    while idle < MAX_ROUNDS_WITHOUT_LINKS:
-        named = rows.withColumn("component", F.col("doc_id"))
-        if labels is not None:
-            named = rows.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        pairs, centres = _candidates(named, used, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            break
+    links, tested, labels, turn = copies, None, None, 0
+    rows = rows.withColumn("component", F.col("doc_id"))
+
+    def confirmed(pairs: DataFrame) -> tuple[int, DataFrame]:
+        nonlocal tested
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        used = centres if used is None else used.unionByName(centres)
-        found = written(_confirmed(pairs, sets, percent))
-        if found.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        links = links.unionByName(found)
-        labels = connected_components(links)
+        return pairs.count(), written(_confirmed(pairs, sets, percent))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        known = labels.select(F.col("v").alias("doc_id"), F.col("component").alias("now"))
+        return rows.join(known, "doc_id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+    while True:
+        rows, pairs = _candidates(rows, turn, percent)
+        n_pairs, found = confirmed(pairs)
+        n_found, turn = found.count(), turn + 1
+        if n_found:
+            links = links.unionByName(found)
+            labels = connected_components(links)
+            rows = labelled(rows)
+        if PAYING * n_found <= n_pairs:
+            break
+    # closed buckets stay closed; what the stars left open is settled
+    still = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    members = written(rows.join(still, "bucket", "left_semi").select("doc_id", "component").distinct())
+    if not members.isEmpty():
+        _, found = confirmed(_left_open(members, sets, percent))
+        if not found.isEmpty():
+            links, labels = links.unionByName(found), None
     if labels is None:
         labels = connected_components(links)
     named = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left")

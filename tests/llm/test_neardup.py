@@ -37,6 +37,20 @@ def test_against_all_pairs(spark, width):
     assert got == brute(rows, width)
 
 
+def test_pairs_inside_a_family_below_the_threshold(spark):
+    """Pages of one template share 78% with each other; only few pairs inside the family share more."""
+    for n_shared, extra in ((175, 0), (150, 25)):
+        rows = []
+        for i in range(240):
+            own = [f"p{i // 4}y{i % 2}x{j}" for j in range(8)] if i >= 220 else [f"q{i}x{j}" for j in range(8)]
+            half = [f"h{i % 2}x{j}" for j in range(extra)]  # two halves of a family, with more in common
+            rows.append((i, " ".join([f"t{j}" for j in range(n_shared)] + half + own + [f"o{i}x{j}" for j in range(18 if not extra else 19 + i % 3)])))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()}
+        want = brute(rows, 1)
+        assert got == want
+        assert 1 < len({c for _, c in got.values()}) < 240
+
+
 def test_edges(spark):
     long = " ".join(f"w{i * i % 99991}" for i in range(40_000))
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n", "c"), (4, "One", "d"), (5, "one", "e"), (None, "one", "f"), (None, None, "g"), (7, long, "h"), (8, long + " x", "i"), (9, long, "j"), (9, long, "j")]
