@@ -68,17 +68,16 @@ class Page:
     """Blocks of a page in order, each with the elements around it, and its paths' counts and text."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], str]] = []
-        self.counts: dict[str, int] = {}
-        self.furniture: set[str] = set()
-        stack: list[tuple[str, str]] = []  # (tag, path)
+        self.blocks: list[tuple[tuple[str, ...], str]] = []  # of what isn't furniture
+        self.counts: dict[str, int] = {}  # of elements that aren't furniture
+        stack: list[tuple[str, str, bool]] = []  # (tag, path, whether it is in furniture)
         text: list[str] = []
 
         def end_block() -> None:
             if text:
                 joined = " ".join(entities.unescape("".join(text)).split())
-                if joined:
-                    self.blocks.append((tuple(p for _, p in stack), joined))
+                if joined and not (stack and stack[-1][2]):
+                    self.blocks.append((tuple(p for _, p, _ in stack), joined))
                 text.clear()
 
         def pop(tag: str, within: frozenset[str] = frozenset()) -> None:
@@ -118,11 +117,10 @@ class Page:
             named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(m[4])} if m[4] else {}
             label = f"{tag}.{'.'.join(named['class'].split())}" if named.get("class") else tag
             path = f"{stack[-1][1]}/{label}" if stack else label
-            inside = bool(stack) and stack[-1][1] in self.furniture
-            if inside or self._is_furniture(tag, named, [t for t, _ in stack]):
-                self.furniture.add(path)
-            self.counts[path] = self.counts.get(path, 0) + 1
-            stack.append((tag, path))
+            furniture = bool(stack) and stack[-1][2] or self._is_furniture(tag, named, [t for t, _, _ in stack])
+            if not furniture:
+                self.counts[path] = self.counts.get(path, 0) + 1
+            stack.append((tag, path, furniture))
         text.append(source[at:])
         end_block()
 
@@ -141,16 +139,13 @@ class Page:
         """Characters of text in each element that isn't furniture."""
         found: dict[str, int] = {}
         for paths, text in self.blocks:
-            if not paths or paths[-1] not in self.furniture:
-                for p in set(paths):
-                    found[p] = found.get(p, 0) + len(text)
+            for p in set(paths):
+                found[p] = found.get(p, 0) + len(text)
         return found
 
     def text_of(self, slot: str | None) -> str:
         parts = []
         for paths, text in self.blocks:
-            if paths and paths[-1] in self.furniture:
-                continue
             if slot is not None and slot not in paths:
                 continue
             if any(p.rpartition("/")[2].partition(".")[0] == "header" for p in paths) and paths[-1].rpartition("/")[2].partition(".")[0] not in HEADINGS:
@@ -197,7 +192,7 @@ def templates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 for host, page, source in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
                     p = Page(source)
                     held = p.chars()
-                    rows.extend((host, page, path, n, held.get(path, 0)) for path, n in p.counts.items() if path not in p.furniture)
+                    rows.extend((host, page, path, n, held.get(path, 0)) for path, n in p.counts.items())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

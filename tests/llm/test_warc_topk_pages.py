@@ -99,3 +99,11 @@ def test_pages_query_against_a_direct_reading(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", body))
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_furniture_is_told_by_element_not_by_path():
+    words = "the article's own words " * 20
+    for mark in ('<div id="header">', '<div role="navigation">'):
+        page = pages.Page(f'<body><div id="intro">before {words}</div>{mark}<div>links</div></div><div id="content"><p>{words}</p></div></body>')
+        text = page.text_of(None)
+        assert text.count("article's") == 40 and "links" not in text
