@@ -11,7 +11,9 @@
    the slots of one hold the tokens of the next.  The template is one small row per host.
 4. Slots.  Of the template's elements that aren't page furniture, the main slot is the
    article (the largest one), else the innermost element that holds most of the text of
-   the one around it.  Its text is taken without furniture nested in it.
+   the one around it.  Its text is taken without furniture nested in it.  Furniture is told
+   by element and role, and by names where they aren't those of an element that is or holds
+   the page's largest article, else its main, else most of its text.
 
 A page without its host's main slot, or on a host without a template, is judged by its own
 elements.
@@ -70,14 +72,16 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[str, ...], str]] = []  # of what isn't furniture
         self.counts: dict[str, int] = {}  # of elements that aren't furniture
-        stack: list[tuple[str, str, bool]] = []  # (tag, path, whether it is in furniture)
+        elements: list[tuple[int, str, str, bool, bool]] = []  # (parent, tag, path, in furniture by element or role, named like furniture)
+        found: list[tuple[int, str]] = []  # blocks with their innermost elements
+        stack: list[tuple[str, int]] = []  # (tag, element)
         text: list[str] = []
 
         def end_block() -> None:
             if text:
                 joined = " ".join(entities.unescape("".join(text)).split())
-                if joined and not (stack and stack[-1][2]):
-                    self.blocks.append((tuple(p for _, p, _ in stack), joined))
+                if joined:
+                    found.append((stack[-1][1] if stack else -1, joined))
                 text.clear()
 
         def pop(tag: str, within: frozenset[str] = frozenset()) -> None:
@@ -116,22 +120,57 @@ class Page:
             end_block()
             named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(m[4])} if m[4] else {}
             label = f"{tag}.{'.'.join(named['class'].split())}" if named.get("class") else tag
-            path = f"{stack[-1][1]}/{label}" if stack else label
-            furniture = bool(stack) and stack[-1][2] or self._is_furniture(tag, named, [t for t, _, _ in stack])
-            if not furniture:
-                self.counts[path] = self.counts.get(path, 0) + 1
-            stack.append((tag, path, furniture))
+            parent = stack[-1][1] if stack else -1
+            path = f"{elements[parent][2]}/{label}" if stack else label
+            furniture = bool(stack) and elements[parent][3] or self._is_furniture(tag, named, [t for t, _ in stack])
+            stack.append((tag, len(elements)))
+            elements.append((parent, tag, path, furniture, self._is_named(tag, named)))
         text.append(source[at:])
         end_block()
+        self._settle(elements, found)
+
+    def _settle(self, elements: list[tuple[int, str, str, bool, bool]], found: list[tuple[int, str]]) -> None:
+        """Keeps what isn't furniture; a name makes none of the element that is or holds the main slot."""
+        held = [0] * len(elements)
+        total = 0
+        for at, text in found:
+            if at < 0 or not elements[at][3]:
+                total += len(text)
+                if at >= 0:
+                    held[at] += len(text)
+        for i in range(len(elements) - 1, -1, -1):
+            if elements[i][0] >= 0:
+                held[elements[i][0]] += held[i]
+        slot = -1
+        for tag in ("article", "main"):
+            if slot < 0:
+                slot = max((i for i, e in enumerate(elements) if e[1] == tag and held[i]), key=lambda i: (held[i], -i), default=-1)
+        if slot < 0:
+            main = {i for i, n in enumerate(held) if 2 * n > total}
+        else:
+            main = set()
+            while slot >= 0:
+                main.add(slot)
+                slot = elements[slot][0]
+        gone: list[bool] = []
+        around: list[tuple[str, ...]] = []
+        for i, (parent, _, path, furniture, named) in enumerate(elements):
+            gone.append(furniture or (parent >= 0 and gone[parent]) or (named and i not in main))
+            around.append((*(around[parent] if parent >= 0 else ()), path))
+            if not gone[i]:
+                self.counts[path] = self.counts.get(path, 0) + 1
+        self.blocks = [(around[at] if at >= 0 else (), text) for at, text in found if at < 0 or not gone[at]]
 
     @staticmethod
     def _is_furniture(tag: str, named: dict[str, str], around: list[str]) -> bool:
         if tag in FURNITURE:
             # an article's own header holds its headings
             return not (tag == "header" and any(t in MAIN for t in around))
-        if named.get("role", "").lower() in FURNITURE_ROLES:
-            return True
-        if tag in ("html", "body", "main") or (tag in HEADINGS):
+        return named.get("role", "").lower() in FURNITURE_ROLES
+
+    @staticmethod
+    def _is_named(tag: str, named: dict[str, str]) -> bool:
+        if tag in ("html", "body", "main", "header") or tag in HEADINGS:
             return False
         return any(FURNITURE_NAMES.search(named.get(k) or "") for k in ("class", "id"))
 

@@ -107,3 +107,11 @@ def test_furniture_is_told_by_element_not_by_path():
         page = pages.Page(f'<body><div id="intro">before {words}</div>{mark}<div>links</div></div><div id="content"><p>{words}</p></div></body>')
         text = page.text_of(None)
         assert text.count("article's") == 40 and "links" not in text
+
+
+def test_a_name_alone_discards_no_main_slot():
+    words = "the article's own words " * 20
+    for name in ("content with-sidebar", "post has-sidebar", "layout no-sidebar", "site-content has-header"):
+        for tag in ("article", "div"):
+            page = pages.Page(f'<body><div class="sidebar">links</div><div class="{name}"><{tag} class="{name}"><p>{words}</p><div class="share">post this</div></{tag}></div></body>')
+            assert page.text_of(pages.main_slot(page.chars())) == words.strip()
