@@ -239,11 +239,14 @@ def templates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     found = named.mapInArrow(tokens, "host string, page long, path string, n long, chars long")
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit(1 << 31)))
     vectors = found.groupBy("host", "path").agg(part(1).alias("v1"), part(2).alias("v2"), F.count(F.lit(1)).alias("on_pages"), F.sum("chars").alias("chars"))
-    classes = vectors.groupBy("host", "v1", "v2", "on_pages").agg(F.collect_list(F.struct("path", "chars")).alias("tokens"))
-    of_host = classes.groupBy("host").agg(F.max("on_pages").alias("host_pages"), F.collect_list(F.struct("on_pages", "tokens")).alias("classes"))
-    valid = F.filter("classes", lambda c: (F.size(c["tokens"]) >= MIN_TOKENS) & (c["on_pages"] >= MIN_PAGES) & (2 * c["on_pages"] >= F.col("host_pages")))
-    template = F.array_sort(F.flatten(F.transform(valid, lambda c: c["tokens"])))
-    return of_host.select("host", template.alias("template")).where(F.size("template") > 0)
+    # paths of single pages go before anything is joined or gathered; a host that loses its most frequent path so has no valid class
+    vectors = written(vectors.where(F.col("on_pages") >= MIN_PAGES))
+    hosts = vectors.groupBy("host").agg(F.max("on_pages").alias("host_pages"))
+    often = vectors.join(hosts, "host").where("2 * on_pages >= host_pages").drop("host_pages")
+    same = ["host", "v1", "v2", "on_pages"]
+    valid = often.groupBy(*same).agg(F.count(F.lit(1)).alias("n_tokens")).where(F.col("n_tokens") >= MIN_TOKENS).select(*same)
+    tokens_of = often.join(valid, same, "left_semi")
+    return tokens_of.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "chars"))).alias("template"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

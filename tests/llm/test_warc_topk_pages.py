@@ -115,3 +115,12 @@ def test_a_name_alone_discards_no_main_slot():
         for tag in ("article", "div"):
             page = pages.Page(f'<body><div class="sidebar">links</div><div class="{name}"><{tag} class="{name}"><p>{words}</p><div class="share">post this</div></{tag}></div></body>')
             assert page.text_of(pages.main_slot(page.chars())) == words.strip()
+
+
+def test_only_valid_classes_are_gathered(spark):
+    rows = [(i, "http://h/x", f'<body class="postid-{i}"><div><p>own {i}</p></div></body>') for i in range(8)]
+    rows += [(i, "http://h/x", "<html><body><div><p>same</p></div></body></html>") for i in range(8, 20)]
+    found = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")
+    assert [(r.host, [t.path for t in r.template]) for r in found.collect()] == [("h", ["html", "html/body", "html/body/div", "html/body/div/p"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "Filter" in plan.split("collect_list")[1]
