@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a long string that also starts earlier.
 
 A string of ``window`` bytes that occurs again is found by sorting suffixes.  Only suffixes
-that can repeat are sorted, one bucket at a time, and each bucket fits in memory:
+that can repeat are sorted, one bucket at a time:
 
 1. Anchors.  Every window start belongs to the ``GRAM``-byte string of least hash inside
    its window; equal windows have equal anchors at equal offsets.  Windows that share an
@@ -16,6 +16,9 @@ that can repeat are sorted, one bucket at a time, and each bucket fits in memory
    ties are resolved by the ranks of a difference-cover sample, precomputed for the
    bucket: for any two suffixes some shift of less than PERIOD puts both on sampled
    places.  Neighbours in that order that agree in ``window`` bytes are repeats.
+5. Hot buckets.  At the ends of a hot passage slabs share a bucket but reach into text that
+   differs.  A bucket of more than ``BUCKET_ROWS`` rows isn't held: its windows are sorted
+   by Spark, whole, and neighbours are compared as they stream by.
 
 A hot passage or a group of thousands of copies doesn't gather anywhere: each task combines
 equal blocks and equal slabs of its batch before they are shuffled, so one string is a row
@@ -50,6 +53,8 @@ GRAM, SLAB, PERIOD = 32, 8, 36
 STRETCH, PLACE_BITS = 2 << 20, 24
 FIRST, SHARED, REMOVED, ASKED = 0, 1, 2, 3
 NO_KEY = -(1 << 63)
+#: Rows of a suffix bucket that a task holds and sorts; the windows of a larger one are sorted by Spark.
+BUCKET_ROWS = 10_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
 _BYTES = _RANDOM.integers(0, 1 << 64, (2, 256), "u8")
@@ -301,20 +306,26 @@ def repeats_in_bucket(rows: list[tuple[int, int, int, int, bytes]], window: int)
     return found
 
 
-def _sorted_buckets(window: int):
-    """Bucket after bucket of a partition that is sorted by bucket: (key, start, n) to remove."""
+def _sorted_buckets(window: int, most: int):
+    """Bucket after bucket of a partition that is sorted by bucket: (key, start, n) to remove.  A bucket of
+    more than ``most`` rows isn't held: its windows are handed on one by one, with their offsets and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, out = None, [], []
+        bucket, rows, out, hot = None, [], [], False
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "start", "n"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "start", "n", "offset", "bytes"])
             out.clear()
             return batch
 
         def close() -> None:
             if len(rows) > 1:
-                out.extend((k, s, 1) for k, s in repeats_in_bucket(rows, window))
+                out.extend((k, s, 1, None, None) for k, s in repeats_in_bucket(rows, window))
+            rows.clear()
+
+        def hand_on() -> None:
+            out.extend((k, s + i, 1, offset - i, data[i : i + window]) for k, s, n, offset, data in rows for i in range(n))
             rows.clear()
 
         for batch in batches:
@@ -322,13 +333,16 @@ def _sorted_buckets(window: int):
             for b, key, start, n, offset, data in zip(*columns, strict=True):
                 if b != bucket:
                     close()
-                    bucket = b
+                    bucket, hot = b, False
                 if data is None:
-                    out.append((key, start, n))
+                    out.append((key, start, n, None, None))
                 else:
                     rows.append((key, start, n, offset, data))
-            if len(out) >= 4096:
-                yield flush()
+                    hot = hot or len(rows) > most
+                    if hot:
+                        hand_on()
+                if len(out) >= 4096:
+                    yield flush()
         close()
         if out:
             yield flush()
@@ -336,6 +350,19 @@ def _sorted_buckets(window: int):
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, start, n) of the windows that equal an earlier one; sorted by (bytes, offset, key, start)."""
+    before = place = None
+    for batch in batches:
+        repeat = []
+        for key, start, offset, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (offset, data) != before:
+                before, place = (offset, data), (key, start)
+            repeat.append((key, start) != place)  # a repeated row shares the first one's place
+        gone = batch.select([0, 1]).filter(pa.array(repeat, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*gone.columns, pa.array(np.ones(gone.num_rows, "i8"))], names=["key", "start", "n"])
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text), null keys as NO_KEY.  Both joins with texts take them in this form, so
     that Spark shuffles the texts once and reuses the exchange."""
@@ -349,7 +376,11 @@ def removals(named: DataFrame, window: int = 100) -> DataFrame:
     judged = written(_judged(rows))
     asked = judged.where(F.col("kind") == ASKED).groupBy("key").agg(F.collect_list(F.struct("start", "n", "offset")).alias("blocks"))
     slabs = named.join(asked, "key").select("key", "text", "blocks").mapInArrow(_slab_rows(window), "bucket long, key long, start long, n long, offset long, data binary")
-    settled = slabs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(window), "key long, start long, n long")
+    schema = "key long, start long, n long, offset long, bytes binary"
+    looked = written(slabs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(window, BUCKET_ROWS), schema))
+    # what was handed on is sorted by Spark, which spills, and compared as a stream
+    windows = looked.where("bytes IS NOT NULL").select("key", "start", "offset", "bytes").repartition("bytes", "offset").sortWithinPartitions("bytes", "offset", "key", "start")
+    settled = looked.where("bytes IS NULL").select("key", "start", "n").unionByName(windows.mapInArrow(_neighbours, "key long, start long, n long"))
     both = judged.where(F.col("kind") == REMOVED).select("key", "start", "n").unionByName(settled)
     return both.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 

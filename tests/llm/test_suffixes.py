@@ -75,3 +75,18 @@ def test_cover_and_order():
     order = suffixes.sort_suffixes(data, starts, 100)
     heads = [data[i][starts[i] : starts[i] + 100] for i in order]
     assert heads == sorted(heads)
+
+
+def test_buckets_beyond_the_bound_are_not_held(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_ROWS", 2, raising=False)
+    rng = random.Random(11)
+    prose = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = prose(400)
+    rows = [(i, prose(50) + passage + prose(50)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    handed = []
+    monkeypatch.setattr(suffixes, "written", lambda frame: handed.append(frame) or frame)
+    assert {r[0]: tuple(r)[1:] for r in suffixes.kept_digests(df).collect()} == repeats(rows, 100)
+    assert any("bytes" in f.columns and not f.where("bytes IS NOT NULL").isEmpty() for f in handed)
+    twice = df.unionByName(df.where("doc_id = 0"))
+    assert {tuple(r) for r in suffixes.kept_digests(twice).collect()} == {(k, *v) for k, v in repeats(rows, 100).items()}
