@@ -10,10 +10,16 @@ In each bucket one document is the centre of a star, and only (centre, member) p
 candidates: their number is bounded by documents * bands however large a bucket is.  The
 centre is the member that shares most buckets with others, so that the original of
 many edited copies is the centre wherever it occurs.  Candidates are confirmed on the
-full sets.  Buckets that still hold members of more than one component get another
-centre, as long as that pays.
+full sets, which also gives each member's exact distance from its centre.
 
-What stays open is settled exactly: the documents of buckets that hold several components
+A centre has then been held against its whole bucket and leaves it.  Of the other members
+those stay that may still be linked with a member of another component: the Jaccard
+distance is a metric, so two members whose distances from the centre differ by more than
+a link's greatest distance aren't linked.  Distances are counted in cells of a twentieth,
+so this is an aggregate by (bucket, cell) and no pair is looked at.  ``STAR_ROUNDS`` such
+rounds settle most buckets; the next centres are of the bucket's smallest component.
+
+What stays after them is settled exactly, whatever its amount: the documents that remain
 are joined by the prefixes of their full sets.  Shingles are ordered from rare to frequent,
 those that only one component holds before all others.  Two sets that are similar enough
 share a shingle so early that what follows it can still hold their overlap, so only such
@@ -38,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -47,8 +53,10 @@ from .components import connected_components
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-#: Another round of stars pays if at least one in so many of the last round's pairs was a link.
-PAYING = 100
+#: Rounds of stars before what is left is joined by prefixes.
+STAR_ROUNDS = 3
+#: Cells of a distance from a centre.
+CELLS = 20
 #: Components of a profile that are joined in one part.
 PART = 1000
 
@@ -145,36 +153,72 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b), with whether any of their full sets are similar enough and the least and
+    largest cell of their distance; ``pairs`` may carry the components (ca, cb) as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            linked, cells = [], []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 s, t = (np.frombuffer(v.as_buffer(), "u8") for v in (x, y))
                 both = np.concatenate([s, t])
                 both.sort(kind="stable")
                 inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(s) + len(t) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(both) - inter
+                linked.append(100 * inter >= percent * union)
+                cells.append(CELLS * (union - inter) // union)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_()), pa.array(cells, pa.int32())], names=["a", "b", "ca", "cb", "linked", "cell"])
 
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
-
-
-def _candidates(rows: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of buckets with several components, and the star-shaped pairs of this round.
-    rows: (bucket, doc_id, n, score, component).  After the first round any member may be a centre."""
-    split = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = written(rows.join(split, "bucket", "left_semi"))
-    first = F.col("score") if turn == 0 else F.xxhash64(F.lit(turn), "bucket", "doc_id")
-    best = open_rows.groupBy("bucket").agg(F.max(F.struct(first, F.bitwise_not("doc_id").alias("m"), "n", "component")).alias("c"))
-    centres = written(best.select("bucket", F.bitwise_not("c.m").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")))
-    pairs = open_rows.join(centres, "bucket").where(
-        (F.col("component") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+    compared = pairs.join(right, "b").join(left, "a").select("a", "b", "ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long, ca long, cb long, linked boolean, cell int")
+    # a document that has several texts has several sets
+    return compared.groupBy("a", "b", "ca", "cb").agg(F.max("linked").alias("linked"), F.min("cell").alias("lo"), F.max("cell").alias("hi"))
+
+
+def _stars(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every bucket's members but its centre, with the centre (a, na, ca), and the pairs to look at.
+    rows: (bucket, doc_id, n, score, component)."""
+    by_component = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(-F.col("score"), "doc_id", "n")).alias("c"))
+    centres = by_component.groupBy("bucket").agg(F.min(F.struct("k", "c", "component")).alias("c"))
+    centres = written(centres.select("bucket", F.col("c.c.doc_id").alias("a"), F.col("c.c.n").alias("na"), F.col("c.component").alias("ca")))
+    members = written(rows.join(centres, "bucket").where("doc_id <> a"))
+    apart = members.where((F.col("component") != F.col("ca")) & _size_fits(percent))
+    first, doc = F.col("a") < F.col("doc_id"), F.col("doc_id")
+    pairs = apart.select(
+        F.least("a", doc).alias("a"),
+        F.greatest("a", doc).alias("b"),
+        F.when(first, F.col("ca")).otherwise(F.col("component")).alias("ca"),
+        F.when(first, F.col("component")).otherwise(F.col("ca")).alias("cb"),
+    )
+    return members, pairs.distinct()
+
+
+def _size_fits(percent: int) -> Column:
+    return 100 * F.least("n", "na") >= percent * F.greatest("n", "na")
+
+
+def _still_open(members: DataFrame, tested: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
+    """The members that may be linked with one of another component of their bucket, as rows for :func:`_stars`.
+    tested: confirmed pairs; merged: (v, component) for components that are now part of another."""
+    known = tested.select(F.col("a").alias("t1"), F.col("b").alias("t2"), "lo", "hi")
+    on = (F.least("a", "doc_id") == F.col("t1")) & (F.greatest("a", "doc_id") == F.col("t2"))
+    refuted = F.floor(CELLS * (F.greatest("n", "na") - F.least("n", "na")) / F.greatest("n", "na")).cast("int")
+    least = F.coalesce("lo", F.when(_size_fits(percent), 0).otherwise(F.greatest(refuted - 1, F.lit(0))))
+    named = merged.select(F.col("v").alias("component"), F.col("component").alias("now"))
+    placed = (
+        members.join(known, on, "left")
+        .select("bucket", "doc_id", "n", "score", "component", least.alias("lo"), F.coalesce("hi", F.lit(CELLS)).alias("hi"))
+        .join(named, "component", "left")
+        .select("bucket", "doc_id", "n", "score", F.coalesce("now", "component").alias("component"), "lo", "hi")
     )
-    return open_rows, pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    placed = written(placed)
+    # two members may be linked if their cells are no further apart than a link is long
+    reach = -(-CELLS * (100 - percent) // 100)
+    near = placed.select("bucket", "component", F.explode(F.sequence(F.col("lo") - reach, F.col("hi") + reach)).alias("cell"))
+    shared = near.groupBy("bucket", "cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    shared = shared.groupBy("bucket").agg(F.collect_list("cell").alias("cells"))  # at most CELLS and twice the reach
+    return written(placed.join(shared, "bucket").where(F.arrays_overlap("cells", F.sequence("lo", "hi"))).select("bucket", "doc_id", "n", "score", "component"))
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,46 +274,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # equal sets: one vertex each, the least id
     # written, so that the join below reads two shuffles and a hot set can be split
     classes = written(with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("fp", "rep"))
-    copies = written(with_set.select("doc_id", "fp").join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
-    members = with_set.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti").select("doc_id", "n", F.explode("bands").alias("bucket"))
+    copies = written(with_set.select("doc_id", "fp").join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "fp").distinct())
+    members = with_set.join(copies.select(F.col("a").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_anti").select("doc_id", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
     rows = written(members.join(shared, "bucket"))
-    scores = rows.groupBy("doc_id").agg(F.sum("in_bucket").alias("score"))
-    rows = written(rows.drop("in_bucket").join(scores, "doc_id"))
+    scores = written(rows.groupBy("doc_id").agg(F.sum("in_bucket").alias("score")))
+    rows = rows.drop("in_bucket").join(scores, "doc_id").withColumn("component", F.col("doc_id"))
     sets = written(_sets(docs, key, text, width, scores.select("doc_id")))
 
-    links, tested, labels, turn = copies, None, None, 0
-    rows = rows.withColumn("component", F.col("doc_id"))
-
-    def confirmed(pairs: DataFrame) -> tuple[int, DataFrame]:
-        nonlocal tested
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        return pairs.count(), written(_confirmed(pairs, sets, percent))
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        known = labels.select(F.col("v").alias("doc_id"), F.col("component").alias("now"))
-        return rows.join(known, "doc_id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
-
-    while True:
-        rows, pairs = _candidates(rows, turn, percent)
-        n_pairs, found = confirmed(pairs)
-        n_found, turn = found.count(), turn + 1
-        if n_found:
-            links = links.unionByName(found)
-            labels = connected_components(links)
-            rows = labelled(rows)
-        if PAYING * n_found <= n_pairs:
+    links = copies.select("a", "b")
+    for _ in range(STAR_ROUNDS):
+        members, pairs = _stars(rows, percent)
+        tested = written(_confirmed(pairs, sets, percent))
+        found = tested.where("linked")
+        links = links.unionByName(found.select("a", "b"))
+        merged = connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        rows = _still_open(members, tested, merged, percent)
+        if rows.isEmpty():
             break
-    # closed buckets stay closed; what the stars left open is settled
-    still = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    members = written(rows.join(still, "bucket", "left_semi").select("doc_id", "component").distinct())
-    if not members.isEmpty():
-        _, found = confirmed(_left_open(members, sets, percent))
-        if not found.isEmpty():
-            links, labels = links.unionByName(found), None
-    if labels is None:
-        labels = connected_components(links)
+    else:
+        left = written(rows.select("doc_id", "component").distinct())
+        apart = _left_open(left, sets, percent).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+        links = links.unionByName(written(_confirmed(apart, sets, percent)).where("linked").select("a", "b"))
+    labels = connected_components(links)
     named = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left")
     component = F.coalesce("component", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +52,39 @@ def test_pairs_inside_a_family_below_the_threshold(spark):
         assert 1 < len({c for _, c in got.values()}) < 240
 
 
+def families(n):
+    """Families of 40 edited copies that are hardly alike enough, and two members with fewer edits of their own."""
+    out = []
+    for f in range(n):
+        rng = random.Random(f)
+        base = [f"f{f}w{i}" for i in range(140)]
+        for i in rng.sample(range(140), 6):
+            base[i] = f"f{f}shared{i}"
+        for member in range(42):
+            w = list(base)
+            for i in rng.sample(range(140), 4 if member >= 40 else 5):
+                w[i] = f"f{f}m{member}x{i}"
+            out.append(" ".join(w))
+    return out
+
+
+def test_links_behind_hubs(spark):
+    """Members that the centre of a family isn't linked with are linked with each other in some families."""
+    rows = list(enumerate(families(200)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), width=2).collect()}
+    want = brute(rows, 2)
+    assert got == want
+    sizes = Counter(Counter(c for k, (_, c) in want.items()).values())
+    assert sizes[1] > 2000 and sizes[2] > 20  # most are linked with none, some pairs are
+
+
+def test_a_document_of_several_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, one), (2, two + " x"), (3, one), (3, two), (4, "c d e")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_edges(spark):
     long = " ".join(f"w{i * i % 99991}" for i in range(40_000))
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n", "c"), (4, "One", "d"), (5, "one", "e"), (None, "one", "f"), (None, None, "g"), (7, long, "h"), (8, long + " x", "i"), (9, long, "j"), (9, long, "j")]
