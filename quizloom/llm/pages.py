@@ -1,19 +1,27 @@
 """HTML extraction by template deduction over the pages of a host.
 
-1. Tokens.  A page's tokens are its elements, told apart by their paths (tag and class
-   names from the root), as far as they give structure; inline markup gives none.
+1. Tokens.  A page's tokens are its elements, told apart by their paths (tag, class, id and,
+   where a container has neither, its number among such siblings), as far as they give
+   structure, and its blocks of text, each with the path around it.
 2. Equivalence classes.  For each host, tokens with the same occurrence vector - the same
    number of occurrences on every page - form a class.  A vector isn't gathered: it is
    summed up as two sums of hashes of (page, count), so that a host with a third of all pages
    is a partial aggregate like any other.
 3. Template.  A class is valid if it has at least ``MIN_TOKENS`` tokens and occurs on at
-   least ``MIN_PAGES`` and half of the host's pages.  Valid classes nest by their paths:
-   the slots of one hold the tokens of the next.  The template is one small row per host.
-4. Slots.  Of the template's elements that aren't page furniture, the main slot is the
-   article (the largest one), else the innermost element that holds most of the text of
-   the one around it.  Its text is taken without furniture nested in it.  Furniture is told
-   by element and role, and by names where they aren't those of an element that is or holds
-   the page's largest article, else its main, else most of its text.
+   least ``MIN_PAGES`` and half of the host's pages.  Valid classes nest by their paths.
+   The template is their elements and their texts, which are the host's fixed text.
+4. Slots.  What varies between the template's elements are its slots.  The main slot is
+   found from the root inwards: the template element that holds most of the varying text
+   of the one around it, over all pages of the host; an article or main that is a template
+   element inside it narrows it further.
+5. Extraction.  A page's text is what it has in the main slot, less the fixed text and less
+   elements nested in the slot that are furniture by element, role or name.
+
+Without a template, and where less than one part in ``COPIES`` of a host's text varies (its pages
+are copies, so their articles would count as fixed), names and roles decide alone: the
+main slot is the page's largest article, else its main, else the innermost element that
+holds most of the text of the one around it.  Names make no furniture of an element that is
+or holds that slot.
 
 A page without its host's main slot, or on a host without a template, is judged by its own
 elements.
@@ -26,20 +34,23 @@ table gives none; further columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-MIN_TOKENS, MIN_PAGES = 3, 3
-#: Template elements that may be broadcast; more are joined by a shuffle.
-BROADCAST_TOKENS = 200_000
+MIN_TOKENS, MIN_PAGES = 3, 5
+#: A host of which less than one part in so many varies has copies for pages.
+COPIES = 5
+#: Bytes of main slots and fixed texts that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 # Element names of HTML by their role.
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title"
@@ -60,20 +71,30 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 CLOSES_OWN = frozenset("li dt dd tr td th option".split())
+CONTAINERS = frozenset("div section table tr td".split())
+TEXTUAL = HEADINGS | frozenset("p li td tr ul ol table blockquote pre dl dd dt".split())
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
 MARKUP = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|$)", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+def token_of(path: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path}\n{text}") - (1 << 63)
+
+
+def tag_of(path: str) -> str:
+    return path.rpartition("/")[2].partition(".")[0]
+
+
 class Page:
-    """Blocks of a page in order, each with the elements around it, and its paths' counts and text."""
+    """Elements and blocks of a page in order, and what of them isn't furniture by the page itself."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[str, ...], str]] = []  # of what isn't furniture
-        self.counts: dict[str, int] = {}  # of elements that aren't furniture
-        elements: list[tuple[int, str, str, bool, bool]] = []  # (parent, tag, path, in furniture by element or role, named like furniture)
-        found: list[tuple[int, str]] = []  # blocks with their innermost elements
+        self.elements = elements = []  # (parent, tag, path, in furniture by element or role, named like furniture, furniture itself)
+        self.found: list[tuple[int, str]] = []  # all blocks with their innermost elements
+        found, siblings = self.found, Counter()
         stack: list[tuple[str, int]] = []  # (tag, element)
         text: list[str] = []
 
@@ -119,18 +140,28 @@ class Page:
                 pop(tag, frozenset(("ul", "ol", "dl", "table", "select")))
             end_block()
             named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(m[4])} if m[4] else {}
-            label = f"{tag}.{'.'.join(named['class'].split())}" if named.get("class") else tag
             parent = stack[-1][1] if stack else -1
+            label = self._label(tag, named)
+            if label in CONTAINERS:
+                siblings[parent, label] += 1
+                if siblings[parent, label] > 1:
+                    label = f"{tag}.[{siblings[parent, tag]}]"
+            own = self._is_furniture(tag, named, [t for t, _ in stack])
             path = f"{elements[parent][2]}/{label}" if stack else label
-            furniture = bool(stack) and elements[parent][3] or self._is_furniture(tag, named, [t for t, _ in stack])
             stack.append((tag, len(elements)))
-            elements.append((parent, tag, path, furniture, self._is_named(tag, named)))
+            elements.append((parent, tag, path + "!" * own, own or (parent >= 0 and elements[parent][3]), self._is_named(tag, named), own))
         text.append(source[at:])
         end_block()
-        self._settle(elements, found)
+        self._settle()
 
-    def _settle(self, elements: list[tuple[int, str, str, bool, bool]], found: list[tuple[int, str]]) -> None:
+    @staticmethod
+    def _label(tag: str, named: dict[str, str]) -> str:
+        names = ".".join((named.get("class") or "").split()) + "#" * bool(named.get("id")) + (named.get("id") or "")
+        return f"{tag}.{names}" if names else tag
+
+    def _settle(self) -> None:
         """Keeps what isn't furniture; a name makes none of the element that is or holds the main slot."""
+        elements, found = self.elements, self.found
         held = [0] * len(elements)
         total = 0
         for at, text in found:
@@ -154,11 +185,9 @@ class Page:
                 slot = elements[slot][0]
         gone: list[bool] = []
         around: list[tuple[str, ...]] = []
-        for i, (parent, _, path, furniture, named) in enumerate(elements):
+        for i, (parent, _, path, furniture, named, _) in enumerate(elements):
             gone.append(furniture or (parent >= 0 and gone[parent]) or (named and i not in main))
             around.append((*(around[parent] if parent >= 0 else ()), path))
-            if not gone[i]:
-                self.counts[path] = self.counts.get(path, 0) + 1
         self.blocks = [(around[at] if at >= 0 else (), text) for at, text in found if at < 0 or not gone[at]]
 
     @staticmethod
@@ -174,6 +203,56 @@ class Page:
             return False
         return any(FURNITURE_NAMES.search(named.get(k) or "") for k in ("class", "id"))
 
+    def tokens(self) -> Iterator[tuple[str, int | None, int, int]]:
+        """(path, text's hash or None for an element, occurrences, characters of text)."""
+        held = [0] * len(self.elements)
+        texts: Counter = Counter()
+        sizes: dict[tuple[str, int], int] = {}
+        for at, text in self.found:
+            path = self.elements[at][2] if at >= 0 else ""
+            token = (path, token_of(path, text))
+            texts[token] += 1
+            sizes[token] = len(text)
+            if at >= 0:
+                held[at] += len(text)
+        for i in range(len(held) - 1, -1, -1):
+            if self.elements[i][0] >= 0:
+                held[self.elements[i][0]] += held[i]
+        times, chars = Counter(), Counter()
+        for i, e in enumerate(self.elements):
+            times[e[2]] += 1
+            chars[e[2]] += held[i]
+        yield from ((path, None, n, chars[path]) for path, n in times.items())
+        yield from ((*token, n, n * sizes[token]) for token, n in texts.items())
+
+    def text_in(self, slot: str, fixed: Container[int]) -> str | None:
+        """The text in the host's main slot but for fixed text and nested furniture; None if the page hasn't the slot."""
+        n = len(self.elements)
+        inside, gone, held = [False] * n, [False] * n, [0] * n
+        for at, text in self.found:
+            if at >= 0:
+                held[at] += len(text)
+        for i in range(n - 1, -1, -1):
+            if self.elements[i][0] >= 0:
+                held[self.elements[i][0]] += held[i]
+        whole = sum(held[i] for i, e in enumerate(self.elements) if e[2] == slot)
+        header = [False] * n
+        for i, (parent, tag, path, _, named, furniture) in enumerate(self.elements):
+            if parent >= 0 and inside[parent]:
+                inside[i], header[i] = True, header[parent] or tag == "header"
+                gone[i] = gone[parent] or furniture or (named and 2 * held[i] <= whole)
+            else:
+                inside[i] = path == slot
+        if True not in inside:
+            return None
+        kept = []
+        for at, text in self.found:
+            if at < 0 or not inside[at] or gone[at] or token_of(self.elements[at][2], text) in fixed:
+                continue
+            if not header[at] or self.elements[at][1] in HEADINGS:  # of an article's header only the headings
+                kept.append(text)
+        return "\n".join(kept)
+
     def chars(self) -> dict[str, int]:
         """Characters of text in each element that isn't furniture."""
         found: dict[str, int] = {}
@@ -194,26 +273,48 @@ class Page:
 
 
 def main_slot(chars: dict[str, int]) -> str | None:
-    """The path of the main slot among elements that hold text."""
-    tag = lambda p: p.rpartition("/")[2].partition(".")[0]
-    mains = [p for p, n in chars.items() if tag(p) in MAIN and n]
+    """The path of the main slot among elements that hold text and aren't furniture."""
+    mains = [p for p, n in chars.items() if tag_of(p) in MAIN and n]
     if mains:
-        articles = [p for p in mains if tag(p) == "article"] or mains
-        # nested articles belong to the outermost
-        return max((p for p in articles if not any(p.startswith(q + "/") for q in articles)), key=lambda p: (chars[p], p))
-    at = max((p for p in chars if "/" not in p), key=lambda p: (chars[p], p), default=None)
-    while at is not None:
-        inner = [p for p in chars if p.startswith(at + "/") and "/" not in p[len(at) + 1 :] and tag(p) not in HEADINGS and tag(p) not in ("p", "li", "td", "tr", "ul", "ol", "table", "blockquote", "pre", "dl", "dd", "dt")]
+        return _largest_main(mains, chars)
+    root = max((p for p in chars if "/" not in p), key=lambda p: (chars[p], p), default=None)
+    return root and _innermost(root, chars)
+
+
+def _largest_main(mains: list[str], chars: dict[str, int]) -> str:
+    articles = [p for p in mains if tag_of(p) == "article"] or mains
+    # nested articles belong to the outermost
+    return max((p for p in articles if not any(p.startswith(q + "/") for q in articles)), key=lambda p: (chars[p], p))
+
+
+def _innermost(at: str, chars: dict[str, int]) -> str:
+    """From an element inwards, as long as one element holds most of the text."""
+    while True:
+        inner = [p for p in chars if p.startswith(at + "/") and "/" not in p[len(at) + 1 :] and tag_of(p) not in TEXTUAL and p[-1] != "!"]
         best = max(inner, key=lambda p: (chars[p], p), default=None)
         if best is None or 2 * chars[best] <= chars[at]:
             return at
         at = best
-    return None
 
 
-@functools.lru_cache(4096)
-def slot_of(template: tuple[tuple[str, int], ...]) -> str | None:
-    return main_slot(dict(template))
+def deduced_slot(elements: list[tuple[str, int]], fixed: list[tuple[int, str, int]]) -> str | None:
+    """The main slot of a template of elements (path, characters) and fixed texts (token, path, characters)."""
+    varying = dict(elements)
+    for _, path, n in fixed:
+        at = path
+        while at:
+            if at in varying:
+                varying[at] -= n
+            at = at.rpartition("/")[0]
+    roots = [p for p in varying if "/" not in p]
+    if not roots:
+        return None
+    root = max(roots, key=lambda p: (varying[p], p))
+    if COPIES * varying[root] < dict(elements)[root] or not varying[root]:
+        return None
+    slot = _innermost(root, varying)
+    mains = [p for p in varying if p.startswith(slot + "/") and tag_of(p) in MAIN and varying[p]]
+    return _largest_main(mains, varying) if mains else slot
 
 
 def _host(url):
@@ -221,55 +322,72 @@ def _host(url):
 
 
 def templates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(host, template): the elements of the host's valid classes, with the text they hold."""
+    """(host, template, fixed): the elements (path, chars) and texts (token, path, chars) of the host's valid classes."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["host", "page", "path", "n", "chars"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        names, types = ["host", "page", "path", "token", "n", "chars"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
+            for start in range(0, batch.num_rows, 256):
                 rows = []
-                for host, page, source in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns), strict=True):
-                    p = Page(source)
-                    held = p.chars()
-                    rows.extend((host, page, path, n, held.get(path, 0)) for path, n in p.counts.items())
+                for host, page, source in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                    rows.extend((host, page, *token) for token in Page(source).tokens())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     named = pages.select(_host(F.col(url)).alias("host"), F.xxhash64(F.col(key), F.col(url)).alias("page"), F.col(html).alias("html")).where("host IS NOT NULL AND html IS NOT NULL")
-    found = named.mapInArrow(tokens, "host string, page long, path string, n long, chars long")
+    found = named.mapInArrow(tokens, "host string, page long, path string, token long, n long, chars long")
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit(1 << 31)))
-    vectors = found.groupBy("host", "path").agg(part(1).alias("v1"), part(2).alias("v2"), F.count(F.lit(1)).alias("on_pages"), F.sum("chars").alias("chars"))
-    # paths of single pages go before anything is joined or gathered; a host that loses its most frequent path so has no valid class
+    vectors = found.groupBy("host", "path", "token").agg(part(1).alias("v1"), part(2).alias("v2"), F.count(F.lit(1)).alias("on_pages"), F.sum("chars").alias("chars"))
+    # tokens of few pages go before anything is joined or gathered; a host that loses its most frequent path so has no valid class
     vectors = written(vectors.where(F.col("on_pages") >= MIN_PAGES))
     hosts = vectors.groupBy("host").agg(F.max("on_pages").alias("host_pages"))
     often = vectors.join(hosts, "host").where("2 * on_pages >= host_pages").drop("host_pages")
     same = ["host", "v1", "v2", "on_pages"]
     valid = often.groupBy(*same).agg(F.count(F.lit(1)).alias("n_tokens")).where(F.col("n_tokens") >= MIN_TOKENS).select(*same)
     tokens_of = often.join(valid, same, "left_semi")
-    return tokens_of.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "chars"))).alias("template"))
+    elements = F.when(F.col("token").isNull(), F.struct("path", "chars"))
+    texts = F.when(F.col("token").isNotNull(), F.struct("token", "path", "chars"))
+    return tokens_of.groupBy("host").agg(F.array_sort(F.collect_list(elements)).alias("template"), F.array_sort(F.collect_set(texts)).alias("fixed"))
+
+
+def main_slots(found: DataFrame) -> DataFrame:
+    """(host, slot, fixed): the main slot of each host's template and the tokens of its fixed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                host, template, fixed = (c[i].as_py() for c in batch.columns)
+                texts = [(t["token"], t["path"], t["chars"]) for t in fixed]
+                slot = deduced_slot([(t["path"], t["chars"]) for t in template], texts)
+                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([slot], pa.string()), pa.array([[t[0] for t in texts]], pa.list_(pa.int64()))], names=["host", "slot", "fixed"])
+
+    return found.select("host", "template", "fixed").mapInArrow(run, "host string, slot string, fixed array<long>").where("slot IS NOT NULL")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
-    found = written(templates(pages, key, url, html))
-    size = found.agg(F.sum(F.size("template"))).first()[0] or 0
-    known = F.broadcast(found) if size <= BROADCAST_TOKENS else found
+    found = written(main_slots(templates(pages, key, url, html)))
+    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 8 * F.size("fixed"))).first()[0] or 0
+    known = F.broadcast(found) if size <= BROADCAST_BYTES else found
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, slot, fixed = None, None, frozenset()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 piece = batch.slice(start, 1024)
                 out = []
-                for source, template in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True):
+                for i, (source, name, path) in enumerate(zip(*(piece.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
                     page = Page(source or "")
-                    slot = slot_of(tuple((t["path"], t["chars"]) for t in template)) if template else None
-                    if slot is None or slot not in page.counts:
-                        slot = main_slot(page.chars())
-                    out.append(page.text_of(slot))
+                    text = None
+                    if path is not None:
+                        if (name, path) != (host, slot):
+                            host, slot, fixed = name, path, frozenset(piece.column(5)[i].as_py())
+                        text = page.text_in(slot, fixed)
+                    out.append(page.text_of(main_slot(page.chars())) if text is None else text)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )
 
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), _host(F.col(url)).alias("host"))
-    joined = named.join(known, "host", "left").select("page_id", "url", "html", "template")
+    joined = named.join(known, "host", "left").select("page_id", "url", "html", "host", "slot", "fixed")
     return joined.mapInArrow(texts, f"page_id {pages.schema[key].dataType.simpleString()}, url string, text string, n_chars long")

@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quizloom.llm import common, pages, registry, topk, warc
 
@@ -124,3 +125,66 @@ def test_only_valid_classes_are_gathered(spark):
     assert [(r.host, [t.path for t in r.template]) for r in found.collect()] == [("h", ["html", "html/body", "html/body/div", "html/body/div/p"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1 and "Filter" in plan.split("collect_list")[1]
+
+
+def plain_site(n):
+    """Pages of div elements alone: a fixed menu, a varying offer, the article, a fixed notice in it, a fixed imprint."""
+    rows, want = [], {}
+    for i in range(n):
+        article = [f"title {i}", *(f"paragraph {i} {j} " + "text " * (1 + (i * j) % 30) for j in range(1 + i % 4))]
+        offer = f"offer {i} " + "buy " * (60 if i % 5 == 0 else 3)
+        blocks = "".join(f"<p>{x}</p>" for x in article)
+        html = f"<html><body><div><p>Start</p><p>News</p></div><div>{offer}</div><div><p>All rights of this text are reserved</p>{blocks}</div><div>Imprint and contact</div></body></html>"
+        rows.append((i, "http://plain.example/" + str(i), html, "x", "y"))
+        want[i] = "\n".join(" ".join(x.split()) for x in article)
+    return rows, want
+
+
+def test_a_template_finds_the_article_without_names(spark):
+    rows, want = plain_site(40)
+    df = spark.createDataFrame([*rows, rows[7]], "page_id long, url string, html string, text string, slot string").repartition(4)
+    got = pages.extract(df).collect()
+    assert len(got) == 41 and {r.page_id: r.text for r in got} == want
+    alone = pages.extract(df.withColumn("url", F.concat(F.lit("http://h"), "page_id", F.lit(".example/"))).where("page_id <> 7"))
+    assert sum(r.text != want[r.page_id] for r in alone.collect()) > 30  # each page on a host of its own: no template
+
+
+def test_deduction_against_occurrence_vectors(spark):
+    """Classes by whole vectors and a slot by walking from the root, over parsed trees."""
+    from collections import Counter, defaultdict
+
+    rows, _ = plain_site(30)
+    rows = [(k, u, h.replace("<p>News</p>", "") if k % 9 == 0 else h) for k, u, h, _, _ in rows]
+    times, chars = defaultdict(Counter), Counter()
+    for k, _, h in rows:
+        for path, token, n, size in pages.Page(h).tokens():
+            times[path, token][k] += n
+            chars[path, token] += size
+    classes = defaultdict(list)
+    for token, on in times.items():
+        if len(on) >= pages.MIN_PAGES:
+            classes[tuple(sorted(on.items()))].append(token)
+    valid = {t for on, tokens in classes.items() if len(tokens) >= pages.MIN_TOKENS and 2 * len(on) >= len(rows) for t in tokens}
+    found = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").first()
+    assert {(t.path, None) for t in found.template} | {(t.path, t.token) for t in found.fixed} == valid
+    assert {(t.path, t.chars) for t in found.template} == {(p, chars[p, t]) for p, t in valid if t is None}
+    assert any(t is not None for _, t in valid) and not any("News" in str(t) for t in found.template)
+
+
+def test_copies_for_pages_and_a_very_long_page(spark):
+    rows, want = plain_site(8)
+    same = [(i, "http://copies.example/", rows[1][2].replace("<div><p>All", "<article><p>All").replace("</div><div>Imprint", "</article><div>Imprint")) for i in range(20)]
+    long = "<article>" + "<p>a very long page</p>" * 60_000 + "</article>"
+    df = spark.createDataFrame([*same, (100, "http://long.example/", long), (None, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert all(got[i] == "All rights of this text are reserved\n" + want[1] for i in range(20))
+    assert got[100] == "\n".join(["a very long page"] * 60_000) and got[None] == ""
+
+
+def test_furniture_inside_the_deduced_slot(spark):
+    rows = [
+        (i, "http://inner.example/", f'<body><div>menu</div><div><h1>title {i}</h1><p>{f"words of page {i} " * 9}</p><form>ask {i}</form><div class="comments"><p>reader {i} says</p></div><aside>aside {i}</aside></div></body>')
+        for i in range(12)
+    ]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"title {i}\n" + f"words of page {i} " * 8 + f"words of page {i}" for i in range(12)}
