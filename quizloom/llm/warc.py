@@ -2,8 +2,10 @@
 
 Each archive starts with a skippable frame that embeds the dictionary; behind it every
 record is a frame of its own, so that any record can be read alone.  The dictionary is
-built from a sample of the records to be archived (``DICT_RECORDS`` whole records, picked
-by a hash of the key); the sample decides only how well records compress.
+built from a sample of the records to be archived: ``DICT_RECORDS`` of them, picked by a hash
+of the key, each with the first ``SAMPLE_CHARS`` characters of its payload, cut before
+they leave the executors.  Where training refuses the sample (few records, or all alike), its bytes are
+the dictionary.  The sample decides only how well records compress.
 
 Records with equal payloads (of ``min_revisit`` bytes or more) are written once: the one
 with the smallest key as a response, the others as revisits that refer to it.  Digests are
@@ -25,6 +27,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs
@@ -37,7 +40,9 @@ from .common import shared_dir
 # Fixed values of the formats: the skippable frame's magic number, the version line.
 DICT_FRAME_MAGIC = 0x184D2A5D
 VERSION = b"WARC/1.1"
-DICT_RECORDS, DICT_BYTES, ARCHIVE_BYTES = 512, 64 << 10, 32 << 20
+DICT_RECORDS, SAMPLE_CHARS, DICT_BYTES, ARCHIVE_BYTES = 512, 16 << 10, 64 << 10, 32 << 20
+#: Bytes that are read at once, and that a batch of payloads may reach.
+READ_BYTES, BATCH_BYTES = 256 << 10, 16 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = b"1970-01-01T00:00:00Z"
 
@@ -87,32 +92,45 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, payload
 
 
-def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive, one frame at a time."""
-    if not data:
+def read_archive(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive, one frame at a time, from a stream that is read piece by piece."""
+    head = source.read(8)
+    if not head:
         return
-    magic, n = struct.unpack_from("<II", data)
+    magic, n = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
     if magic != DICT_FRAME_MAGIC:
         raise ValueError("an archive without its dictionary")
-    words = zstandard.ZstdCompressionDict(data[8 : 8 + n]) if n else None
-    reader, rest = zstandard.ZstdDecompressor(dict_data=words), memoryview(data)[8 + n :]
-    while len(rest):
-        frame = reader.decompressobj()
-        out = frame.decompress(rest)
-        if not frame.eof:
-            raise ValueError("a frame is cut off")
-        rest = rest[len(rest) - len(frame.unused_data) :]
-        yield parse_record(out)
+    dictionary = source.read(n)
+    if len(dictionary) < n:
+        raise ValueError("a dictionary is cut off")
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if n else None)
+    piece = source.read(READ_BYTES)
+    while piece:
+        frame, out = reader.decompressobj(), []
+        while not frame.eof:
+            if not piece:
+                raise ValueError("a frame is cut off")
+            out.append(frame.decompress(piece))
+            piece = frame.unused_data if frame.eof else source.read(READ_BYTES)
+        yield parse_record(b"".join(out))
+        piece = piece or source.read(READ_BYTES)
+
+
+def train(records: list[bytes]) -> bytes:
+    """A dictionary for records like these: trained, or their bytes where training refuses them."""
+    size = min(DICT_BYTES, max(1 << 10, sum(map(len, records)) // 8))
+    try:
+        return zstandard.train_dictionary(size, records).as_bytes() if len(records) >= 8 else b"".join(records)[-DICT_BYTES:]
+    except zstandard.ZstdError:
+        return b"".join(records)[-DICT_BYTES:]
 
 
 def build_dictionary(pages: DataFrame, key: str, url: str, payload: str, n: int) -> bytes:
-    """A dictionary from a sample of whole records; none where there are too few to train on."""
+    """A dictionary from a sample of the records, cut to SAMPLE_CHARS where it is read; empty only where there is no record."""
     every = max(1, n // (2 * DICT_RECORDS))
-    sample = pages.where(F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0).limit(DICT_RECORDS).select(key, url, payload).collect()
-    records = [record(r[0], r[1], (r[2] or "").encode()[: 1 << 20], False, None) for r in sample]
-    if sum(map(len, records)) < 8 * DICT_BYTES:
-        return b""
-    return zstandard.train_dictionary(DICT_BYTES, records).as_bytes()
+    cut = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.substring(F.coalesce(F.col(payload), F.lit("")), 1, SAMPLE_CHARS).alias("p"))
+    sample = cut.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).limit(DICT_RECORDS).collect() or cut.limit(DICT_RECORDS).collect()
+    return train([record(r["k"], r["u"], r["p"].encode(), False, None) for r in sample])
 
 
 def revisits(pages: DataFrame, key: str, payload: str, min_revisit: int) -> DataFrame:
@@ -141,7 +159,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
         def close() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(f"{base}/{name}") as f:
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(dictionary_frame(words.value))
                 for x in frames:
                     f.write(x)
@@ -164,33 +182,35 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     return spark.read.parquet(f"{folder}-manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """(key, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record that the manifest's archives hold."""
+def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+    """(key, url, payload_bytes, payload_digest, record_type, refers_to, payload) of every record that the
+    manifest's archives hold.  All payloads are read and checked; without ``payloads`` they aren't returned."""
+    names = ["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def number(urn: str) -> int | None:
         x = urn[len("<urn:x-page:") : -1]
         return None if x == "None" else int(x)
 
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, place = pyarrow.fs.FileSystem.from_uri(path)
-                with fs.open_input_stream(place) as f:
-                    data = f.read()
-                rows = []
-                for h, body in read_archive(data):
-                    to = h.get("WARC-Refers-To")
-                    rows.append((number(h["WARC-Record-ID"]), h["WARC-Target-URI"], int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][5:], h["WARC-Type"], number(to) if to else None, body if h["WARC-Type"] == "response" else None))
-                    if len(rows) == 1024:
-                        yield _records(rows)
-                        rows = []
+                rows, held = [], 0
+                with fs.open_input_stream(place, compression=None) as f:
+                    for h, body in read_archive(f):
+                        to, kind = h.get("WARC-Refers-To"), h["WARC-Type"]
+                        kept = body if payloads and kind == "response" else None
+                        rows.append((number(h["WARC-Record-ID"]), h["WARC-Target-URI"], int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][5:], kind, number(to) if to else None, kept))
+                        held += len(kept or b"")
+                        if len(rows) == 1024 or held >= BATCH_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                 if rows:
-                    yield _records(rows)
-
-    def _records(rows: list) -> pa.RecordBatch:
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        names = ["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield batch_of(rows)
 
     # archives are a few MB each: one row of the manifest is a unit of work
     files = manifest.select("path").repartition(manifest.sparkSession.sparkContext.defaultParallelism, "path")
@@ -200,5 +220,5 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes the pages and reads the archives back: one row per record."""
     manifest = write_archives(pages, shared_dir(pages.sparkSession))
-    back = read_archives(manifest)
+    back = read_archives(manifest, payloads=False)
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,8 +1,11 @@
 import base64
 import hashlib
+import io
+import struct
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quizloom.llm import common, pages, registry, topk, warc
@@ -37,9 +40,44 @@ def test_smaller_payloads_are_written_again(spark):
 
 def test_dictionary_frame_leads_each_archive():
     data = warc.dictionary_frame(b"") + b""
-    assert list(warc.read_archive(data)) == [] and data[:4] == (0x184D2A5D).to_bytes(4, "little")
+    assert list(warc.read_archive(io.BytesIO(data))) == [] and data[:4] == (0x184D2A5D).to_bytes(4, "little")
     with pytest.raises(ValueError):
-        list(warc.read_archive(b"\0" * 16))
+        list(warc.read_archive(io.BytesIO(b"\0" * 16)))
+
+
+def leading_dictionaries(manifest):
+    out = []
+    for r in manifest.collect():
+        with open(r.path.removeprefix("file://"), "rb") as f:
+            magic, n = struct.unpack("<II", f.read(8))
+            assert magic == 0x184D2A5D
+            out.append(f.read(n))
+    return out
+
+
+PAGE_TABLES = {
+    "one page": [(1, "u", "x")],
+    "one large page": [(1, "u", "".join(f"<p>{i * i}</p>" for i in range(60_000)))],
+    "equal pages": [(i, "u", "<p>the same page</p>" * 40) for i in range(300)],
+    "empty pages": [(i, None, None) for i in range(20)],
+    "null keys": [(None, "u", f"<p>{i}</p>" * 20) for i in range(3000)],
+    "different pages": [(i, f"http://h/{i}", f"<html><body><h1>{i}</h1>" + f"<p>words {i % 7}</p>" * 50) for i in range(600)],
+}
+
+
+@pytest.mark.parametrize("name", PAGE_TABLES)
+def test_every_archive_has_a_dictionary(spark, name):
+    rows = PAGE_TABLES[name]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), common.shared_dir(spark))
+    dictionaries = leading_dictionaries(manifest)
+    assert dictionaries and all(0 < len(d) <= warc.DICT_BYTES for d in dictionaries)
+    back = warc.read_archives(manifest).collect()
+    assert len(back) == len(rows)
+    assert {r.payload.decode() for r in back if r.record_type == "response"} == {h or "" for _, _, h in rows}
+    if name == "different pages":
+        assert dictionaries[0].startswith(b"\x37\xa4\x30\xec")  # trained
+        press = lambda d: sum(len(zstandard.ZstdCompressor(dict_data=d).compress(warc.record(k, u, h.encode(), False, None))) for k, u, h in rows)
+        assert press(zstandard.ZstdCompressionDict(dictionaries[0])) < 0.7 * press(None)
 
 
 def brute_top(rows, k):
