@@ -1,24 +1,26 @@
 """Quality rules with risk-controlled thresholds.
 
 Each document gets a few text statistics.  A base rule rejects documents that are too
-short or repeat themselves.  For every other rule (a statistic above a cutoff) the
-cutoff is chosen on a labelled holdout: a candidate cutoff is allowed in a stratum if
-its share of falsely rejected good documents is, by the exact (Clopper-Pearson) binomial
-upper bound, at most ``max_false_rejection`` there.  All bounds hold together with
-probability 1 - ``delta``: delta is divided by the number of bounds computed (Bonferroni,
-over strata, rules and candidate cutoffs), so any allowed cutoff may be picked.  The one
-picked rejects most bad documents, a good one weighing as much as ``WEIGHT`` bad ones; a
-rule that has no allowed cutoff, or none that gains, rejects nothing in that stratum.
+short or repeat themselves.  Beyond it there are rules (a statistic above a cutoff), whose
+cutoffs are chosen together for each stratum on a labelled holdout.  A candidate is one cutoff,
+or none, for every rule; it rejects what any of its rules rejects.  It is allowed if the share of good
+documents that it so rejects falsely is, by the exact (Clopper-Pearson) binomial upper bound, at
+most ``max_false_rejection`` in the stratum.  All bounds hold together with probability
+1 - ``delta``: delta is divided by the number of bounds computed (Bonferroni, over strata and
+candidates), so any allowed candidate may be picked.  The one picked rejects most bad documents, a
+good one weighing as much as ``WEIGHT`` bad ones; ties go to the larger cutoffs.  A stratum in
+which nothing is allowed or gains, as one with few labels, gets no cutoffs, whatever others get.
 
 The text statistics are computed in Arrow tasks, one row at a time and independent of
-others, and written; texts are never shuffled.  The holdout is summed to one row per stratum, rule and cutoff before anything
-leaves the executors, so what the driver sees doesn't grow with the labels.
+others, and written; texts are never shuffled.  The holdout is summed to at most
+``2 * (cutoffs + 1) ** rules`` rows per stratum before it is gathered there, so a task's group doesn't
+grow with the labels, and nothing but the number of strata reaches the driver.
 
 Defined results: a null text has no words; a null key is kept as a row and matches no
 label; a document labelled more than once counts once, as bad if any label is bad; null
-labels are ignored; a null stratum is a stratum of its own; strata beyond the
-``max_strata`` that have most labels share one stratum; an empty table or a holdout
-without good documents gives no cutoffs, so only the base rule rejects.
+labels are ignored; a null stratum is a stratum of its own; rows that share a key are all rows of
+the holdout; an empty table or a holdout without good documents gives no cutoffs, so only the
+base rule rejects; further columns, of whatever name, are carried or ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +53,8 @@ RULES = {
 WEIGHT = 20
 #: Candidate cutoffs, fixed before any label is seen.
 CUTOFFS = (10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500)
+#: Strata whose cutoffs may be broadcast; more are joined by a shuffle.
+BROADCAST_STRATA = 100_000
 
 
 def text_stats(text: str) -> tuple[int, int, int, int, int]:
@@ -121,44 +127,50 @@ def upper_bound(bad: int, n: int, error: float) -> float:
     return high
 
 
-def choose_cutoffs(
-    scored: DataFrame, labels: DataFrame, key: str, stratum: str, max_false_rejection: float, delta: float, max_strata: int
-) -> list[tuple[str, str, int]]:
-    """(stratum, rule, cutoff) from the labelled part of ``scored``; stratum "*" is for all that have none of their own."""
+def most_allowed(n: int, error: float, limit: float) -> int:
+    """The most false rejections among ``n`` good documents whose upper bound is within ``limit``; -1 if none is."""
+    low, high = -1, n
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if upper_bound(mid, n, error) <= limit else (low, mid - 1)
+    return low
+
+
+def best_cutoffs(good: np.ndarray, bad: np.ndarray, error: float, limit: float) -> tuple[int, ...] | None:
+    """One cutoff's place for every rule, len(CUTOFFS) for none, from how many documents exceed how many
+    cutoffs of each rule; None if no candidate is allowed and gains."""
+    kept_good, kept_bad = good, bad
+    for axis in range(good.ndim):
+        kept_good, kept_bad = kept_good.cumsum(axis), kept_bad.cumsum(axis)
+    false = good.sum() - kept_good
+    gain = (bad.sum() - kept_bad) - WEIGHT * false
+    gain = np.where(false <= most_allowed(int(good.sum()), error, limit), gain, 0)
+    if gain.max() <= 0:
+        return None
+    return max(zip(*np.nonzero(gain == gain.max()), strict=True), key=lambda at: (sum(at), at))
+
+
+def choose_cutoffs(scored: DataFrame, labels: DataFrame, key: str, stratum: str, max_false_rejection: float, delta: float) -> DataFrame:
+    """(stratum, one cutoff or null for every rule) from the labelled part of ``scored``."""
     truth = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("quality").alias("__quality"))
     held = scored.where(~base_failed()).join(truth, key)
-    shares = F.array(*(F.struct(F.lit(r).alias("rule"), _share(r).alias("share")) for r in RULES))
     # how many cutoffs a share exceeds: counts of those are all that a bound needs
-    level = F.expr("size(filter(array({}), c -> c < share))".format(",".join(map(str, CUTOFFS))))
-    counts = (
-        held.select(F.coalesce(F.col(stratum), F.lit("(null)")).alias("s"), (F.col("__quality") >= 1).alias("good"), F.inline(shares))
-        .groupBy("s", "good", "rule", level.alias("level"))
-        .count()
-    )
-    largest = counts.where(F.col("rule") == next(iter(RULES))).groupBy("s").agg(F.sum("count").alias("n"))
-    own = largest.orderBy(F.desc("n"), "s").limit(max_strata).select("s", F.lit(True).alias("own"))
-    counts = (
-        counts.join(F.broadcast(own), "s", "left")
-        .groupBy(F.when(F.col("own"), F.col("s")).otherwise("*").alias("s"), "good", "rule", "level")
-        .agg(F.sum("count").alias("n"))
-    )
-    table: dict[tuple[str, str], dict[bool, list[int]]] = {}
-    for r in counts.collect():  # at most 2 * (max_strata + 1) * rules * (cutoffs + 1) rows
-        levels = table.setdefault((r["s"], r["rule"]), {g: [0] * (len(CUTOFFS) + 1) for g in (False, True)})
-        levels[r["good"]][r["level"]] += r["n"]
-    chosen = []
-    error = delta / max(1, len(table) * len(CUTOFFS))
-    for (s, rule), levels in sorted(table.items()):
-        best = 0
-        pick = None
-        for i, cutoff in enumerate(CUTOFFS):
-            good, bad = (sum(levels[g][i + 1 :]) for g in (True, False))
-            gain = bad - WEIGHT * good
-            if gain > best and upper_bound(good, sum(levels[True]), error) <= max_false_rejection:
-                best, pick = gain, cutoff
-        if pick is not None:
-            chosen.append((s, rule, pick))
-    return chosen
+    level = lambda rule: F.size(F.filter(F.array(*map(F.lit, CUTOFFS)), lambda c: c < _share(rule))).alias(rule)
+    counts = written(held.select(F.col(stratum).alias("s"), (F.col("__quality") >= 1).alias("good"), *map(level, RULES)).groupBy("s", "good", *RULES).count())
+    n_strata = counts.select("s").distinct().count()
+    levels = len(CUTOFFS) + 1
+    error = delta / max(1, n_strata * levels ** len(RULES))
+
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tables = np.zeros((2,) + (levels,) * len(RULES), "i8")
+        np.add.at(tables, tuple(rows[c].to_numpy("i8") for c in ("good", *RULES)), rows["count"].to_numpy())
+        best = best_cutoffs(tables[1], tables[0], error, max_false_rejection)
+        if best is None:
+            return pd.DataFrame(columns=["s", *RULES])
+        return pd.DataFrame([[key[0], *(CUTOFFS[i] if i < len(CUTOFFS) else None for i in best)]], columns=["s", *RULES])
+
+    schema = T.StructType([T.StructField("s", T.StringType()), *(T.StructField(r, T.IntegerType()) for r in RULES)])
+    return written(counts.withColumn("s", F.col("s").cast("string")).groupBy("s").applyInPandas(choose, schema))
 
 
 def judge(
@@ -170,22 +182,18 @@ def judge(
     carry: list[str] | None = None,
     max_false_rejection: float = 0.05,
     delta: float = 0.05,
-    max_strata: int = 64,
 ) -> DataFrame:
     """(key, stratum, carried columns, statistics, base_failed, kept) for every document."""
     keep = list(dict.fromkeys([key, stratum, *(carry or [])]))
-    # texts are read once for the cutoffs; the labels meet a few numbers per document, not texts
-    scored = written(with_stats(docs, [key, stratum], text))
-    chosen = choose_cutoffs(scored, labels, key, stratum, max_false_rejection, delta, max_strata)
-    if carry:
-        scored = with_stats(docs, keep, text)
-    known = sorted({s for s, _, _ in chosen} - {"*"})
-    name = F.coalesce(F.col(stratum), F.lit("(null)"))
-    at = F.when(name.isin(known), name).otherwise("*") if known else F.lit("*")
+    # texts are read once; the labels meet a few numbers per document, not texts
+    scored = written(with_stats(docs, keep, text))
+    cutoffs = choose_cutoffs(scored, labels, key, stratum, max_false_rejection, delta).withColumnsRenamed({"s": "__s", **{r: f"__{r}" for r in RULES}})
+    few = cutoffs.count() <= BROADCAST_STRATA
+    judged = scored.join(F.broadcast(cutoffs) if few else cutoffs, F.col(stratum).cast("string").eqNullSafe(F.col("__s")), "left")
     rejected = F.lit(False)
-    for s, rule, cutoff in chosen:
-        rejected = rejected | ((at == s) & (_share(rule) > cutoff))
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    for rule in RULES:
+        rejected = rejected | F.coalesce(_share(rule) > F.col(f"__{rule}"), F.lit(False))
+    return judged.select(*scored.columns, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:

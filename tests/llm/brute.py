@@ -78,3 +78,55 @@ def targets(sizes, weights=(5, 2, 1), cap=3):
         if not more:
             return {s: float(cap * sizes[s]) if s in capped else left * w[s] / open_weight for s in order}
         capped |= more
+
+
+def binomial_bound(bad, n, error):
+    """The largest rate at which ``bad`` or fewer of ``n`` have probability ``error`` or more, by bisection over whole sums."""
+    from math import comb
+
+    low, high = 0.0, 1.0
+    if bad >= n:
+        return 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        tail = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(bad + 1))
+        low, high = (p, high) if tail > error else (low, p)
+    return high
+
+
+def quality_kept(docs, labels, cutoffs, limit=0.05, delta=0.05, weight=20):
+    """[kept] for (doc_id, text, stratum) rows, trying every choice of one cutoff or none per rule."""
+    from itertools import product
+
+    truth = {}
+    for key, quality in labels:
+        if key is not None and quality is not None:
+            truth[key] = min(quality, truth.get(key, quality))
+    seen = []
+    for key, text, stratum in docs:
+        n, chars, symbols, dup, repeat = stats(text)
+        share = lambda a, b: a * 1000 // b if b else 0
+        seen.append((stratum, key, n < 50 or 100 * repeat > 50 * n, (share(symbols, chars), share(dup, n), share(repeat, n))))
+    held = defaultdict(list)
+    for stratum, key, failed, shares in seen:
+        if not failed and key in truth:
+            held[stratum].append((truth[key] >= 1, shares))
+    choices = list(product([*cutoffs, None], repeat=3))
+    error, chosen = delta / max(1, len(held) * len(choices)), {}
+    rejects = lambda shares, choice: any(c is not None and s > c for s, c in zip(shares, choice, strict=True))
+    bounds = {}
+    for stratum, rows in held.items():
+        best, n_good = 0, sum(g for g, _ in rows)
+        grouped = Counter(rows)
+        for choice in choices:
+            good, bad = (sum(k for (g, shares), k in grouped.items() if g == want and rejects(shares, choice)) for want in (True, False))
+            gain = bad - weight * good
+            places = tuple(len(cutoffs) if c is None else cutoffs.index(c) for c in choice)
+            order = (sum(places), places)
+            if gain < best or gain <= 0:
+                continue
+            if (good, n_good) not in bounds:
+                bounds[good, n_good] = binomial_bound(good, n_good, error)
+            if bounds[good, n_good] <= limit and (gain > best or order > chosen[stratum][0]):
+                best, chosen[stratum] = gain, (order, choice)
+    return [not failed and not (stratum in chosen and rejects(shares, chosen[stratum][1])) for stratum, _, failed, shares in seen]

@@ -1,11 +1,12 @@
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quizloom.llm import mixing, quality, sharding
 
-from .brute import WORD, stats, targets
+from .brute import WORD, quality_kept, stats, targets
 
 
 def words(n, seed=0):
@@ -152,3 +153,48 @@ def test_clashing_columns(spark, judged):
     out = quality.keep_good(more, labels)
     assert out.columns == more.columns and out.where("n_words <> 'mine' OR kept <> 7").isEmpty()
     assert out.count() == quality.quality_verdicts(docs, labels).where("kept").count()
+
+
+def test_verdicts_against_all_choices_of_cutoffs(spark, judged):
+    docs, labels = judged
+    junk = lambda i: " ".join(f"w{k * 17 % 997}{'#' * (1 + i % 3)}" for k in range(80 + i % 30)) + "\nsame line" * (i % 4)
+    names = ["*", "(null)", None, "nan", "small", *(f"s{j}" for j in range(65))]
+    rows = [(10_000 * (1 + j) + i, words(60 + i % 50, i), name) for j, name in enumerate(names[:4]) for i in range(330)]
+    rows += [(10_000 * (1 + j) + 5000 + i, junk(i), name) for j, name in enumerate(names) for i in range(12)]
+    more = labels.unionByName(spark.createDataFrame([(r[0], int(r[0] % 10_000 < 5000), 0) for r in rows], "doc_id long, quality int, text int"))
+    every = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = {}
+    for r in quality.judge(every, more, carry=["text"]).collect():
+        got.setdefault((r.doc_id, r.text, r.lang), set()).add(r.kept)
+    table = [(r.doc_id, r.text, r.lang) for r in every.collect()]
+    want = quality_kept(table, [(r.doc_id, r.quality) for r in more.collect()], list(quality.CUTOFFS))
+    assert got == {row: {kept} for row, kept in zip(table, want, strict=True)}
+    bad_kept = {n: sum(any(got[r]) for r in rows if r[2] == n and r[0] % 10_000 >= 5000) for n in names}
+    assert all(bad_kept[n] == 0 for n in names[:4]) and all(bad_kept[n] == 12 for n in names[4:])  # others' labels decide nothing
+
+
+def test_false_rejection_of_the_union_is_bounded():
+    """Three rules that reject different good documents: of all holdouts at most delta give more than the limit."""
+    rng = np.random.default_rng(4)
+    n_levels, limit, delta, over, used = len(quality.CUTOFFS) + 1, 0.05, 0.05, 0, 0
+    for _ in range(300):
+        p = np.full((3, n_levels), 0.0)
+        p[:, 0] = 1 - rng.uniform(0.001, 0.06, 3)
+        p[:, 1:] = ((1 - p[:, 0]) / (n_levels - 1))[:, None]
+        draw = lambda n, q: np.stack([rng.choice(n_levels, n, p=x) for x in q])
+        good, bad = (np.zeros((n_levels,) * 3, "i8") for _ in range(2))
+        np.add.at(good, tuple(draw(600, p)), 1)
+        np.add.at(bad, tuple(draw(4000, p * 0.2 + 0.8 / n_levels)), 1)
+        best = quality.best_cutoffs(good, bad, delta / n_levels**3, limit)
+        if best is not None:
+            used += 1
+            kept = np.prod([p[r, : i + 1].sum() for r, i in enumerate(best)])
+            over += 1 - kept > limit
+    assert used > 100 and over <= delta * 300
+
+
+def test_most_allowed_is_the_last_within_the_limit():
+    for n, error in ((300, 1e-5), (2000, 1e-4), (5, 0.1), (0, 0.1)):
+        k = quality.most_allowed(n, error, 0.05)
+        assert k == -1 or quality.upper_bound(k, n, error) <= 0.05
+        assert quality.upper_bound(k + 1, n, error) > 0.05
