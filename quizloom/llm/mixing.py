@@ -1,11 +1,15 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 The words of each source are packed into blocks of ``block_words`` words, documents in a
-fixed pseudorandom order.  Output slots are dealt to output shards; the number of slots a
-shard gets from each source is a multinomial draw without replacement from the sources'
-quotas, so that the sums meet the targets exactly.  A source's k-th slot takes block
-``permutation(k mod n)`` of its n blocks, with another permutation for every turn through
-the source; slots and blocks are then joined by (source, block).
+fixed pseudorandom order.  A source's quota is the number of slots of the mix that its target
+asks for.  Every output shard draws how many of its slots each source gets: a multinomial draw,
+with the quotas' shares as probabilities.  A shard's slots go to the sources by offset, in
+the sources' order, and each source numbers its slots over all shards.  Since
+independent draws miss the quotas by about their root, what a source has drawn too much is handed to
+those that lack slots, at even distances over all shards, so the totals are the quotas.
+A source's k-th slot takes block ``permutation(k mod n)`` of its n blocks, with another
+permutation for every turn through the source; slots and blocks are then joined by
+(source, block).
 
 A document's words taken are the words of its part of each block times the number of slots
 that took the block.  A source's quota is at most ``cap`` times its number of blocks, so a
@@ -13,7 +17,9 @@ block is taken at most ``cap`` times and a document at most ``cap`` times its si
 
 Scale: sizes are summed to (source, chunk) before any window; chunks hold about
 ``chunk_docs`` documents of a source however large it is, so a source with a third of all
-rows is split over many tasks.  The text is not shuffled by :func:`mix_plan`.
+rows is split over many tasks.  Sums over chunks and over shards are prefix sums of two
+levels.  Slots are made from shards in an explicit number of partitions.  The text is
+not shuffled by :func:`mix_plan`.
 
 Defined results: a null text has no words and takes none; a null source is a source of its
 own, sorted last; a null or repeated doc_id is a row like any other (rows with the same id
@@ -29,8 +35,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Rounds of the swap-or-not shuffle.
-ROUNDS = 8
+#: Pieces of the line of all quotas, by which a drawn place finds its source.
+PIECES = 4096
+#: Numbers whose prefix sum one task holds; shards whose slots it makes.
+FAN, SHARDS_A_TASK = 1024, 32
+#: Sources whose stretches of the line may be broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -65,10 +75,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     return level.select("source", "source_size", "weight", "rank", F.coalesce(target, F.lit(0.0)).cast("double").alias("target"))
 
 
-def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+def permuted(index: Column, n: Column, key: Column) -> Column:
     """A pseudorandom permutation of 0 .. n - 1 by the swap-or-not shuffle: in each round
     an index and its mirror about a round key are both swapped or both left, as a hash of
-    the larger of the two says."""
+    the larger of the two says.  The rounds grow with the logarithm of n."""
+    rounds = (F.lit(4) + 2 * F.ceil(F.log2(n.cast("double") + 1))).cast("int")
     start = F.struct(index.cast("long").alias("x"), n.cast("long").alias("n"), key.cast("long").alias("k"))
 
     def step(a: Column, r: Column) -> Column:
@@ -76,7 +87,19 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
         swap = F.pmod(F.xxhash64(a["k"], r, F.greatest(a["x"], mirror)), F.lit(2)) == 1
         return F.struct(F.when(swap, mirror).otherwise(a["x"]).alias("x"), a["n"].alias("n"), a["k"].alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)["x"]
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, step)["x"]
+
+
+def _summed_before(df: DataFrame, by: str, at: str, value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same ``by`` (null is one) and a smaller ``at``, a
+    number from 0: within groups of FAN numbers, and over the groups' sums."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    grouped = df.withColumn("__group", F.floor(F.col(at) / FAN))
+    groups = grouped.groupBy(F.col(by).alias("__by"), F.col("__group").alias("__at")).agg(F.sum(value).alias("__sum"))
+    groups = groups.select("__by", "__at", F.coalesce(F.sum("__sum").over(before(Window.partitionBy("__by").orderBy("__at"))), F.lit(0)).alias("__start"))
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy(by, "__group").orderBy(at))), F.lit(0))
+    joined = grouped.withColumn("__inside", inside).join(groups, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__group") == F.col("__at")))
+    return joined.withColumn(out, F.col("__start") + F.col("__inside")).drop("__by", "__at", "__start", "__inside", "__group")
 
 
 def _packed(docs: DataFrame, key: str, block_words: int, chunk_docs: int) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +108,7 @@ def _packed(docs: DataFrame, key: str, block_words: int, chunk_docs: int) -> tup
     chunks = max(1, -(-n // chunk_docs))
     sized = docs.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), key, "size"), F.lit(chunks)))
     sums = sized.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
-    in_source = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("chunk_start", F.coalesce(F.sum("chunk_size").over(in_source), F.lit(0)))
+    sums = _summed_before(sums, "source", "chunk", "chunk_size", "chunk_start")
     in_chunk = Window.partitionBy("source", "chunk").orderBy(F.xxhash64(F.lit(12), key), key, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(in_chunk), F.lit(0)))
     s = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "chunk_start")
@@ -95,16 +117,6 @@ def _packed(docs: DataFrame, key: str, block_words: int, chunk_docs: int) -> tup
     return placed, sums.groupBy("source").agg(F.sum("chunk_size").alias("source_size"))
 
 
-def draws(aims: DataFrame, block_words: int, cap: int, shard_slots: int, seed: int) -> DataFrame:
-    """(rank, shard, n): how many of its slots each output shard takes from each source.
-
-    Quotas are laid end to end on a line of all slots.  Slot j of shard h stands for the
-    place permutation(h * shard_slots + j) on that line, and so for the source whose quota
-    holds the place: a multinomial draw whose sums over the shards are the quotas.
-    """
-    return _slots(aims, block_words, cap, shard_slots, seed).groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _quotas(aims: DataFrame, block_words: int, cap: int) -> DataFrame:
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     # a source smaller than a block would be off by its own size: its quota is in turns of its few blocks
@@ -113,25 +125,70 @@ def _quotas(aims: DataFrame, block_words: int, cap: int) -> DataFrame:
     return aims.select("source", "source_size", "target", "rank", blocks.alias("blocks"), quota.alias("quota"))
 
 
-def _slots(aims: DataFrame, block_words: int, cap: int, shard_slots: int, seed: int) -> DataFrame:
-    quotas = _quotas(aims, block_words, cap)
+def _line(quotas: DataFrame) -> DataFrame:
+    """Quotas laid end to end: each source's start and end on the line of all slots."""
     end = F.sum("quota").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    line = quotas.withColumn("end", end).withColumn("start", F.col("end") - F.col("quota")).withColumn("slots", F.max("end").over(Window.partitionBy()))
-    # each source's stretch of the line in pieces of bounded length, so that a hot source is many rows
-    piece = 4096
-    pieces = line.where("quota > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / piece)))).repartition("rank", "p")
-    first = F.col("p") * piece
-    slot = pieces.withColumn("k", F.explode(F.sequence(first, F.least(first + piece, F.col("quota")) - 1)))
-    place = permuted(F.col("start") + F.col("k"), F.col("slots"), F.lit(seed))
-    return slot.withColumn("shard", F.floor(place / shard_slots)).withColumn("slot", place)
+    return quotas.withColumn("end", end).withColumn("start", F.col("end") - F.col("quota"))
+
+
+def _drawn(quotas: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, rank, n): every shard's multinomial draw.  Each of its slots picks a place on the line of
+    quotas, and so a source; a place finds its source by the piece of the line that it is in."""
+    shards, width = -(-slots // shard_slots), -(-slots // PIECES) or 1
+    line = _line(quotas).where("quota > 0")
+    pieces = line.select("rank", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("piece"))
+    pieces = F.broadcast(pieces) if quotas.count() <= BROADCAST_SOURCES else pieces
+    spark = quotas.sparkSession
+    shard = spark.range(0, shards, 1, -(-shards // SHARDS_A_TASK) or 1).withColumnRenamed("id", "shard")
+    j = shard.select("shard", F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots) - 1)).alias("j"))
+    place = j.select("shard", F.pmod(F.xxhash64(F.lit(seed), "shard", "j"), F.lit(slots)).alias("place"))
+    named = place.withColumn("piece", F.floor(F.col("place") / width)).join(pieces, "piece").where("place >= start AND place < end")
+    return named.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def draws(aims: DataFrame, block_words: int, cap: int, shard_slots: int, seed: int) -> DataFrame:
+    """(rank, shard, n): how many of its slots each output shard draws from each source."""
+    quotas = written(_quotas(aims, block_words, cap))
+    return _drawn(quotas, quotas.agg(F.sum("quota")).first()[0] or 0, shard_slots, seed)
+
+
+def _slots(quotas: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, slot, rank, k): every slot of the mix is the k-th of a source, k below its quota."""
+    drawn = written(_drawn(quotas, slots, shard_slots, seed))
+    counted = _summed_before(drawn, "rank", "shard", "n", "first")
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = drawn.groupBy("rank").agg(F.sum("n").alias("drawn"))
+    over = quotas.join(totals, "rank", "left").select("rank", "quota", F.coalesce("drawn", F.lit(0)).cast("long").alias("drawn"))
+    line = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    surplus, lack = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
+    over = written(over.select("rank", "drawn", surplus.alias("surplus"), lack.alias("lack"), F.coalesce(F.sum(surplus).over(line), F.lit(0)).alias("passed"), F.coalesce(F.sum(lack).over(line), F.lit(0)).alias("asked")))
+    made = counted.withColumn("offset", within).join(over.select("rank", "drawn", "surplus", "passed"), "rank")
+    # an explicit number, so that a few rows that make many slots stay in many tasks
+    made = made.repartition(-(-slots // (shard_slots * SHARDS_A_TASK)) or 1, "shard")
+    made = made.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("nth", F.col("first") + F.col("i"))
+    # of ``drawn`` slots ``surplus`` are handed on, at even distances
+    handed = F.expr("(nth * surplus) div drawn")
+    made = made.select("shard", (F.col("shard") * shard_slots + F.col("offset") + F.col("i")).alias("slot"), "rank", "nth", handed.alias("handed"), (F.expr("((nth + 1) * surplus) div drawn") > handed).alias("spare"), "passed")
+    own = made.where("NOT spare").select("shard", "slot", "rank", (F.col("nth") - F.col("handed")).alias("k"))
+    # the spare slots, numbered over all sources, are laid along what the others lack
+    width = -(-slots // PIECES) or 1
+    lacks = over.where("lack > 0").select(F.col("rank").alias("to"), "asked", "lack", "drawn", F.explode(F.sequence(F.floor(F.col("asked") / width), F.floor((F.col("asked") + F.col("lack") - 1) / width))).alias("piece"))
+    spare = made.where("spare").select("shard", "slot", (F.col("passed") + F.col("handed")).alias("e")).withColumn("piece", F.floor(F.col("e") / width))
+    given = spare.join(lacks, "piece").where("e >= asked AND e < asked + lack").select("shard", "slot", F.col("to").alias("rank"), (F.col("drawn") + F.col("e") - F.col("asked")).alias("k"))
+    return own.unionByName(given)
 
 
 def block_draws(aims: DataFrame, block_words: int = 64, cap: int = 3, shard_slots: int = 1024, seed: int = 7) -> DataFrame:
     """(source, rank, shard, slot, block): the block behind every slot of the mix."""
+    quotas = written(_quotas(aims, block_words, cap))
+    n_sources, slots = quotas.agg(F.count(F.lit(1)), F.sum("quota")).first()
+    taken = _slots(quotas, slots or 0, shard_slots, seed)
+    of = quotas.select("rank", "source", "blocks")
+    named = taken.join(F.broadcast(of) if n_sources <= BROADCAST_SOURCES else of, "rank")
+    # each turn through a source has a permutation of its own; the last turn takes its first few blocks
     turn = F.floor(F.col("k") / F.col("blocks"))
-    # turns share one permutation per source and turn; the last turn takes its first few blocks
     block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), F.col("rank"), turn))
-    return _slots(aims, block_words, cap, shard_slots, seed).select("source", "rank", "shard", "slot", block.alias("block"))
+    return named.select("source", "rank", "shard", "slot", block.alias("block"))
 
 
 def mix_plan(

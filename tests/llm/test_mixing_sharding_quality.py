@@ -198,3 +198,29 @@ def test_most_allowed_is_the_last_within_the_limit():
         k = quality.most_allowed(n, error, 0.05)
         assert k == -1 or quality.upper_bound(k, n, error) <= 0.05
         assert quality.upper_bound(k + 1, n, error) > 0.05
+
+
+def test_slots_number_every_source_once(spark, monkeypatch):
+    """Every slot of the mix once, every source's numbers once, in any layout of tasks."""
+    monkeypatch.setattr(mixing, "FAN", 5)
+    monkeypatch.setattr(mixing, "SHARDS_A_TASK", 2)
+    sizes = [("a", 90_000), ("b", 61_000), ("c", 9_000), (None, 70), ("d", 0), ("e", 1)]
+    aims = mixing.targets(spark.createDataFrame(sizes, "source string, source_size long"))
+    quotas = {r["rank"]: r.quota for r in mixing._quotas(aims, 64, 3).collect()}
+    drawn = Counter()
+    for r in mixing.draws(aims, 64, 3, 128, 7).collect():
+        drawn[r["rank"]] += r.n
+    assert sum(drawn.values()) == sum(quotas.values()) and drawn != quotas  # drawn by shard, mended after
+    frame = mixing._quotas(aims, 64, 3)
+    got = mixing._slots(frame, sum(quotas.values()), 128, 7).collect()
+    assert sorted(r.slot for r in got) == list(range(sum(quotas.values()))) and all(r.slot // 128 == r.shard for r in got)
+    for rank, n in quotas.items():
+        assert sorted(r.k for r in got if r["rank"] == rank) == list(range(n))
+
+
+def test_sums_before_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rows = [(s, i, (i * 7) % 5) for s in ("x", None) for i in range(23) if i % 6]
+    df = mixing._summed_before(spark.createDataFrame(rows, "s string, at long, v long"), "s", "at", "v", "before")
+    got = {(r.s, r["at"]): r.before for r in df.collect()}
+    assert got == {(s, i): sum(v for t, j, v in rows if t == s and j < i) for s, i, _ in rows}
