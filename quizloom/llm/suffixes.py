@@ -13,9 +13,9 @@ that can repeat are sorted, one bucket at a time:
 3. Buckets.  The windows of those blocks, in slabs of ``SLAB`` offsets from the anchor, go
    to suffix buckets by the bytes that all windows of a slab have in common.
 4. Sorting.  The suffixes of a bucket are sorted by their first ``PERIOD`` bytes; longer
-   ties are resolved by the ranks of a difference-cover sample, precomputed for the
-   bucket: for any two suffixes some shift of less than PERIOD puts both on sampled
-   places.  Neighbours in that order that agree in ``window`` bytes are repeats.
+   ties are resolved by the ranks of a difference-cover sample of the bucket's texts, which is
+   sorted once and looked up: for any two suffixes some shift of less than PERIOD puts both on
+   sampled places.  Neighbours in that order that agree in ``window`` bytes are repeats.
 5. Hot buckets.  At the ends of a hot passage slabs share a bucket but reach into text that
    differs.  A bucket of more than ``BUCKET_ROWS`` rows isn't held: its windows are sorted
    by Spark, whole, and neighbours are compared as they stream by.
@@ -25,10 +25,10 @@ equal blocks and equal slabs of its batch before they are shuffled, so one strin
 per batch at most, and its further copies are settled on the spot.
 
 Order: documents by key, then places by start.  Defined results: a null text is empty; a
-null key comes first; rows that share a key share a place in the order, so they don't
-repeat each other, and what is removed from one at some place is removed from all;
-texts shorter than the window are kept; an empty table gives none; other columns are
-ignored.  Texts are bytes of any length, cut into overlapping stretches inside a task.
+null key comes first; different texts under one key are documents of their own, in the order of
+a hash of the text; equal rows (key and text) share a place in the order, so they
+don't repeat each other and lose the same bytes; texts shorter than the window are kept; an
+empty table gives none; other columns are ignored.  Texts are bytes of any length, cut into overlapping stretches inside a task.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,11 +133,11 @@ def blocks(data: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray,
     return start, n, at, grams[at], body
 
 
-def _stretches(keys: np.ndarray, texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents in key order, as arrays of at most STRETCH bytes: (bytes, ends, key of each
-    place's piece, what to add to a place to get its start in the document)."""
+def _stretches(order: np.ndarray, texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents in the given order, as arrays of at most STRETCH bytes: (bytes, ends, document of
+    each piece, what to add to a place to get its start in the document)."""
     parts, held = [], 0
-    for i in np.argsort(keys, kind="stable"):
+    for i in order:
         text = texts[i]
         for offset in range(0, max(1, len(text) - window + 1), STRETCH - window + 1):
             piece = text[offset : offset + STRETCH]
@@ -146,7 +146,7 @@ def _stretches(keys: np.ndarray, texts: list[bytes], window: int) -> Iterator[tu
             if held + len(piece) > STRETCH:
                 yield _joined(parts)
                 parts, held = [], 0
-            parts.append((keys[i], offset, piece))
+            parts.append((i, offset, piece))
             held += len(piece)
     if parts:
         yield _joined(parts)
@@ -157,7 +157,16 @@ def _joined(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(p for _, _, p in parts), "u1")
     shift_by = np.array([o for _, o, _ in parts]) - (ends - lengths)
-    return data, np.repeat(ends, lengths), np.array([k for k, _, _ in parts], "i8"), np.stack([ends, shift_by])
+    return data, np.repeat(ends, lengths), np.array([i for i, _, _ in parts], "i8"), np.stack([ends, shift_by])
+
+
+def _in_order(keys: np.ndarray, subs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of documents by (key, sub), and each document's number in it, the same for equal ones."""
+    order = np.lexsort((subs, keys))
+    k, s = keys[order], subs[order]
+    number = np.empty(len(order), "i8")
+    number[order] = np.cumsum(np.append(0, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))) if len(order) else order
+    return order, number
 
 
 def _packed(start: np.ndarray, n: np.ndarray, offset: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -169,59 +178,64 @@ def _block_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            for data, ends, keys, (stops, add) in _stretches(batch.column(0).to_numpy(), texts, window):
+            keys, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = [(x or "").encode() for x in batch.column(2).to_pylist()]
+            by_key, number = _in_order(keys, subs)
+            for data, ends, of, (stops, add) in _stretches(by_key, texts, window):
                 start, n, anchor, gram, body = blocks(data, ends, window)
                 if not len(start):
                     continue
                 piece = np.searchsorted(stops, start, side="right")
-                key, at = keys[piece], start + add[piece]
-                order = np.lexsort((at, key, body, gram))
+                doc, at = of[piece], start + add[piece]
+                who = number[doc]
+                order = np.lexsort((at, who, body, gram))
                 g, b = gram[order], body[order]
                 new_gram = np.append(True, g[1:] != g[:-1])
                 new_block = new_gram | np.append(True, b[1:] != b[:-1])
-                # equal place and key (a repeated row): not a repeat of itself
-                own = np.append(False, (key[order][1:] == key[order][:-1]) & (at[order][1:] == at[order][:-1]))
+                # an equal row's place: not a repeat of itself
+                own = np.append(False, (who[order][1:] == who[order][:-1]) & (at[order][1:] == at[order][:-1]))
                 variants = np.add.reduceat(new_block.astype("i8"), np.flatnonzero(new_gram))
                 many = np.repeat(variants, np.diff(np.append(np.flatnonzero(new_gram), len(g)))) > 1
                 kind = np.where(new_gram, np.where(many, SHARED, FIRST), np.where(new_block | own, ASKED, REMOVED))
                 settled = order[kind == REMOVED]
                 settled = settled[np.argsort(start[settled])]
                 if len(settled):  # neighbours in one row
-                    s, m, k = at[settled], n[settled], key[settled]
+                    s, m, k = at[settled], n[settled], doc[settled]
                     head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1] + m[:-1])))
                     total = np.add.reduceat(m, head)
-                    scatter = mix((k[head] ^ (s[head] << 20)).astype("u8")).view("i8")
-                    yield _rows(scatter, total, k[head], _packed(s[head], 0 * total, 0 * total, REMOVED))
+                    scatter = mix((keys[k[head]] ^ (s[head] << 20)).astype("u8")).view("i8")
+                    yield _rows(scatter, total, keys[k[head]], subs[k[head]], _packed(s[head], 0 * total, 0 * total, REMOVED))
                 rest = order[kind != REMOVED]
                 kinds = kind[kind != REMOVED]
-                scatter = mix((key[rest] ^ (at[rest] << 20)).astype("u8"))
+                scatter = mix((keys[doc[rest]] ^ (at[rest] << 20)).astype("u8"))
                 yield _rows(
                     np.where(kinds == ASKED, scatter, gram[rest]).view("i8"),
                     body[rest].view("i8"),
-                    key[rest],
+                    keys[doc[rest]],
+                    subs[doc[rest]],
                     _packed(at[rest], n[rest], (anchor - start)[rest], kinds),
                 )
 
     return run
 
 
-def _rows(gram: np.ndarray, body: np.ndarray, key: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype("i8", copy=False)) for x in (gram, body, key, packed)], names=["gram", "body", "key", "packed"])
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype("i8", copy=False)) for x in columns], names=["gram", "body", "key", "sub", "packed"])
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """(key, start, n, offset, kind): stretches to remove and blocks to look at."""
+    """(key, sub, start, n, offset, kind): stretches to remove and blocks to look at."""
     kind = F.col("packed").bitwiseAND(15)
     by_gram = Window.partitionBy("gram")
-    by_block = Window.partitionBy("gram", "body").orderBy("key", F.shiftright("packed", 20))
+    by_block = Window.partitionBy("gram", "body").orderBy("key", "sub", F.shiftright("packed", 20))
     start = F.shiftright("packed", 20)
-    # equal place and key (a repeated row) ranks alike
+    # an equal row's place ranks alike
     seen = rows.repartition("gram").withColumn("nth", F.rank().over(by_block))
     seen = seen.withColumn("many", (F.min("body").over(by_gram) != F.max("body").over(by_gram)) | (F.max(kind).over(by_gram) == SHARED))
     what = F.when(kind >= REMOVED, kind).when(F.col("nth") > 1, REMOVED).when(F.col("many"), ASKED)
     out = seen.select(
         "key",
+        "sub",
         start.alias("start"),
         F.when(kind == REMOVED, F.col("body")).otherwise(F.shiftright("packed", 12).bitwiseAND(255)).alias("n"),
         F.shiftright("packed", 4).bitwiseAND(255).alias("offset"),
@@ -235,109 +249,121 @@ def _slab_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple, tuple[int, int]] = {}
+            seen: dict[tuple, tuple[int, int, int]] = {}
             out: list[tuple] = []
-            keys = batch.column(0).to_numpy()
-            for i in np.argsort(keys, kind="stable"):
-                key, text = int(keys[i]), (batch.column(1)[i].as_py() or "").encode()
-                for b in sorted(batch.column(2)[i].as_py(), key=lambda b: b["start"]):
+            keys, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in np.lexsort((subs, keys)):
+                key, sub, text = int(keys[i]), int(subs[i]), (batch.column(2)[i].as_py() or "").encode()
+                for b in sorted(batch.column(3)[i].as_py(), key=lambda b: b["start"]):
                     first, last, anchor = b["start"], b["start"] + b["n"] - 1, b["start"] + b["offset"]
                     for s in range((anchor - last) // SLAB, (anchor - first) // SLAB + 1):
                         p, q = max(first, anchor - s * SLAB - SLAB + 1), min(last, anchor - s * SLAB)
                         data = text[p : q + window]
-                        if len(data) < q - p + window:
-                            continue  # of another text with this key
                         common = text[anchor - s * SLAB : anchor - s * SLAB - SLAB + 1 + window]
                         bucket = xxhash.xxh3_64_intdigest(common, seed=s) - (1 << 63)
-                        held = seen.setdefault((bucket, anchor - p, data), (key, p))
-                        if held < (key, p):
-                            out.append((xxhash.xxh3_64_intdigest(b"%d %d" % (key, p)) - (1 << 63), key, p, q - p + 1, -1, None))
+                        held = seen.setdefault((bucket, anchor - p, data), (key, sub, p))
+                        if held < (key, sub, p):
+                            out.append((xxhash.xxh3_64_intdigest(b"%d %d" % (key, p)) - (1 << 63), key, sub, p, q - p + 1, -1, None))
                         else:
-                            out.append((bucket, key, p, q - p + 1, anchor - p, data))
+                            out.append((bucket, key, sub, p, q - p + 1, anchor - p, data))
             if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["bucket", "key", "start", "n", "offset", "data"]
+                types = [pa.int64()] * 6 + [pa.binary()]
+                names = ["bucket", "key", "sub", "start", "n", "offset", "data"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
 
 
-def sort_suffixes(texts: list[bytes], starts: list[int], depth: int) -> list[int]:
-    """The order of the suffixes texts[i][starts[i]:], compared to ``depth`` bytes or more:
-    by their first PERIOD bytes, longer ties by the ranks of the difference-cover sample."""
-    by_head: dict[bytes, list[int]] = {}
-    for i, (t, s) in enumerate(zip(texts, starts, strict=True)):
-        by_head.setdefault(t[s : s + PERIOD], []).append(i)
-    tied = [i for same in by_head.values() if len(same) > 1 for i in same]
-    samples = {(i, p): texts[i][p : p + depth] for i in tied for p in range(starts[i], starts[i] + PERIOD) if p % PERIOD in COVER}
-    name = {x: n for n, x in enumerate(sorted(set(samples.values())))}
-    rank = {at: name[x] for at, x in samples.items()}
+class CoverSample:
+    """Ranks of the sampled places of a bucket's texts: sorted once, when a tie first asks for them."""
+
+    def __init__(self, texts: list[bytes], depth: int):
+        self.texts, self.depth = texts, depth
+
+    @functools.cached_property
+    def ranks(self) -> list[dict[int, int]]:
+        places = [[p for p in range(len(t)) if p % PERIOD in COVER] for t in self.texts]
+        strings = {t[p : p + self.depth] for t, ps in zip(self.texts, places, strict=True) for p in ps}
+        name = {x: n for n, x in enumerate(sorted(strings))}
+        return [{p: name[t[p : p + self.depth]] for p in ps} for t, ps in zip(self.texts, places, strict=True)]
+
+    def compare(self, a: tuple[int, int], b: tuple[int, int]) -> int:
+        """Which of two suffixes (text, start) that agree in PERIOD bytes comes first."""
+        d = shift(a[1] % PERIOD, b[1] % PERIOD)
+        # a place behind a text's end is before all others
+        return self.ranks[a[0]].get(a[1] + d, -1) - self.ranks[b[0]].get(b[1] + d, -1)
 
-    def compare(i: int, j: int) -> int:
-        d = shift(starts[i] % PERIOD, starts[j] % PERIOD)
-        return rank[i, starts[i] + d] - rank[j, starts[j] + d]
 
-    order: list[int] = []
+def sort_suffixes(suffixes: list[tuple[int, int]], sample: CoverSample) -> list[tuple[int, int]]:
+    """Suffixes (text, start) in order, compared to the sample's depth or more: by their first
+    PERIOD bytes, longer ties by the sample's ranks."""
+    by_head: dict[bytes, list[tuple[int, int]]] = {}
+    for i, start in suffixes:
+        by_head.setdefault(sample.texts[i][start : start + PERIOD], []).append((i, start))
+    order: list[tuple[int, int]] = []
     for head in sorted(by_head):
         same = by_head[head]
-        order.extend(same if len(same) == 1 else sorted(same, key=functools.cmp_to_key(compare)))
+        order.extend(same if len(same) == 1 else sorted(same, key=functools.cmp_to_key(sample.compare)))
     return order
 
 
-def repeats_in_bucket(rows: list[tuple[int, int, int, int, bytes]], window: int) -> list[tuple[int, int]]:
-    """(key, start) of the windows of a bucket that an earlier one equals; rows: (key, start, n, offset, bytes)."""
+def repeats_in_bucket(rows: list[tuple[int, int, int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
+    """(key, sub, start) of the windows of a bucket that an earlier one equals; rows: (key, sub, start, n, offset, bytes)."""
     found = []
     by_offset: dict[int, list[tuple[int, int]]] = {}
-    for i, (_, _, n, offset, _) in enumerate(rows):
+    for i, (_, _, _, n, offset, _) in enumerate(rows):
         for k in range(n):
             by_offset.setdefault(offset - k, []).append((i, k))
+    sample = CoverSample([row[-1] for row in rows], window)
     for at in by_offset.values():  # equal windows have equal offsets from their anchor
         if len(at) < 2:
             continue
-        texts, starts = [rows[i][4] for i, _ in at], [k for _, k in at]
-        run: list[int] = []
-        for x in [*sort_suffixes(texts, starts, window), None]:
-            if run and (x is None or texts[x][starts[x] : starts[x] + window] != texts[run[0]][starts[run[0]] : starts[run[0]] + window]):
-                places = [(rows[at[y][0]][0], rows[at[y][0]][1] + starts[y]) for y in run]
+        run: list[tuple[int, int]] = []
+        same = None
+        for x in [*sort_suffixes(at, sample), None]:
+            data = None if x is None else rows[x[0]][-1][x[1] : x[1] + window]
+            if run and data != same:
+                places = [(*rows[i][:2], rows[i][2] + k) for i, k in run]
                 found.extend(p for p in places if p != min(places))
                 run = []
             if x is not None:
                 run.append(x)
+                same = data
     return found
 
 
 def _sorted_buckets(window: int, most: int):
-    """Bucket after bucket of a partition that is sorted by bucket: (key, start, n) to remove.  A bucket of
+    """Bucket after bucket of a partition that is sorted by bucket: (key, sub, start, n) to remove.  A bucket of
     more than ``most`` rows isn't held: its windows are handed on one by one, with their offsets and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows, out, hot = None, [], [], False
 
         def flush() -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "start", "n", "offset", "bytes"])
+            types = [pa.int64()] * 5 + [pa.binary()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "sub", "start", "n", "offset", "bytes"])
             out.clear()
             return batch
 
         def close() -> None:
             if len(rows) > 1:
-                out.extend((k, s, 1, None, None) for k, s in repeats_in_bucket(rows, window))
+                out.extend((*place, 1, None, None) for place in repeats_in_bucket(rows, window))
             rows.clear()
 
         def hand_on() -> None:
-            out.extend((k, s + i, 1, offset - i, data[i : i + window]) for k, s, n, offset, data in rows for i in range(n))
+            out.extend((k, u, s + i, 1, offset - i, data[i : i + window]) for k, u, s, n, offset, data in rows for i in range(n))
             rows.clear()
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for b, key, start, n, offset, data in zip(*columns, strict=True):
+            for b, key, sub, start, n, offset, data in zip(*columns, strict=True):
                 if b != bucket:
                     close()
                     bucket, hot = b, False
                 if data is None:
-                    out.append((key, start, n, None, None))
+                    out.append((key, sub, start, n, None, None))
                 else:
-                    rows.append((key, start, n, offset, data))
+                    rows.append((key, sub, start, n, offset, data))
                     hot = hot or len(rows) > most
                     if hot:
                         hand_on()
@@ -351,38 +377,48 @@ def _sorted_buckets(window: int, most: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, start, n) of the windows that equal an earlier one; sorted by (bytes, offset, key, start)."""
+    """(key, sub, start, n) of the windows that equal an earlier one; sorted by (bytes, offset, key, sub, start)."""
     before = place = None
     for batch in batches:
         repeat = []
-        for key, start, offset, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, sub, start, offset, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (offset, data) != before:
-                before, place = (offset, data), (key, start)
-            repeat.append((key, start) != place)  # a repeated row shares the first one's place
-        gone = batch.select([0, 1]).filter(pa.array(repeat, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([*gone.columns, pa.array(np.ones(gone.num_rows, "i8"))], names=["key", "start", "n"])
+                before, place = (offset, data), (key, sub, start)
+            repeat.append((key, sub, start) != place)  # an equal row shares the first one's place
+        gone = batch.select([0, 1, 2]).filter(pa.array(repeat, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*gone.columns, pa.array(np.ones(gone.num_rows, "i8"))], names=["key", "sub", "start", "n"])
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text), null keys as NO_KEY.  Both joins with texts take them in this form, so
+def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(key, sub, text, more): null keys as NO_KEY; ``sub`` tells different texts of one key apart
+    and is 0 for keys that occur once.  Both joins with texts take them in this form, so
     that Spark shuffles the texts once and reuses the exchange."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"))
+    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
+    again = written(named.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("again")))
+    if again.isEmpty():
+        sub = F.lit(0).cast("long")
+    else:
+        named, sub = named.join(again, "key", "left"), F.when(F.col("again"), F.xxhash64("text")).otherwise(0)
+    return named.select("key", sub.alias("sub"), "text", *named.columns[2 : 2 + len(more)])
 
 
 def removals(named: DataFrame, window: int = 100) -> DataFrame:
-    """(key, spans): for each document of :func:`keyed` that loses bytes, (start, n) of the
+    """(key, sub, spans): for each document of :func:`keyed` that loses bytes, (start, n) of the
     windows that also start earlier; a window removes its ``window`` bytes."""
-    rows = named.mapInArrow(_block_rows(window), "gram long, body long, key long, packed long")
+    rows = named.select("key", "sub", "text").mapInArrow(_block_rows(window), "gram long, body long, key long, sub long, packed long")
     judged = written(_judged(rows))
-    asked = judged.where(F.col("kind") == ASKED).groupBy("key").agg(F.collect_list(F.struct("start", "n", "offset")).alias("blocks"))
-    slabs = named.join(asked, "key").select("key", "text", "blocks").mapInArrow(_slab_rows(window), "bucket long, key long, start long, n long, offset long, data binary")
-    schema = "key long, start long, n long, offset long, bytes binary"
+    asked = judged.where(F.col("kind") == ASKED).groupBy("key", "sub").agg(F.collect_list(F.struct("start", "n", "offset")).alias("blocks"))
+    schema = "bucket long, key long, sub long, start long, n long, offset long, data binary"
+    slabs = named.join(asked, ["key", "sub"]).select("key", "sub", "text", "blocks").mapInArrow(_slab_rows(window), schema)
+    schema = "key long, sub long, start long, n long, offset long, bytes binary"
     looked = written(slabs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(window, BUCKET_ROWS), schema))
     # what was handed on is sorted by Spark, which spills, and compared as a stream
-    windows = looked.where("bytes IS NOT NULL").select("key", "start", "offset", "bytes").repartition("bytes", "offset").sortWithinPartitions("bytes", "offset", "key", "start")
-    settled = looked.where("bytes IS NULL").select("key", "start", "n").unionByName(windows.mapInArrow(_neighbours, "key long, start long, n long"))
-    both = judged.where(F.col("kind") == REMOVED).select("key", "start", "n").unionByName(settled)
-    return both.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    windows = looked.where("bytes IS NOT NULL").select("key", "sub", "start", "offset", "bytes").repartition("bytes", "offset").sortWithinPartitions("bytes", "offset", "key", "sub", "start")
+    spans = ["key", "sub", "start", "n"]
+    settled = looked.where("bytes IS NULL").select(*spans).unionByName(windows.mapInArrow(_neighbours, "key long, sub long, start long, n long"))
+    both = judged.where(F.col("kind") == REMOVED).select(*spans).unionByName(settled)
+    # equal rows find the same spans
+    return both.groupBy("key", "sub").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def merged(spans: list[dict] | None, size: int, window: int) -> list[tuple[int, int]]:
@@ -405,7 +441,7 @@ def kept_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                data = (batch.column(1)[i].as_py() or "").encode()
+                data = batch.column(1)[i].as_py().encode()
                 runs = merged(batch.column(2)[i].as_py(), len(data), window)
                 kept, at = hashlib.sha256(), 0
                 for a, b in runs:
@@ -420,7 +456,7 @@ def kept_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
             yield pa.RecordBatch.from_arrays([keys, *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     named = keyed(docs, key, text)
-    joined = named.join(removals(named, window), "key", "left").select("key", "text", "spans")
+    joined = named.join(removals(named, window), ["key", "sub"], "left").select("key", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -447,9 +483,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    named = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)))
-    spans = removals(keyed(docs, key, text), window).withColumnsRenamed({"key": "__key", "spans": "__spans"})
-    out = named.join(spans, "__key", "left").select(*docs.columns, "__spans").mapInArrow(run, T.StructType(docs.schema.fields))
+    whole = F.struct(*map(F.col, docs.columns)).alias("__row")
+    named = keyed(docs, key, text, whole)
+    spans = removals(named.select("key", "sub", "text"), window)
+    back = named.join(spans, ["key", "sub"], "left").select("__row.*", F.col("spans").alias("__spans"))
+    out = back.mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out

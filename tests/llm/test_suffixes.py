@@ -72,8 +72,8 @@ def test_cover_and_order():
     data = ["".join(rng.choice("ab") for _ in range(160)).encode() for _ in range(30)]
     data += [d[:140] + b"c" * 20 for d in data[:10]]
     starts = [rng.randrange(8) for _ in data]
-    order = suffixes.sort_suffixes(data, starts, 100)
-    heads = [data[i][starts[i] : starts[i] + 100] for i in order]
+    order = suffixes.sort_suffixes(list(enumerate(starts)), suffixes.CoverSample(data, 100))
+    heads = [data[i][k : k + 100] for i, k in order]
     assert heads == sorted(heads)
 
 
@@ -90,3 +90,52 @@ def test_buckets_beyond_the_bound_are_not_held(spark, monkeypatch):
     assert any("bytes" in f.columns and not f.where("bytes IS NOT NULL").isEmpty() for f in handed)
     twice = df.unionByName(df.where("doc_id = 0"))
     assert {tuple(r) for r in suffixes.kept_digests(twice).collect()} == {(k, *v) for k, v in repeats(rows, 100).items()}
+
+
+def test_different_texts_of_one_key(spark):
+    """Texts that share a key, or have none, lose only what repeats in themselves or before them."""
+    own = lambda c: " ".join(f"{c}{i * i}" for i in range(60))
+    rows = [(None, own("n")), (None, own("m")), (None, own("m")), (4, own("a")), (4, own("b") + own("a")), (4, own("b") + own("a")), (5, own("c")), (6, own("n") + "!"), (6, own("z"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_bytes, r.kept_sha256) for r in suffixes.kept_digests(df).collect()}
+    # the order of texts of one key is that of a hash; either of the two may come first
+    tails = [[(4, own("a")), (4, own("b") + own("a"))], [(4, own("b") + own("a")), (4, own("a"))]]
+    wanted = []
+    for four in tails:
+        places = {-2: own("n"), -1: own("m"), 1: four[0][1], 2: four[1][1], 5: own("c"), 6: own("n") + "!", 7: own("z")}
+        names = {-2: None, -1: None, 1: 4, 2: 4, 5: 5, 6: 6, 7: 6}
+        wanted.append({(names[k], n, h) for k, (n, _, _, h) in repeats(list(places.items()), 100).items()})
+    assert got in wanted
+    assert suffixes.kept_digests(df).count() == len(rows)
+    left = [(r.doc_id, r.text) for r in suffixes.without_repeats(df).collect()]
+    assert left.count((None, own("m"))) == 2 and (5, own("c")) in left and (6, own("z")) in left
+
+
+def test_no_bucket_is_held_beyond_the_bound(spark, monkeypatch):
+    """One passage in more and more documents: what a task holds of a bucket stays flat."""
+    rng = random.Random(12)
+    prose = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, texts = prose(300), [prose(120) for _ in range(4000)]
+    schema = "key long, sub long, start long, n long, offset long, bytes binary"
+    most = []
+    for n in (500, 2000):
+        slabs = []
+        for b in suffixes._slab_rows(100)(iter([_asked_batch(texts, passage, n)])):
+            slabs += b.to_pylist()
+        held = []
+        monkeypatch.setattr(suffixes, "repeats_in_bucket", lambda rows, window: held.append(len(rows)) or [])
+        frame = spark.createDataFrame([tuple(r.values()) for r in slabs if r["data"] is not None], "bucket long, key long, sub long, start long, n long, offset long, data binary")
+        found = suffixes._sorted_buckets(100, 50)
+        rows = frame.orderBy("bucket").toArrow().to_batches()
+        out = [r for b in found(iter(rows)) for r in b.to_pylist()]
+        assert set(out[0]) == {c.split()[0] for c in schema.split(", ")}
+        most.append(max([0, *held]))
+    assert most[1] <= 50 and any(r["bytes"] is not None for r in out)
+
+
+def _asked_batch(texts, passage, n):
+    import pyarrow as pa
+
+    rows = [texts[i] + passage + texts[-1 - i] for i in range(n)]
+    asked = [[{"start": s, "n": 30, "offset": 20} for s in (90, 320)] for _ in rows]
+    return pa.record_batch([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(rows), pa.array(asked)], names=["key", "sub", "text", "blocks"])
