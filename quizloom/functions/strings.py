@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,19 @@ from pyspark.sql import functions as F
 # and (?U)\s are both different sets, so the class is spelled out.
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 SPACE_NO_LF = r"\x09\x0B-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: The same characters one by one.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -72,5 +81,13 @@ def is_id(c: Column) -> Column:
 
 
 def type_name(df, column: str) -> Column:
-    """The type of a field, and whether it is there."""
-    return F.lit(df.schema[column].dataType.simpleString())
+    """The type of a field; "missing" where the collection hasn't the field."""
+    return F.lit(df.schema[column].dataType.simpleString() if column in df.columns else "missing")
+
+
+def present(c: Column) -> Column:
+    return c.isNotNull()
+
+
+def minutes_later(c: Column, minutes: int) -> Column:
+    return c + F.make_dt_interval(mins=F.lit(minutes))

@@ -6,6 +6,8 @@ change, and :func:`append` and :func:`replace` write it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,21 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Writes beside the old version first: a plan may still read what it replaces."""
+    """Writes the new version beside the old one, which a plan may still read, and then swaps their
+    names.  What fails before the swap leaves the old version; both are whole at any time."""
     spark = rows.sparkSession
-    fresh = f"{path.rstrip('/')}.new"
-    rows.write.mode("overwrite").parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
+    base = path.rstrip("/")
+    fresh, old = (f"{base}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    rows.write.parquet(fresh)
+    to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = to(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    had_one = fs.exists(to(base))
+    if had_one and not fs.rename(to(base), to(old)):
+        raise OSError(f"{base} can't be moved; the new version is {fresh}")
+    if not fs.rename(to(fresh), to(base)):
+        raise OSError(f"{fresh} can't be moved; the old version is {old}")
+    if had_one:
+        fs.delete(to(old), True)
 
 
 def backfill(df: DataFrame, changes: DataFrame, key: str, columns: list[str], only_blank: bool = True) -> DataFrame:

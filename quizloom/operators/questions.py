@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizloom.functions.strings import SPACE, blank_to_null, collapse, lines, parser_key, strip
+from quizloom.functions.strings import SPACE, blank_to_null, collapse, let, lines, parser_key, strip
 
 W = f"[{SPACE}]"
 # The patterns of the question format, case-insensitive.
@@ -19,6 +19,8 @@ _HEAD_NUMBER = rf"(?us)\A{W}*(\p{{Nd}}{{1,4}}){W}*[.:)]{W}*(.*)\z"
 _CHAPTER = rf"(?ius)\A{W}*(?:Chương|Bài|Phần){W}+(?:[0-9]+|[IVXLCDM]+|[A-Z])(?:{W}*[:.\-]{W}*|{W}+|\z).*\z"
 _OPTION = rf"(?ius)\A{W}*(?:đáp{W}*án{W}*)?([A-D]){W}*[.):\-]{W}*(.+?)\z"
 _MARKER = rf"(?iu)(?:\A|{W})(?:đáp{W}*án{W}*)?([A-D]){W}*[.):\-]{W}*"
+# a line with two options has two of an option's marks
+_TWO_MARKS = r"(?s)[.):\-].*[.):\-]"
 _ANSWERS = (
     rf"(?iu)(?:Đáp{W}*án(?:{W}*đúng)?|ĐA){W}*[.:)\-]{W}*([A-D])",
     rf"(?iu)(?:Correct{W}*)?(?:Answer|Ans){W}*[.:)\-]{W}*([A-D])",
@@ -57,10 +59,11 @@ def _found(c: Column, patterns: tuple[str, ...]) -> Column:
 
 def inline_options(c: Column) -> Column:
     """Options of a line that holds two or more markers: the text between markers; empty texts go."""
-    keys, texts = F.regexp_extract_all(c, F.lit(_MARKER), F.lit(1)), F.split(c, _MARKER, -1)
-    texts = F.slice(texts, F.lit(2), F.greatest(F.size(keys), F.lit(0)))
-    pairs = F.zip_with(keys, texts, lambda k, t: F.struct(F.upper(k).alias("key"), strip(t).alias("text")))
-    return F.when(F.size(keys) >= 2, F.filter(pairs, lambda o: o["text"] != "")).otherwise(F.array().cast(_NO_OPTIONS))
+    keys, texts = F.regexp_extract_all(c, F.lit(_MARKER), F.lit(1)), F.slice(F.split(c, _MARKER, -1), F.lit(2), F.lit(1 << 30))
+    pairs = lambda keys: F.zip_with(keys, texts, lambda k, t: F.struct(F.upper(k).alias("key"), strip(t).alias("text")))
+    none = F.array().cast(_NO_OPTIONS)
+    found = let(keys, lambda keys: F.when(F.size(keys) >= 2, F.filter(pairs(keys), lambda o: o["text"] != "")).otherwise(none))
+    return F.when(c.rlike(_TWO_MARKS), found).otherwise(F.when(c.isNotNull(), none))
 
 
 def answer_key(text: Column, strict: bool = True) -> Column:
@@ -140,6 +143,35 @@ def _fold(head: Column, number: Column, body: Column) -> Column:
     return F.aggregate(body, start, step)
 
 
+def _finished(q: Column) -> Column:
+    """struct(question_text, options, marked_answer) of a folded segment, null if it isn't a question."""
+    read = F.struct(
+        strip(collapse(F.regexp_replace(q["text"], _NUMBERING, ""))).alias("text"),
+        F.transform(q["options"], lambda o: o["key"]).alias("keys"),
+        q["options"].alias("options"),
+        q["raws"].alias("raws"),
+    )
+
+    def distinct(x: Column) -> Column:
+        options = F.filter(x["options"], lambda o, i: F.array_position(x["keys"], o["key"]) == i + 1)
+        lost_a = F.when(F.element_at(x["keys"], 1) == "B", blank_to_null(strip(F.regexp_extract(x["text"], _MISSING_A, 1))))
+        return let(F.struct(x["text"].alias("text"), options.alias("options"), lost_a.alias("lost_a"), x["raws"].alias("raws")), complete)
+
+    def complete(x: Column) -> Column:
+        lost = x["lost_a"].isNotNull()
+        with_a = F.concat(F.array(F.struct(F.lit("A").alias("key"), x["lost_a"].alias("text"))), x["options"])
+        marked = F.filter(F.transform(x["raws"], lambda r: _found(strip(r), _MARKED)), lambda a: a.isNotNull())
+        made = F.struct(
+            F.when(lost, strip(F.regexp_replace(x["text"], _MISSING_A, ""))).otherwise(x["text"]).alias("question_text"),
+            F.slice(F.when(lost, with_a).otherwise(x["options"]), 1, 4).alias("options"),
+            F.try_element_at(marked, F.lit(1)).alias("marked_answer"),
+        )
+        return F.when(F.size(x["options"]) >= 2, made)
+
+    fits = (q["text"] != "") & (F.size(q["options"]) >= 2)
+    return F.when(fits, let(read, lambda x: F.when(F.length(x["text"]) >= 3, distinct(x))))
+
+
 def parse_questions(docs: DataFrame, key: str = "doc_id", text: str = "text", strict_key: bool = True) -> DataFrame:
     """(key, order, number, chapter, question_text, options, correct_answer, answer_source).
 
@@ -163,27 +195,13 @@ def parse_questions(docs: DataFrame, key: str = "doc_id", text: str = "text", st
     chapter = F.last(F.when(F.col("head.kind") == "chapter", F.col("head.line")), ignorenulls=True).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
     after = F.lead(F.when(F.col("head.kind") == "answer", F.col("head.letter"))).over(in_doc)
     segments = segments.withColumns({"chapter": F.coalesce(chapter, F.lit(NO_CHAPTER)), "inline_answer": after}).where(F.col("head.kind") == "head")
-    folded = segments.withColumn("q", _fold(F.col("head.head_text"), F.col("head.number"), F.col("body")))
-    cleaned = strip(collapse(F.regexp_replace("q.text", _NUMBERING, "")))
-    valid = folded.where((F.col("q.text") != "") & (F.size("q.options") >= 2)).withColumn("question_text", cleaned).where(F.length("question_text") >= 3)
-    keys = F.transform("q.options", lambda o: o["key"])
-    valid = valid.withColumn("options", F.filter("q.options", lambda o, i: F.array_position(keys, o["key"]) == i + 1)).where(F.size("options") >= 2)
-    lost_a = blank_to_null(strip(F.regexp_extract("question_text", _MISSING_A, 1)))
-    lost_a = F.when(F.element_at("options", 1)["key"] == "B", lost_a)
-    with_a = F.concat(F.array(F.struct(F.lit("A").alias("key"), F.col("lost_a").alias("text"))), F.col("options"))
-    valid = valid.withColumn("lost_a", lost_a)
-    marked = F.filter(F.transform("q.raws", lambda r: _found(strip(r), _MARKED)), lambda a: a.isNotNull())
-    valid = valid.withColumns(
-        {
-            "options": F.slice(F.when(F.col("lost_a").isNotNull(), with_a).otherwise(F.col("options")), 1, 4),
-            "question_text": F.when(F.col("lost_a").isNotNull(), strip(F.regexp_replace("question_text", _MISSING_A, ""))).otherwise(F.col("question_text")),
-            "marked_answer": F.try_element_at(marked, F.lit(1)),
-        }
-    )
+    # a generator computes its argument once; a projection would, for each mention of it
+    folded = let(_fold(F.col("head.head_text"), F.col("head.number"), F.col("body")), _finished)
+    valid = segments.select(key, "seg", "head.number", "chapter", "inline_answer", F.inline(F.filter(F.array(folded), lambda x: x.isNotNull())))
     if not strict_key:
         table = docs.select(F.col(key).alias("__key"), answer_key(F.col(text), strict=False).alias("table"))
         valid = valid.join(table, F.col(key) == F.col("__key"), "left").drop("__key")
-        listed = F.try_element_at(F.filter("table", lambda p: p["number"] == F.col("head.number")), F.lit(-1))["letter"]
+        listed = F.try_element_at(F.filter("table", lambda p: p["number"] == F.col("number")), F.lit(-1))["letter"]
     else:
         listed = F.lit(None).cast("string")
     answer = F.coalesce("inline_answer", "marked_answer", listed, F.lit(""))
@@ -191,7 +209,7 @@ def parse_questions(docs: DataFrame, key: str = "doc_id", text: str = "text", st
     return valid.select(
         key,
         F.col("seg").cast("int").alias("order"),
-        F.col("head.number").alias("number"),
+        "number",
         "chapter",
         "question_text",
         "options",
@@ -248,13 +266,13 @@ def group_chapters(questions: DataFrame, key: str, base_title: str, fallback_cha
     """One quiz per chapter, in order of first appearance: (key, quiz_no, chapter, title, questions)."""
     grouped = questions.groupBy(key, "chapter").agg(
         F.min("order").alias("first_order"),
+        F.min(base_title).alias(base_title),
         F.array_sort(F.collect_list(F.struct("order", "question_text", "options", "correct_answer"))).alias("questions"),
     )
     number = F.row_number().over(Window.partitionBy(key).orderBy("first_order"))
     title = F.concat_ws(" - ", F.col(base_title), blank_to_null(F.col("chapter")))
     chapter = F.coalesce(blank_to_null(F.col("chapter")), F.lit(fallback_chapter))
-    titles = questions.select(key, base_title).distinct()
-    return grouped.join(titles, key).select(key, number.alias("quiz_no"), chapter.alias("chapter"), title.alias("title"), F.size("questions").alias("total_questions"), "questions")
+    return grouped.select(key, number.alias("quiz_no"), chapter.alias("chapter"), title.alias("title"), F.size("questions").alias("total_questions"), "questions")
 
 
 def answer_statistics(questions: DataFrame, by: list[str]) -> DataFrame:

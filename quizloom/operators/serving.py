@@ -15,6 +15,16 @@ def published(quizzes: DataFrame) -> DataFrame:
     return quizzes.where(F.col("is_public") & F.col("is_approved"))
 
 
+def owned(df: DataFrame, user_id: str) -> DataFrame:
+    """The rows of one user, whose id is kept as a string."""
+    return df.where(F.col("user_id") == user_id)
+
+
+def user_row(users: DataFrame) -> DataFrame:
+    """Users as shown to themselves: what isn't selected can't leak."""
+    return users.select("id", "email", "full_name", "picture")
+
+
 def matching(df: DataFrame, **patterns: str | None) -> DataFrame:
     """Rows whose columns match the given regular expressions anywhere, in any case; null and "" don't filter."""
     for column, pattern in patterns.items():
@@ -23,9 +33,17 @@ def matching(df: DataFrame, **patterns: str | None) -> DataFrame:
     return df
 
 
+def filter_values(df: DataFrame, *columns: str) -> DataFrame:
+    """(column, value): each column's distinct values without null and "", in one pass over the columns."""
+    pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns)))
+    return df.select(pairs).where("value <> ''").distinct()
+
+
 def filter_options(df: DataFrame, *columns: str) -> DataFrame:
-    """One row: each column's distinct values without null and "", ascending; in one pass."""
-    return df.agg(*(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))).alias(c) for c in columns))
+    """One row: each column's distinct values, ascending.  Only distinct values are gathered, and a form
+    shows them all; :func:`filter_values` has them as rows."""
+    found = filter_values(df, *columns)
+    return found.agg(*(F.array_sort(F.collect_list(F.when(F.col("column") == c, F.col("value")))).alias(c) for c in columns))
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizloom.functions.strings import SPACE, SPACE_NO_LF, is_blank, lines, rfind, strip
+from quizloom.functions.strings import SPACE, SPACE_NO_LF, is_blank, let, lines, rfind, strip
 
 MAX_INPUT, MIN_INPUT = 120_000, 100
 REPEATED_UNDER, REPEATED_TIMES = 80, 3
@@ -51,11 +51,6 @@ def remove_page_numbers(c: Column) -> Column:
     return c
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: inside a lambda a column is computed for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeated_lines(c: Column) -> Column:
     """The stripped short lines that occur ``REPEATED_TIMES`` times or more: in a sorted
     array those are the ones equal to the entry two places on."""
@@ -65,21 +60,31 @@ def repeated_lines(c: Column) -> Column:
         ahead = F.slice(found, REPEATED_TIMES, F.greatest(F.size(found), F.lit(1)))
         return F.filter(F.zip_with(found, ahead, lambda a, b: F.when(a == b, a)), lambda s: s.isNotNull())
 
-    return F.array_distinct(_let(short, same_ahead))
+    return F.array_distinct(let(short, same_ahead))
+
+
+def _without_repeated(c: Column, result) -> Column:
+    """``result`` of (text, all lines, repeated lines, kept lines), each computed once."""
+
+    def from_lines(x: Column) -> Column:
+        kept = F.filter(x["all"], lambda line: ~F.array_contains(x["repeated"], strip(line)))
+        return F.when(F.size(x["repeated"]) > 0, result(x, kept)).otherwise(result(x, x["all"]))
+
+    return let(c, lambda c: let(F.struct(c.alias("text"), lines(c).alias("all"), repeated_lines(c).alias("repeated")), from_lines))
 
 
 def remove_repeated_lines(c: Column) -> Column:
     """Without any occurrence of a repeated short line; other lines as they are."""
+    return _without_repeated(c, lambda x, kept: F.array_join(kept, "\n"))
 
-    def without(repeated: Column) -> Column:
-        kept = F.filter(lines(c), lambda line: ~F.array_contains(repeated, strip(line)))
-        return F.when(F.size(repeated) > 0, F.array_join(kept, "\n")).otherwise(c)
 
-    return _let(repeated_lines(c), without)
+def removed_line_count(c: Column) -> Column:
+    return _without_repeated(c, lambda x, kept: F.size(x["all"]) - F.size(kept))
 
 
-def removed_line_count(c: Column) -> Column:
-    return _let(repeated_lines(c), lambda repeated: F.size(F.filter(lines(c), lambda line: F.array_contains(repeated, strip(line)))))
+def repeated_removed(c: Column) -> Column:
+    """struct(cleaned, removed): the text without repeated lines, and how many went."""
+    return _without_repeated(c, lambda x, kept: F.struct(F.array_join(kept, "\n").alias("cleaned"), (F.size(x["all"]) - F.size(kept)).alias("removed")))
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -89,14 +94,16 @@ def normalize_whitespace(c: Column) -> Column:
 def smart_truncate(c: Column, limit: int = MAX_INPUT) -> Column:
     """Cut at the limit, back to the last blank line if that keeps over 70%, else to the
     last sentence if that keeps over 80%; stripped if cut."""
-    head = F.substring(c, 1, limit)
-    paragraph, sentence = rfind(head, "\n\n"), rfind(head, ". ")
-    cut = (
-        F.when(paragraph > limit * 0.7, F.substring(head, F.lit(1), paragraph))
-        .when(sentence > limit * 0.8, F.substring(head, F.lit(1), sentence + 1))
-        .otherwise(head)
-    )
-    return F.when(F.length(c) <= limit, c).otherwise(strip(cut))
+    def cut(x: Column) -> Column:
+        return (
+            F.when(x["paragraph"] > limit * 0.7, F.substring(x["head"], F.lit(1), x["paragraph"]))
+            .when(x["sentence"] > limit * 0.8, F.substring(x["head"], F.lit(1), x["sentence"] + 1))
+            .otherwise(x["head"])
+        )
+
+    places = lambda head: F.struct(head.alias("head"), rfind(head, "\n\n").alias("paragraph"), rfind(head, ". ").alias("sentence"))
+    shortened = lambda c: strip(let(F.substring(c, 1, limit), lambda head: let(places(head), cut)))
+    return let(c, lambda c: F.when(F.length(c) <= limit, c).otherwise(shortened(c)))
 
 
 def preprocess(c: Column, limit: int = MAX_INPUT) -> Column:

@@ -7,6 +7,7 @@ as comments, parts rendered as question sheets.  Every query reads its whole tab
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import strings
 from quizloom.operators import dml, grading, questions, quiz_json, serving, text
+from quizloom.plans import building
 from quizloom.sources import files, provider
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +78,7 @@ def text_whitespace(spark, sf_dir):
 
 @query(f"WITH src AS (SELECT doc_id, text AS t FROM documents), {_REPEATED} SELECT doc_id, t AS cleaned, CAST(removed AS INTEGER) AS removed FROM left_over")
 def text_repeated_lines(spark, sf_dir):
-    c = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", text.remove_repeated_lines(c).alias("cleaned"), text.removed_line_count(c).alias("removed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(text.repeated_removed(F.col("text")))))
 
 
 @query(
@@ -607,10 +608,9 @@ def json_validate(spark, sf_dir):
     listed = F.concat(F.lit("["), question(sound, F.lit(False)), F.lit(","), question(options, F.lit(True)), F.lit("]"))
     body = F.when(kind == 1, '{"title": "t"}').when(kind == 2, '{"questions": "none"}').otherwise(F.concat(F.lit('{"questions": '), listed, F.lit("}")))
     fenced = F.when(kind == 0, "no JSON here").when(kind == 9, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    v = quiz_json.validate(F.col("reply"))
     made = table(spark, sf_dir, "part").select("p_partkey", fenced.alias("reply"))
     parses = F.coalesce(F.size(quiz_json.parse(F.col("reply"))["questions"]) > 0, F.lit(False))
-    return made.select("p_partkey", v["question_no"].alias("question_no"), v["code"].alias("code"), parses.alias("parses"))
+    return made.select("p_partkey", parses.alias("parses"), F.inline(F.array(quiz_json.validate(F.col("reply")))))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -744,3 +744,140 @@ def solve_offline(spark, sf_dir):
     batched = questions.number_and_batch(found, ["doc_id"], ["order"], 30)
     merged = questions.merge_solved(batched.select("doc_id", "batch_no", "batch_index", "order"), solved, ["doc_id", "batch_no"]).select("doc_id", "order", "letter")
     return questions.resolve_answers(found, merged, ["doc_id", "order"]).select("doc_id", "number", "correct_answer", "answer_source")
+
+
+# -- question formats and quizzes from whole documents --------------------------------------------
+
+def _formats(spark, sf_dir) -> DataFrame:
+    """Parts as sheets of four formats by key, with an answer table behind a chapter heading: numeric heads,
+    options in the head, a lost A, a repeated option."""
+    key, size, kind = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    number = (F.col("p_partkey") % 20 + 1).cast("string")
+    letter = F.char((F.lit(65) + F.col("p_partkey") % 3).cast("int"))
+    ask = F.concat(F.lit("Which size has "), "p_name", F.lit(" no. "), key, F.lit("?"))
+    option = lambda x, w: F.concat(F.lit(f"{x}. {w} "), size)
+    four = [option("A", "small"), option("B", "wide"), option("C", "tall"), option("D", "deep")]
+    sheet = (
+        F.when(kind == 0, F.concat_ws("\n", F.concat(number, F.lit(") "), ask), *four))
+        .when(kind == 1, F.concat_ws(" ", F.concat(F.lit("Câu "), number, F.lit(": "), ask), *four))
+        .when(kind == 2, F.concat_ws("\n", F.concat(F.lit("Question "), number, F.lit(": "), ask, F.lit(" A. Small "), size), *four[1:]))
+        .otherwise(F.concat_ws("\n", F.concat(F.lit("Q"), number, F.lit(". "), ask), *four, option("B", "again")))
+    )
+    rows = F.array_sort(F.collect_list(F.struct("p_partkey", sheet.alias("t"), F.concat(number, F.lit(" | "), letter).alias("k"))))
+    joined = lambda field: F.array_join(F.transform(rows, lambda s: s[field]), "\n")
+    made = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 20).alias("doc_id"))
+    return made.agg(F.concat(joined("t"), F.lit("\nPhần 2: answers\nANSWER KEY\n"), joined("k")).alias("text"))
+
+
+@query(
+    """
+    SELECT p_partkey // 20 AS doc_id, CAST(p_partkey % 20 + 1 AS INTEGER) AS number, 'Tổng hợp' AS chapter,
+           'Which size has ' || p_name || ' no. ' || p_partkey || '?' AS question_text,
+           CASE WHEN p_partkey % 4 = 2 THEN 'A=Small ' ELSE 'A=small ' END || p_size || '|B=wide ' || p_size || '|C=tall ' || p_size || '|D=deep ' || p_size AS options,
+           chr(CAST(65 + p_partkey % 3 AS INTEGER)) AS correct_answer, 'table' AS answer_source
+    FROM part
+    """
+)
+def mcq_formats(spark, sf_dir):
+    found = questions.parse_questions(_formats(spark, sf_dir), strict_key=False)
+    return found.select("doc_id", "number", "chapter", "question_text", _shown(), "correct_answer", "answer_source")
+
+
+def first_words(prompt: str, text: str) -> str:
+    """A provider for the queries below: a quiz of two questions on a text's first line, C for every open question."""
+    if prompt.startswith("solve"):
+        return json.dumps({"questions": [{"index": i + 1, "correct_answer": "C", "explanation": ""} for i in range(text.count("\n\n") + 1)]})
+    if text.startswith("refuse"):
+        raise ConnectionError
+    options = [{"key": k, "text": f"{k} of it"} for k in "ABCD"]
+    head = text.split("\n", 1)[0]
+    return json.dumps({"questions": [{"question_text": f"{n} in {head}?", "options": options, "correct_answer": "D"} for n in ("First", "Second")]})
+
+
+def _uploads(spark, sf_dir) -> DataFrame:
+    """Question sheets in two chapters; of three documents one has no questions, and of twelve one is refused."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    half = F.when(F.col("p_partkey") % 20 == 0, "Chương 1: first\n").when(F.col("p_partkey") % 20 == 10, "Chương 2: second\n").otherwise("")
+    answer = F.when(F.col("p_partkey") % 2 == 0, "\nĐáp án: B").otherwise("")
+    part = F.concat(half, F.lit("Câu "), (F.col("p_partkey") % 20 + 1).cast("string"), F.lit(": Which size has no. "), key, F.lit("?\nA. small "), size, F.lit("\nB. wide "), size, F.lit("\nC. tall "), size, answer)
+    doc = F.floor(F.col("p_partkey") / 20)
+    sheet = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", part.alias("t")))), lambda s: s["t"]), "\n")
+    made = table(spark, sf_dir, "part").groupBy(doc.alias("doc_id")).agg(sheet.alias("t"))
+    plain = F.concat(F.when(F.col("doc_id") % 12 == 0, "refuse ").otherwise("lesson "), F.col("doc_id").cast("string"), F.lit("\nnothing to choose"))
+    text = F.when(F.col("doc_id") % 3 == 0, plain).otherwise(F.col("t"))
+    return made.select("doc_id", text.alias("text"), F.concat(F.lit("upload "), F.col("doc_id").cast("string")).alias("title"))
+
+
+_ASKED = """
+    uploaded AS (
+        SELECT p_partkey // 20 AS doc_id, 'Which size has no. ' || p_partkey || '?' AS question_text, CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE '' END AS correct_answer,
+               CASE WHEN p_partkey % 2 = 0 THEN 'inline' ELSE 'none' END AS answer_source,
+               CASE WHEN first_half THEN 'Chương 1: first' WHEN p_partkey % 20 >= 10 AND has_ten THEN 'Chương 2: second' ELSE 'Tổng hợp' END AS chapter, p_partkey AS place
+        FROM (SELECT *, p_partkey % 20 < 10 AND bool_or(p_partkey % 20 = 0) OVER w AS first_half, bool_or(p_partkey % 20 = 10) OVER w AS has_ten FROM part WINDOW w AS (PARTITION BY p_partkey // 20))
+        WHERE p_partkey // 20 % 3 <> 0
+        UNION ALL
+        SELECT doc_id, n || ' in lesson ' || doc_id || '?', 'D', 'generated', 'Tổng hợp', place
+        FROM (SELECT DISTINCT p_partkey // 20 AS doc_id FROM part), (VALUES ('First', 1), ('Second', 2)) AS t(n, place) WHERE doc_id % 3 = 0 AND doc_id % 12 <> 0
+    )
+"""
+
+
+@query(f"WITH {_ASKED} SELECT doc_id, chapter, question_text, correct_answer, answer_source FROM uploaded")
+def extract_or_generate(spark, sf_dir):
+    """Questions found in the documents; generated ones for those that hold none."""
+    found, _ = building.extract_or_generate(_uploads(spark, sf_dir), ask=first_words)
+    return found.select("doc_id", "chapter", "question_text", "correct_answer", "answer_source")
+
+
+@query(
+    f"""
+    WITH {_ASKED},
+    quizzes AS (
+        SELECT doc_id, chapter, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY min(place)) AS INTEGER) AS quiz_no, CAST(count(*) AS INTEGER) AS total_questions FROM uploaded GROUP BY doc_id, chapter
+    )
+    SELECT u.doc_id, quiz_no, 'upload ' || u.doc_id || ' - ' || chapter AS title, total_questions,
+           CAST(row_number() OVER (PARTITION BY u.doc_id, quiz_no ORDER BY place) AS INTEGER) AS "order", question_text, CASE WHEN correct_answer = '' THEN 'C' ELSE correct_answer END AS correct_answer
+    FROM uploaded u JOIN quizzes USING (doc_id, chapter)
+    """
+)
+def upload_to_quizzes(spark, sf_dir):
+    """Documents to stored quizzes: parsed or generated, solved, one quiz per chapter, questions numbered."""
+    quizzes, each, _ = building.upload_to_quizzes(_uploads(spark, sf_dir), ask=first_words)
+    return each.join(quizzes, ["doc_id", "quiz_no"]).select("doc_id", "quiz_no", "title", "total_questions", "order", "question_text", "correct_answer")
+
+
+@query(
+    """
+    SELECT DISTINCT p_partkey // 20 AS doc_id, CASE WHEN p_partkey // 20 % 12 = 0 THEN 'failed' ELSE 'completed' END AS upload_status,
+           CASE WHEN p_partkey // 20 % 12 = 0 THEN 'provider_error: ConnectionError' ELSE '' END AS error FROM part
+    """
+)
+def upload_statuses(spark, sf_dir):
+    """A provider that raises is one document's failure."""
+    return building.upload_to_quizzes(_uploads(spark, sf_dir), ask=first_words)[2]
+
+
+@query("SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_custkey = 7")
+def owned_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("user_id", F.col("o_custkey").cast("string"))
+    return serving.owned(orders, "7").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+
+
+@query("SELECT c_custkey AS id, c_name || '@example.org' AS email, c_name AS full_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS picture FROM customer")
+def user_rows(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("@example.org")).alias("email"), F.col("c_name").alias("full_name"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("picture"), F.lit("admin").alias("role"),
+    )
+    return serving.user_row(users)
+
+
+@query("SELECT c_mktsegment, 'string' AS kind, 'missing' AS other_kind, c_acctbal IS NOT NULL AS present FROM customer")
+def field_types(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_mktsegment", strings.type_name(c, "c_mktsegment").alias("kind"), strings.type_name(c, "no_such_field").alias("other_kind"), strings.present(F.col("c_acctbal")).alias("present"))
+
+
+@query("SELECT event_id, ts + INTERVAL 90 MINUTE AS expires FROM events")
+def token_expiry(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", strings.minutes_later(F.col("ts"), 90).alias("expires"))

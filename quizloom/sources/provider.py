@@ -2,7 +2,8 @@
 
 A provider is a picklable callable (system prompt, text) -> JSON string.  The default is
 deterministic and offline.  A completion is asked for again, with growing waits, only if it
-isn't JSON or fails the given check; a row that still fails carries its error.
+isn't JSON or fails the given check.  A row whose provider raises, takes longer than the
+timeout or still fails after the last attempt carries its error; the job goes on.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, TimeoutError
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,8 @@ from pyspark.sql import types as T
 
 Provider = Callable[[str, str], str]
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 2.0, 15.0
+#: Seconds for a completion and for a tutor's reply; calls that a task has in flight.
+TIMEOUT, TUTOR_TIMEOUT, IN_FLIGHT = 300.0, 30.0, 5
 
 
 def offline(prompt: str, text: str) -> str:
@@ -39,11 +43,14 @@ def _ask(provider: Provider, prompt: str, text: str, check: Callable[[dict], boo
     for attempt in range(ATTEMPTS):
         try:
             reply = provider(prompt, text)
+        except Exception as e:  # one row's error, not the job's
+            return None, f"provider_error: {type(e).__name__}"
+        try:
             data = json.loads(reply)
             if check is None or check(data):
                 return reply, None
             error = "bad_structure"
-        except json.JSONDecodeError:
+        except (TypeError, ValueError):
             error = "bad_json"
         if attempt + 1 < ATTEMPTS:
             sleep(wait)
@@ -51,32 +58,55 @@ def _ask(provider: Provider, prompt: str, text: str, check: Callable[[dict], boo
     return None, error
 
 
-def complete(df: DataFrame, prompt: str, text: str, provider: Provider = offline, check: Callable[[dict], bool] | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Adds ``reply`` and ``reply_error``.  Calls in flight are as many as partitions run at once."""
+def complete(
+    df: DataFrame,
+    prompt: str,
+    text: str,
+    provider: Provider = offline,
+    check: Callable[[dict], bool] | None = None,
+    sleep: Callable[[float], None] = time.sleep,
+    timeout: float = TIMEOUT,
+    in_flight: int = IN_FLIGHT,
+    tasks: int | None = None,
+) -> DataFrame:
+    """Adds ``reply`` and ``reply_error``.  A task has at most ``in_flight`` calls running, so the job
+    has at most that many times ``tasks``, if given, and else times the tasks that run at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [_ask(provider, p or "", t or "", check, sleep) for p, t in zip(batch[prompt], batch[text], strict=True)]
-            yield batch.assign(reply=[r for r, _ in got], reply_error=[e for _, e in got])
+        pool = ThreadPoolExecutor(in_flight)
+        try:
+            for batch in batches:
+                got: list[tuple[str | None, str | None]] = []
+                pairs = list(zip(batch[prompt], batch[text], strict=True))
+                for start in range(0, len(pairs), in_flight):
+                    calls = [pool.submit(_ask, provider, p or "", t or "", check, sleep) for p, t in pairs[start : start + in_flight]]
+                    until = time.monotonic() + timeout
+                    for i, call in enumerate(calls):
+                        try:
+                            got.append(call.result(max(0.0, until - time.monotonic())))
+                        except TimeoutError:  # its thread can't be stopped, so the next calls get new ones
+                            got.append((None, "timeout"))
+                    if any(not call.done() for call in calls):
+                        pool.shutdown(wait=False, cancel_futures=True)
+                        pool = ThreadPoolExecutor(in_flight)
+                yield batch.assign(reply=[r for r, _ in got], reply_error=[e for _, e in got])
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("reply_error", T.StringType())])
-    return df.mapInPandas(run, schema)
+    return (df.repartition(tasks) if tasks else df).mapInPandas(run, schema)
 
 
-def metadata(docs: DataFrame, key: str, text: str, provider: Provider = offline, window: int = 3000) -> DataFrame:
-    """(key, title, description, ...) from the first ``window`` characters; a bad reply gives blanks."""
+def metadata(docs: DataFrame, key: str, text: str, provider: Provider = offline, window: int = 3000, **options) -> DataFrame:
+    """(key, title, description, ...) from the first ``window`` characters; a reply that fails gives blanks."""
     from quizloom import schemas
 
     asked = docs.select(key, F.substring(text, 1, window).alias("__text"), F.lit("metadata").alias("__prompt"))
     got = F.from_json("reply", schemas.METADATA_JSON)
-    return complete(asked, "__prompt", "__text", provider, sleep=_no_wait).select(key, *(F.coalesce(got[f.name], F.lit("")).alias(f.name) for f in schemas.METADATA_JSON))
-
-
-def _no_wait(seconds: float) -> None:
-    return None
+    return complete(asked, "__prompt", "__text", provider, **options).select(key, *(F.coalesce(got[f.name], F.lit("")).alias(f.name) for f in schemas.METADATA_JSON))
 
 
-def solve(questions: DataFrame, key: str, provider: Provider = offline, size: int = 30) -> DataFrame:
+def solve(questions: DataFrame, key: str, provider: Provider = offline, size: int = 30, **options) -> DataFrame:
     """(key, batch_no, pos, index, letter): one call per batch of questions that lack an answer; a failed batch has no rows."""
     from quizloom import schemas
     from quizloom.operators.questions import number_and_batch
@@ -86,12 +116,26 @@ def solve(questions: DataFrame, key: str, provider: Provider = offline, size: in
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch_index", shown.alias("t")))), lambda x: x["t"]), "\n\n")
     batches = batched.groupBy(key, "batch_no").agg(text.alias("__text")).withColumn("__prompt", F.lit("solve"))
     got = F.from_json("reply", schemas.SOLVED_JSON)["questions"]
-    rows = complete(batches, "__prompt", "__text", provider, sleep=_no_wait).where("reply IS NOT NULL").select(key, "batch_no", F.posexplode(got).alias("pos", "r"))
+    rows = complete(batches, "__prompt", "__text", provider, **options).where("reply IS NOT NULL").select(key, "batch_no", F.posexplode(got).alias("pos", "r"))
     return rows.select(key, "batch_no", "pos", F.col("r.index").alias("index"), F.col("r.correct_answer").alias("letter"))
 
 
-def tutor(comments: DataFrame, provider: Provider = offline) -> DataFrame:
+def generate(docs: DataFrame, key: str, text: str, provider: Provider = offline, mode: str = "generate", count: int = 10, difficulty: str = "medium", language: str = "vi", **options) -> tuple[DataFrame, DataFrame]:
+    """(questions, failures) of one generated quiz per document: (key, order, question_text, options,
+    correct_answer, explanation) of valid replies without repeated questions, and (key, error) of
+    documents whose reply failed, isn't valid or has no questions."""
+    from quizloom.operators import quiz_json
+
+    asked = docs.select(key, text, prompt_for(mode, F.lit(language), F.lit(count), F.lit(difficulty)).alias("__prompt"))
+    replies = complete(asked, "__prompt", text, provider, **options).select(key, "reply", "reply_error")
+    code = F.when(F.col("reply_error").isNotNull(), F.col("reply_error")).otherwise(quiz_json.validate(F.col("reply"))["code"])
+    judged = replies.select(key, code.alias("error"), quiz_json.parse(F.col("reply")).alias("quiz"))
+    judged = judged.withColumn("error", F.when((F.col("error") == "") & (F.size("quiz.questions") == 0), "no_questions").otherwise(F.col("error")))
+    return quiz_json.explode_questions(judged.where("error = ''"), key, "quiz"), judged.where("error <> ''").select(key, "error")
+
+
+def tutor(comments: DataFrame, provider: Provider = offline, timeout: float = TUTOR_TIMEOUT, **options) -> DataFrame:
     """Comments with a reply to each question asked, null where the provider fails."""
-    options = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(". "), o["text"])), "\n")
-    asked = comments.withColumn("__text", F.concat_ws("\n", "question_text", options, "content")).withColumn("__prompt", F.lit("tutor"))
-    return complete(asked, "__prompt", "__text", provider, sleep=_no_wait).drop("__text", "__prompt", "reply_error")
+    choices = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(". "), o["text"])), "\n")
+    asked = comments.withColumn("__text", F.concat_ws("\n", "question_text", choices, "content")).withColumn("__prompt", F.lit("tutor"))
+    return complete(asked, "__prompt", "__text", provider, timeout=timeout, **options).drop("__text", "__prompt", "reply_error")

@@ -107,7 +107,7 @@ def by_lines(rows):
 def test_fold_agrees_with_a_reading_line_by_line(spark):
     rng = random.Random(4)
     kinds = ["Chương 2: c{}", "Bài {}", "Câu {}: ask {}", "{}. ask {}", "Câu 0: z {}", "{}.", "Đáp án: C", "=> d", "A. one {}", "b) two {}", "C. three", "D. four", "A. p B. q", "plain {}", "", "3. in A. x B. y {}"]
-    texts = ["\n".join(rng.choice(kinds).replace("{}", str(rng.randint(1, 99))) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    texts = ["\n".join(rng.choice(kinds).replace("{}", str(rng.randint(1, 99))) for _ in range(rng.randint(0, 25))) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     line = F.col("line")
     option = F.when(line.rlike(q._OPTION), F.struct(F.upper(F.regexp_extract(line, q._OPTION, 1)).alias("key"), F.regexp_extract(line, q._OPTION, 2).alias("text")))
@@ -121,13 +121,15 @@ def test_fold_agrees_with_a_reading_line_by_line(spark):
     keep = []
     for d, c, t, o, a in want:
         t = re.sub(r"^(?:Câu)?\s*\d{1,4}\s*[.:)]\s*", "", t).strip()
-        first = list({k: (k, x) for k, x in reversed(o)}.values())[::-1]
         first = [x for i, x in enumerate(o) if x[0] not in [y[0] for y in o[:i]]]
-        if len(t) >= 3 and len(first) >= 2 and first[0][0] != "B":
-            keep.append((d, c, t, first[:4], a))
+        if len(t) < 3 or len(first) < 2:
+            continue
+        lost = re.search(r"(?is)(?:^|\s)(?:đáp\s*án\s*)?A\s*[.):\-]?\s+([A-ZĐ0-9].*)$", t) if first[0][0] == "B" else None
+        if lost:
+            t, first = t[: lost.start()].strip(), [("A", lost[1].strip()), *first]
+        keep.append((d, c, t, first[:4], a))
     got = [(r.doc_id, r.chapter, r.question_text, [tuple(o) for o in r.options], r.correct_answer) for r in q.parse_questions(df).orderBy("doc_id", "order").collect()]
-    got = [g for g in got if (g[0], g[1], g[2]) in {(k[0], k[1], k[2]) for k in keep}]
-    assert got == keep
+    assert got == keep and len(got) > 50
 
 
 def test_dedup_batches_and_merge(spark):

@@ -164,6 +164,77 @@ def test_provider_retries(spark):
     assert provider.tutor(asked).first().reply is not None
 
 
+def raising(prompt, text):
+    if text.startswith("slow"):
+        __import__("time").sleep(3)
+    if text.startswith("bad"):
+        raise OSError("no connection")
+    return json.dumps({"title": text})
+
+
+def test_a_provider_that_raises_or_hangs_costs_its_row(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["fine", "bad", "slow", "good", None])], "k int, t string").withColumn("p", F.lit("metadata"))
+    got = {r.k: (r.reply is not None, r.reply_error) for r in provider.complete(df.coalesce(1), "p", "t", raising, timeout=1.0, in_flight=2).collect()}
+    assert got == {0: (True, None), 1: (False, "provider_error: OSError"), 2: (False, "timeout"), 3: (True, None), 4: (True, None)}
+    asked = spark.createDataFrame([("bad", [("A", "x")], "why?")], "question_text string, options array<struct<key:string,text:string>>, content string")
+    assert provider.tutor(asked, raising).first().reply is None
+    assert provider.metadata(df.where("k = 1"), "k", "t", raising).first().title == ""
+    assert provider.complete(df, "p", "t", raising, tasks=3, timeout=1.0).rdd.getNumPartitions() == 3
+
+
+def test_waits_are_the_default_and_calls_are_bounded(spark, tmp_path):
+    import inspect
+
+    options = inspect.signature(provider.complete).parameters
+    assert (options["sleep"].default, options["timeout"].default, options["in_flight"].default) == (__import__("time").sleep, 300.0, 5)
+    folder = str(tmp_path)
+
+    def counting(prompt, text):
+        import os
+        import time
+        import uuid
+
+        mark = f"{folder}/{uuid.uuid4().hex}.running"
+        open(mark, "w").close()
+        time.sleep(0.05)
+        running = sum(n.endswith(".running") for n in os.listdir(folder))
+        os.remove(mark)
+        return json.dumps({"running": running})
+
+    df = spark.range(40).select("id", F.lit("x").alias("p"), F.lit("y").alias("t"))
+    got = [json.loads(r.reply)["running"] for r in provider.complete(df, "p", "t", counting, in_flight=3, tasks=1).collect()]
+    assert 1 < max(got) <= 3
+
+
+def test_generated_quizzes_that_are_not_valid(spark):
+    replies = {"a": quiz(FINE, FINE), "b": quiz(lambda x: x["options"].pop()), "c": json.dumps({"questions": []}), "d": "prose"}
+    df = spark.createDataFrame([(k, k) for k in replies], "k string, t string")
+    found, failures = provider.generate(df, "k", "t", lambda p, t: replies[t], sleep=lambda s: None)
+    assert [(r.k, r.order, r.question_text) for r in found.collect()] == [("a", 1, "What?")]
+    assert {r.k: r.error for r in failures.collect()} == {"b": "option_count", "c": "no_questions", "d": "bad_json"}
+
+
+def test_owner_user_row_and_answers_hidden(spark):
+    users = spark.createDataFrame([("1", "e", "n", None, "admin")], "id string, email string, full_name string, picture string, role string")
+    assert serving.user_row(users).columns == ["id", "email", "full_name", "picture"]
+    rows = spark.createDataFrame([("1", "x"), ("2", "y"), (None, "z")], "user_id string, v string")
+    assert [r.v for r in serving.owned(rows, "1").collect()] == ["x"]
+    shown = serving.hidden_answers(spark.createDataFrame([], schemas.QUESTIONS))
+    assert shown.columns == ["id", "question_text", "options", "order"]
+
+
+def test_replace_swaps_whole_versions(spark, tmp_path):
+    path = str(tmp_path / "c")
+    one, two = spark.range(3).toDF("k"), spark.range(5).toDF("k")
+    dml.replace(one, path)
+    broken = two.select(F.raise_error(F.lit("no")).cast("long").alias("k"))
+    with pytest.raises(Exception):
+        dml.replace(broken, path)
+    assert spark.read.parquet(path).count() == 3
+    dml.replace(two, path)
+    assert spark.read.parquet(path).count() == 5 and not [p for p in tmp_path.iterdir() if ".old-" in p.name]
+
+
 def test_schemas_hold_rows(spark):
     for s in schemas.COLLECTIONS.values():
         assert spark.createDataFrame([], s).schema == s

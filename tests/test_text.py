@@ -29,23 +29,16 @@ def test_rfind(spark):
     "raw,want",
     [
         ("a\nPage 1 of 10\nb", "a\n\nb"),
-        ("Trang 5/20 x", " x"),
+        ("Trang 17/31 y", " y"),
         ("trang 3 TRÊN 7", ""),
-        ("a\n\n  12  \n\nb", "a\n\n\nb"),
-        ("a\n- 5 -\nb", "a\n\nb"),
+        ("a\n\n  12  \n\nb", "a\n\nb"),
+        ("a\n– 42 –\nb", "a\n\nb"),
         ("there are 15 dogs", "there are 15 dogs"),
         ("12345", "12345"),
     ],
 )
 def test_page_numbers(spark, raw, want):
-    import re
-
-    by_rule = re.sub(r"(?i)(page|trang)\s+\d+\s*(of|/|trên)\s*\d+", "", raw)
-    by_rule = re.sub(r"(?m)^\s*\d{1,4}\s*$", "", by_rule)
-    by_rule = re.sub(r"(?m)^\s*[-–—]\s*\d+\s*[-–—]\s*$", "", by_rule)
-    assert one(spark, text.remove_page_numbers, raw) == by_rule
-    if raw.count("\n") < 4:
-        assert by_rule == want
+    assert one(spark, text.remove_page_numbers, raw) == want
 
 
 def test_repeated_lines(spark):
