@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_held: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("held", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under the cluster's ``spark.checkpoint.dir``; only where that
-    is unset, as in tests, under a temporary folder."""
+    """A new folder's path under the cluster's ``spark.checkpoint.dir``; only where that is unset
+    and Spark is local, as in tests, under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quizloom-{uuid.uuid4().hex}"
@@ -22,4 +29,36 @@ def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: computed once, and safe from lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    if (held := _held.get()) is not None:
+        held.append(table)
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Removes a table made by :func:`written`; nothing that is still to be computed may read it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at its end, but for those passed to the function it gives:
+    they belong to the scratch around it, if there is one."""
+    outer, inner = _held.get(), []
+
+    def keep(table: DataFrame) -> DataFrame:
+        inner[:] = [t for t in inner if t.written_to != table.written_to]
+        if outer is not None:
+            outer.append(table)
+        return table
+
+    token = _held.set(inner)
+    try:
+        yield keep
+    finally:
+        _held.reset(token)
+        for table in inner:
+            forget(table)

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -269,34 +269,35 @@ def _left_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: two documents are linked if
     the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent`` hundredths."""
-    sketches = written(_sketches(docs, key, text, width))
-    with_set = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    # equal sets: one vertex each, the least id
-    # written, so that the join below reads two shuffles and a hot set can be split
-    classes = written(with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("fp", "rep"))
-    copies = written(with_set.select("doc_id", "fp").join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "fp").distinct())
-    members = with_set.join(copies.select(F.col("a").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_anti").select("doc_id", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
-    rows = written(members.join(shared, "bucket"))
-    scores = written(rows.groupBy("doc_id").agg(F.sum("in_bucket").alias("score")))
-    rows = rows.drop("in_bucket").join(scores, "doc_id").withColumn("component", F.col("doc_id"))
-    sets = written(_sets(docs, key, text, width, scores.select("doc_id")))
-
-    links = copies.select("a", "b")
-    for _ in range(STAR_ROUNDS):
-        members, pairs = _stars(rows, percent)
-        tested = written(_confirmed(pairs, sets, percent))
-        found = tested.where("linked")
-        links = links.unionByName(found.select("a", "b"))
-        merged = connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        rows = _still_open(members, tested, merged, percent)
-        if rows.isEmpty():
-            break
-    else:
-        left = written(rows.select("doc_id", "component").distinct())
-        apart = _left_open(left, sets, percent).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
-        links = links.unionByName(written(_confirmed(apart, sets, percent)).where("linked").select("a", "b"))
-    labels = connected_components(links)
+    with scratch() as keep:
+        sketches = keep(written(_sketches(docs, key, text, width)))
+        with_set = sketches.where("n > 0 AND doc_id IS NOT NULL")
+        # equal sets: one vertex each, the least id
+        # written, so that the join below reads two shuffles and a hot set can be split
+        classes = written(with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("fp", "rep"))
+        copies = written(with_set.select("doc_id", "fp").join(classes, "fp").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "fp").distinct())
+        members = with_set.join(copies.select(F.col("a").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_anti").select("doc_id", "n", F.explode("bands").alias("bucket"))
+        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1")
+        rows = written(members.join(shared, "bucket"))
+        scores = written(rows.groupBy("doc_id").agg(F.sum("in_bucket").alias("score")))
+        rows = rows.drop("in_bucket").join(scores, "doc_id").withColumn("component", F.col("doc_id"))
+        sets = written(_sets(docs, key, text, width, scores.select("doc_id")))
+
+        links = copies.select("a", "b")
+        for _ in range(STAR_ROUNDS):
+            members, pairs = _stars(rows, percent)
+            tested = written(_confirmed(pairs, sets, percent))
+            found = tested.where("linked")
+            links = links.unionByName(found.select("a", "b"))
+            merged = connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            rows = _still_open(members, tested, merged, percent)
+            if rows.isEmpty():
+                break
+        else:
+            left = written(rows.select("doc_id", "component").distinct())
+            apart = _left_open(left, sets, percent).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+            links = links.unionByName(written(_confirmed(apart, sets, percent)).where("linked").select("a", "b"))
+        labels = keep(connected_components(links))
     named = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left")
     component = F.coalesce("component", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 MIN_TOKENS, MIN_PAGES = 3, 5
 #: A host of which less than one part in so many varies has copies for pages.
@@ -366,7 +366,8 @@ def main_slots(found: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
-    found = written(main_slots(templates(pages, key, url, html)))
+    with scratch() as keep:
+        found = keep(written(main_slots(templates(pages, key, url, html))))
     size = found.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 8 * F.size("fixed"))).first()[0] or 0
     known = F.broadcast(found) if size <= BROADCAST_BYTES else found
 
