@@ -11,7 +11,7 @@ candidates), so any allowed candidate may be picked.  The one picked rejects mos
 good one weighing as much as ``WEIGHT`` bad ones; ties go to the larger cutoffs.  A stratum in
 which nothing is allowed or gains, as one with few labels, gets no cutoffs, whatever others get.
 
-The text statistics are computed in Arrow tasks, one row at a time and independent of
+The text statistics are computed by an Arrow function, one row at a time and independent of
 others, and written; texts are never shuffled.  The holdout is summed to at most
 ``2 * (cutoffs + 1) ** rules`` rows per stratum before it is gathered there, so a task's group doesn't
 grow with the labels, and nothing but the number of strata reaches the driver.
@@ -28,10 +28,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,22 +73,15 @@ def text_stats(text: str) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated
 
 
-def with_stats(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and the statistics of ``text``."""
-    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in STATS)])
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in STATS]))
+def _stats(texts: pa.Array) -> pa.Array:
+    rows = [text_stats(x.as_py() or "") for x in texts]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(STATS), names=list(STATS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                rows = [text_stats(x.as_py() or "") for x in part.column(0)]
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=schema.names)
 
-    if text in keep:
-        df = df.withColumn("__text", F.col(text))
-        text = "__text"
-    return df.select(text, *keep).mapInArrow(run, schema)
+def with_stats(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and the statistics of ``text``; only the text goes to Python, and only numbers come back."""
+    return df.select(*keep, _stats(F.col(text)).alias("__stats")).select(*keep, "__stats.*")
 
 
 def base_failed() -> Column:
@@ -161,16 +152,16 @@ def choose_cutoffs(scored: DataFrame, labels: DataFrame, key: str, stratum: str,
     levels = len(CUTOFFS) + 1
     error = delta / max(1, n_strata * levels ** len(RULES))
 
-    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def choose(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         tables = np.zeros((2,) + (levels,) * len(RULES), "i8")
-        np.add.at(tables, tuple(rows[c].to_numpy("i8") for c in ("good", *RULES)), rows["count"].to_numpy())
+        np.add.at(tables, tuple(rows[c].to_numpy().astype("i8") for c in ("good", *RULES)), rows["count"].to_numpy())
         best = best_cutoffs(tables[1], tables[0], error, max_false_rejection)
-        if best is None:
-            return pd.DataFrame(columns=["s", *RULES])
-        return pd.DataFrame([[key[0], *(CUTOFFS[i] if i < len(CUTOFFS) else None for i in best)]], columns=["s", *RULES])
+        cutoffs = [[CUTOFFS[i] if i < len(CUTOFFS) else None] for i in best or ()] or [[]] * len(RULES)
+        own = [] if best is None else [key[0].as_py()]
+        return pa.table([pa.array(own, pa.string()), *(pa.array(c, pa.int32()) for c in cutoffs)], names=["s", *RULES])
 
     schema = T.StructType([T.StructField("s", T.StringType()), *(T.StructField(r, T.IntegerType()) for r in RULES)])
-    return written(counts.withColumn("s", F.col("s").cast("string")).groupBy("s").applyInPandas(choose, schema))
+    return written(counts.withColumn("s", F.col("s").cast("string")).groupBy("s").applyInArrow(choose, schema))
 
 
 def judge(
