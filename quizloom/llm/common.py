@@ -36,6 +36,13 @@ def written(df: DataFrame) -> DataFrame:
     return table
 
 
+def rows_a_batch(df: DataFrame, n: int) -> DataFrame:
+    """Sets how many rows Spark puts into an Arrow batch, which is held whole on both sides of a
+    Python function; whole texts are long, so the default of 10,000 may be more than memory allows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    return df
+
+
 def forget(table: DataFrame) -> None:
     """Removes a table made by :func:`written`; nothing that is still to be computed may read it."""
     spark = table.sparkSession
