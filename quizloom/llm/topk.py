@@ -1,8 +1,9 @@
 """Exact top-k search by inner product.
 
-Candidates are laid out in tiles and queries in blocks.  Tiles are dealt to tile groups,
-and each block is sent to every group; a (tile, block) pair is one matrix product, after
-which each query keeps its k best of the tile.  The lists are merged as a tree: per
+Candidates are laid out in tiles and queries in blocks.  Tiles and blocks are dealt to the
+rows and columns of a grid of tasks, about one for GROUP_ROWS candidates: a tile is sent to every
+column, a block to every row, and the grid's sides are such that both send about as much.  A
+(tile, block) pair is one matrix product, after which each query keeps its k best of the tile.  The lists are merged as a tree: per
 (query, branch), where Spark also limits each task's rows before the shuffle, then per query.
 
 Components are turned into floor(scale * x), x as double, and scores are exact integers:
@@ -95,6 +96,13 @@ def tile_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     return np.repeat(q_ids, k).reshape(got.shape)[use], c_ids[best][use], got[use]
 
 
+def grid(n: int, n_queries: int) -> tuple[int, int]:
+    """Rows for the candidates and columns for the queries: rows * queries is about columns * candidates."""
+    tasks = max(1, n // GROUP_ROWS)
+    rows = min(tasks, max(1, round((tasks * n / max(1, n_queries)) ** 0.5)))
+    return rows, -(-tasks // rows)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates of highest score, ties to the smaller id."""
 
@@ -104,13 +112,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
         fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < limit))
         return df.where(F.col(key).isNotNull() & x.isNotNull() & fine).select(F.col(key).cast("long").alias("id"), x.alias("x"))
 
-    groups = max(1, vectors.count() // GROUP_ROWS)
-    blocks = max(1, queries.count() // BLOCK)
+    n, n_queries = vectors.count(), queries.count()
+    rows, columns = grid(n, n_queries)
+    blocks = max(1, n_queries // BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tiles = usable(vectors).mapInArrow(_packer(TILE, scale, "c"), "dim int, n int, first long, ids binary, c binary")
-    tiles = tiles.withColumn("grp", F.pmod(F.xxhash64("first", "n"), F.lit(groups)).cast("int"))
+    tiles = tiles.withColumn("grp", F.pmod(F.xxhash64("first", "n"), F.lit(rows)).cast("int")).withColumn("col", every(columns))
     asked = usable(queries).repartition(blocks, "id").mapInArrow(_packer(BLOCK, scale, "q"), "dim int, n int, first long, ids binary, q binary")
-    asked = asked.select("dim", F.col("n").alias("nq"), F.col("ids").alias("q_ids"), "q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    pairs = tiles.drop("first").join(asked, ["grp", "dim"])
+    asked = asked.withColumn("col", F.pmod(F.xxhash64("first", "n"), F.lit(columns)).cast("int"))
+    asked = asked.select("dim", F.col("n").alias("nq"), F.col("ids").alias("q_ids"), "q", "col", every(rows).alias("grp"))
+    pairs = tiles.drop("first").join(asked, ["grp", "col", "dim"])
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

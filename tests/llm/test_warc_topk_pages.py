@@ -100,6 +100,18 @@ def test_top_k_against_brute_force(spark):
     assert topk.embedding_neighbours(df.limit(0)).isEmpty()
 
 
+def test_top_k_in_a_grid_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_ROWS", 200)
+    monkeypatch.setattr(topk, "TILE", 64)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i * 10, [float(x) for x in rng.normal(size=4).astype("f4")], "x", i, 1) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, grp string, rank int, score int").repartition(3)
+    got = sorted(map(tuple, topk.embedding_neighbours(df).collect()))
+    assert got == sorted(brute_top([r[:2] for r in rows], 10))
+    assert topk.grid(10**9, 10**7)[1] > 1 and topk.grid(1500, 150) == (7, 1) and topk.grid(1500, 1500)[1] > 1
+
+
 def test_tile_with_scores_beyond_double_precision():
     q, c = np.array([[1 << 29, 3]], "i8"), np.array([[1 << 29, 1], [1 << 29, 2], [1 << 29, 2]], "i8")
     ids, best, scores = topk.tile_best(np.array([0]), q, np.array([5, 6, 7]), c, 2)
