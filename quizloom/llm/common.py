@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder: computed once, and safe from lost executors."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    # Snappy keeps direct buffers as large as a page, which a few long texts fill
+    df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     if (held := _held.get()) is not None:

@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """(doc_id, n_shingles, component_id, kept) of every row: two documents are linked if
     the Jaccard similarity of their sets of ``width``-word shingles is at least ``percent`` hundredths."""
     with scratch() as keep:
-        sketches = keep(written(_sketches(rows_a_batch(docs, 2000), key, text, width)))
+        sketches = keep(written(_sketches(rows_a_batch(docs, 500), key, text, width)))
         with_set = sketches.where("n > 0 AND doc_id IS NOT NULL")
         # equal sets: one vertex each, the least id
         # written, so that the join below reads two shuffles and a hot set can be split

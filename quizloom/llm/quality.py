@@ -177,7 +177,7 @@ def judge(
     """(key, stratum, carried columns, statistics, base_failed, kept) for every document."""
     keep = list(dict.fromkeys([key, stratum, *(carry or [])]))
     # texts are read once; the labels meet a few numbers per document, not texts
-    scored = written(with_stats(rows_a_batch(docs, 2000), keep, text))
+    scored = written(with_stats(rows_a_batch(docs, 500), keep, text))
     cutoffs = choose_cutoffs(scored, labels, key, stratum, max_false_rejection, delta).withColumnsRenamed({"s": "__s", **{r: f"__{r}" for r in RULES}})
     few = cutoffs.count() <= BROADCAST_STRATA
     judged = scored.join(F.broadcast(cutoffs) if few else cutoffs, F.col(stratum).cast("string").eqNullSafe(F.col("__s")), "left")
