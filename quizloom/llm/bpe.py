@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytebpe import broadcast_file, default_path, loaded
+from .common import rows_a_batch
 from .tokens import _refuse
 
 
@@ -89,4 +90,4 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names
             )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return rows_a_batch(df, 500).select(key, text).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ fixed public file, a few MB), so executors need no local copy.  Tasks build one
 from __future__ import annotations
 
 import hashlib
+import os
 import heapq
 import json
 import re
@@ -278,6 +279,10 @@ class ByteBpe:
 _LOADED: dict[str, ByteBpe] = {}
 
 
+#: Bytes of a vocabulary file that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def loaded(file_json: str) -> ByteBpe:
     """This worker's vocabulary for a file's content."""
     key = hashlib.sha256(file_json.encode()).hexdigest()
@@ -288,6 +293,9 @@ def loaded(file_json: str) -> ByteBpe:
 
 
 def broadcast_file(spark, path: str):
+    """The file's content on every executor; it is read by the driver, so its size is checked."""
+    if (size := os.path.getsize(path)) > BROADCAST_BYTES:
+        raise ValueError(f"a vocabulary file of {size} bytes is too large to broadcast")
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 

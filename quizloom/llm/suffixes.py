@@ -406,7 +406,7 @@ def removals(named: DataFrame, window: int = 100) -> DataFrame:
     """(key, sub, spans): for each document of :func:`keyed` that loses bytes, (start, n) of the
     windows that also start earlier; a window removes its ``window`` bytes."""
     # equal blocks are combined batch by batch
-    rows = rows_a_batch(named, 10_000).select("key", "sub", "text").mapInArrow(_block_rows(window), "gram long, body long, key long, sub long, packed long")
+    rows = rows_a_batch(named, 2000).select("key", "sub", "text").mapInArrow(_block_rows(window), "gram long, body long, key long, sub long, packed long")
     judged = written(_judged(rows))
     asked = judged.where(F.col("kind") == ASKED).groupBy("key", "sub").agg(F.collect_list(F.struct("start", "n", "offset")).alias("blocks"))
     schema = "bucket long, key long, sub long, start long, n long, offset long, data binary"

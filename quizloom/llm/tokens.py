@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytebpe import broadcast_file, default_path, loaded
+from .common import rows_a_batch
 
 
 def _refuse(df: DataFrame, *names: str) -> None:
@@ -100,4 +101,4 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
                 names=schema.names,
             )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return rows_a_batch(df, 500).select(key, text).mapInArrow(run, schema)
