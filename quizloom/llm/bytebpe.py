@@ -8,9 +8,9 @@ fixed public file, a few MB), so executors need no local copy.  Tasks build one
 from __future__ import annotations
 
 import hashlib
-import os
 import heapq
 import json
+import os
 import re
 from itertools import chain, pairwise
 
