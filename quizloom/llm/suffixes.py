@@ -6,23 +6,25 @@ that can repeat are sorted, one bucket at a time:
 1. Anchors.  Every window start belongs to the ``GRAM``-byte string of least hash inside
    its window; equal windows have equal anchors at equal offsets.  Windows that share an
    anchor form a block (about 35 windows, at most ``window - GRAM + 1``).
-2. Blocks.  Blocks with equal bytes are equal window by window, so all but the earliest
-   are removed whole.  A first block whose anchor string occurs in no other block can't
-   repeat anywhere.  What is left are first blocks that share an anchor with blocks of
-   other bytes: the places around an edit, or where a common passage begins and ends.
-3. Buckets.  The windows of those blocks, in slabs of ``SLAB`` offsets from the anchor, go
-   to suffix buckets by the bytes that all windows of a slab have in common.
-4. Sorting.  The suffixes of a bucket are sorted by their first ``PERIOD`` bytes; longer
-   ties are resolved by the ranks of a difference-cover sample of the bucket's texts, which is
-   sorted once and looked up: for any two suffixes some shift of less than PERIOD puts both on
-   sampled places.  Neighbours in that order that agree in ``window`` bytes are repeats.
+2. Blocks.  A block whose anchor string occurs in no other block can't repeat and goes no
+   further.  Blocks whose hashes are equal are likely copies: which of them are is told by sorting.
+3. Buckets.  Likely copies go with the first of them to the bucket of that one's document, neighbours
+   as one run of bytes.  First blocks that share an anchor with blocks of other hashes,
+   the places around an edit, or where a common passage begins and ends, go in slabs of ``SLAB`` offsets
+   from the anchor to buckets by the bytes that all windows of a slab have in common.
+4. Sorting.  The suffixes of a bucket (where its blocks begin; in slabs, every window) are sorted by
+   their first ``PERIOD`` bytes; longer ties are resolved by the ranks of a difference-cover sample of
+   the bucket's bytes, which is sorted once and looked up: for any two suffixes some shift of less
+   than PERIOD puts both on sampled places.  Neighbours in that order that agree in ``window`` bytes, or in the
+   bytes of all windows of their blocks, are repeats.
 5. Hot buckets.  At the ends of a hot passage slabs share a bucket but reach into text that
    differs.  A bucket of more than ``BUCKET_ROWS`` rows isn't held: its windows are sorted
-   by Spark, whole, and neighbours are compared as they stream by.
+   by Spark, whole, and neighbours are compared as they stream by.  Runs are sorted ``SORTED_BYTES``
+   at a time, always together with the first ones that they may repeat.
 
 A hot passage or a group of thousands of copies doesn't gather anywhere: each task combines
 equal blocks and equal slabs of its batch before they are shuffled, so one string is a row
-per batch at most, and its further copies are settled on the spot.
+per batch at most, and its further copies are settled on the spot, by the same sort.
 
 Order: documents by key, then places by start.  Defined results: a null text is empty; a
 null key comes first; different texts under one key are documents of their own, in the order of
@@ -48,13 +50,16 @@ from pyspark.sql import types as T
 from .common import rows_a_batch, written
 from .neardup import mix
 
-GRAM, SLAB, PERIOD = 32, 8, 36
+GRAM, SLAB, PERIOD = 32, 8, 64
 #: Bytes that a task looks at together; bits of a place in them.
 STRETCH, PLACE_BITS = 2 << 20, 24
 FIRST, SHARED, REMOVED, ASKED = 0, 1, 2, 3
 NO_KEY = -(1 << 63)
 #: Rows of a suffix bucket that a task holds and sorts; the windows of a larger one are sorted by Spark.
 BUCKET_ROWS = 10_000
+#: Bytes of runs that a task sorts at once; bits of a place that share a bucket of runs; marks of runs among slabs.
+SORTED_BYTES, RUN_BITS = 1 << 20, 18
+SOURCE_RUN, COPY_RUN = -2000, -1000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
 _BYTES = _RANDOM.integers(0, 1 << 64, (2, 256), "u8")
@@ -188,8 +193,9 @@ def _block_rows(window: int):
                 piece = np.searchsorted(stops, start, side="right")
                 doc, at = of[piece], start + add[piece]
                 who = number[doc]
-                order = np.lexsort((at, who, body, gram))
-                g, b = gram[order], body[order]
+                same = numbered(data, start, n, gram, body, window)
+                order = np.lexsort((at, who, same, gram))
+                g, b = gram[order], same[order]
                 new_gram = np.append(True, g[1:] != g[:-1])
                 new_block = new_gram | np.append(True, b[1:] != b[:-1])
                 # an equal row's place: not a repeat of itself
@@ -224,15 +230,14 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """(key, sub, start, n, offset, kind): stretches to remove and blocks to look at."""
-    kind = F.col("packed").bitwiseAND(15)
-    by_gram = Window.partitionBy("gram")
-    by_block = Window.partitionBy("gram", "body").orderBy("key", "sub", F.shiftright("packed", 20))
-    start = F.shiftright("packed", 20)
-    # an equal row's place ranks alike
-    seen = rows.repartition("gram").withColumn("nth", F.rank().over(by_block))
+    """(key, sub, start, n, offset, kind, source): stretches to remove (REMOVED), blocks for slabs (ASKED)
+    and likely copies, with the place of the first of them; that one is its own source."""
+    kind, start = F.col("packed").bitwiseAND(15), F.shiftright("packed", 20)
+    by_gram, by_block = Window.partitionBy("gram"), Window.partitionBy("gram", "body")
+    place = F.struct("key", "sub", start.alias("start"))
+    seen = rows.repartition("gram").withColumn("source", F.min(place).over(by_block)).withColumn("last", F.max(place).over(by_block))
     seen = seen.withColumn("many", (F.min("body").over(by_gram) != F.max("body").over(by_gram)) | (F.max(kind).over(by_gram) == SHARED))
-    what = F.when(kind >= REMOVED, kind).when(F.col("nth") > 1, REMOVED).when(F.col("many"), ASKED)
+    what = F.when(kind >= REMOVED, kind).when(F.col("many") & (place == F.col("source")), ASKED).otherwise(FIRST)
     out = seen.select(
         "key",
         "sub",
@@ -240,18 +245,39 @@ def _judged(rows: DataFrame) -> DataFrame:
         F.when(kind == REMOVED, F.col("body")).otherwise(F.shiftright("packed", 12).bitwiseAND(255)).alias("n"),
         F.shiftright("packed", 4).bitwiseAND(255).alias("offset"),
         what.alias("kind"),
+        # an equal row's place is the same
+        F.when((kind < REMOVED) & (F.col("source") != F.col("last")), F.col("source")).alias("source"),
     )
-    return out.where(F.col("kind").isNotNull())
+    return out.where((F.col("kind") != FIRST) | F.col("source").isNotNull())
+
+
+def _runs(key: int, sub: int, text: bytes, blocks: dict[str, np.ndarray], window: int) -> Iterator[tuple]:
+    """Rows of likely copies, or of first ones, that are neighbours here as in their source."""
+    order = np.argsort(blocks["start"], kind="stable")
+    start, n, of, of_sub, at = (blocks[f][order] for f in ("start", "n", "of", "of_sub", "at"))
+    joined = (start[1:] == start[:-1] + n[:-1]) & (of[1:] == of[:-1]) & (of_sub[1:] == of_sub[:-1])
+    joined &= (at[1:] - start[1:] == at[:-1] - start[:-1]) & (at[1:] >> RUN_BITS == at[:-1] >> RUN_BITS)
+    heads = np.flatnonzero(np.append(True, ~joined)).tolist()
+    for i, j in zip(heads, [*heads[1:], len(start)], strict=True):
+        first, source = int(start[i]), (int(of[i]), int(of_sub[i]), int(at[i]))
+        mark = SOURCE_RUN if source == (key, sub, first) else COPY_RUN
+        bucket = xxhash.xxh3_64_intdigest(b"run %d %d %d" % (*source[:2], source[2] >> RUN_BITS)) - (1 << 63)
+        data = n[i:j].astype("u1").tobytes() + text[first : int(start[j - 1] + n[j - 1]) - 1 + window]
+        yield bucket, key, sub, first, j - i, mark, data
 
 
 def _slab_rows(window: int):
-    """The slabs of the blocks asked for, with their bytes; slabs that repeat inside a batch are settled here."""
+    """The slabs of the blocks asked for, with their bytes; slabs that repeat inside a batch are settled here.
+    Of a fifth column, the runs of likely copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple, tuple[int, int, int]] = {}
             out: list[tuple] = []
             keys, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if batch.num_columns > 4:
+                copies = batch.column(4)
+                upto, fields = copies.offsets.to_numpy(), {f.name: copies.values.field(f.name).to_numpy() for f in copies.type.value_type}
             for i in np.lexsort((subs, keys)):
                 key, sub, text = int(keys[i]), int(subs[i]), (batch.column(2)[i].as_py() or "").encode()
                 for b in sorted(batch.column(3)[i].as_py(), key=lambda b: b["start"]):
@@ -266,6 +292,8 @@ def _slab_rows(window: int):
                             out.append((xxhash.xxh3_64_intdigest(b"%d %d" % (key, p)) - (1 << 63), key, sub, p, q - p + 1, -1, None))
                         else:
                             out.append((bucket, key, sub, p, q - p + 1, anchor - p, data))
+                if batch.num_columns > 4 and upto[i] < upto[i + 1]:
+                    out.extend(_runs(key, sub, text, {f: x[upto[i] : upto[i + 1]] for f, x in fields.items()}, window))
             if out:
                 types = [pa.int64()] * 6 + [pa.binary()]
                 names = ["bucket", "key", "sub", "start", "n", "offset", "data"]
@@ -275,23 +303,36 @@ def _slab_rows(window: int):
 
 
 class CoverSample:
-    """Ranks of the sampled places of a bucket's texts: sorted once, when a tie first asks for them."""
+    """Ranks of the sampled places of a bucket's texts, laid end to end: sorted once, when a tie first asks
+    for them.  A rank is that of the ``depth`` bytes or more from its place on."""
 
     def __init__(self, texts: list[bytes], depth: int):
         self.texts, self.depth = texts, depth
+        self.base = np.cumsum([0, *map(len, texts)]).tolist()
 
     @functools.cached_property
-    def ranks(self) -> list[dict[int, int]]:
-        places = [[p for p in range(len(t)) if p % PERIOD in COVER] for t in self.texts]
-        strings = {t[p : p + self.depth] for t, ps in zip(self.texts, places, strict=True) for p in ps}
-        name = {x: n for n, x in enumerate(sorted(strings))}
-        return [{p: name[t[p : p + self.depth]] for p in ps} for t, ps in zip(self.texts, places, strict=True)]
+    def ranks(self) -> memoryview:
+        size, words = self.base[-1], -(-self.depth // PERIOD)
+        data = np.frombuffer(b"".join(self.texts) + bytes(PERIOD), "u1")
+        sampled = np.array([r in COVER for r in range(PERIOD)])
+        places = np.flatnonzero(np.tile(sampled, size // PERIOD + 1)[:size])
+        heads = np.lib.stride_tricks.sliding_window_view(data, PERIOD)[places].view(">u8").astype("u8")
+        order = np.lexsort(heads[:, ::-1].T)
+        heads = heads[order]
+        by_place = np.zeros(size + words * PERIOD, "i8")  # behind the end: before all others
+        by_place[places[order]] = np.cumsum(np.append(True, (heads[1:] != heads[:-1]).any(axis=1)))
+        rank = by_place[places]
+        for k in range(1, words):  # a place's next PERIOD bytes begin on the sample, too
+            rank = np.unique((rank << 32) | by_place[places + k * PERIOD], return_inverse=True)[1]
+        out = np.zeros(len(by_place), "i8")
+        out[places] = rank + 1
+        return memoryview(out)
 
     def compare(self, a: tuple[int, int], b: tuple[int, int]) -> int:
         """Which of two suffixes (text, start) that agree in PERIOD bytes comes first."""
-        d = shift(a[1] % PERIOD, b[1] % PERIOD)
-        # a place behind a text's end is before all others
-        return self.ranks[a[0]].get(a[1] + d, -1) - self.ranks[b[0]].get(b[1] + d, -1)
+        x, y = self.base[a[0]] + a[1], self.base[b[0]] + b[1]
+        d = shift(x % PERIOD, y % PERIOD)
+        return self.ranks[x + d] - self.ranks[y + d]
 
 
 def sort_suffixes(suffixes: list[tuple[int, int]], sample: CoverSample) -> list[tuple[int, int]]:
@@ -307,6 +348,88 @@ def sort_suffixes(suffixes: list[tuple[int, int]], sample: CoverSample) -> list[
     return order
 
 
+def equal_suffixes(suffixes: list[tuple[int, int]], length: int, sample: CoverSample) -> Iterator[list[tuple[int, int]]]:
+    """Suffixes (text, start) that agree in ``length`` bytes, as sorting puts them side by side: groups of two or more."""
+    run: list[tuple[int, int]] = []
+    same = None
+    for x in sort_suffixes(suffixes, sample):
+        data = sample.texts[x[0]][x[1] : x[1] + length]
+        if data != same:
+            if len(run) > 1:
+                yield run
+            run, same = [], data
+        run.append(x)
+    if len(run) > 1:
+        yield run
+
+
+def numbered(data: np.ndarray, start: np.ndarray, n: np.ndarray, gram: np.ndarray, body: np.ndarray, window: int) -> np.ndarray:
+    """A number per block of a stretch, the same for equal ones: blocks of equal hashes are sorted as suffixes."""
+    number = np.arange(len(start))
+    order = np.lexsort((body, gram))
+    again = (gram[order][1:] == gram[order][:-1]) & (body[order][1:] == body[order][:-1])
+    pick = np.unique(np.concatenate([order[1:][again], order[:-1][again]]))
+    if not len(pick):
+        return number
+    edge = np.zeros(len(data) + 1, "i4")  # blocks begin, and end, at different places
+    edge[start[pick]] += 1
+    edge[start[pick] + n[pick] - 1 + window] -= 1
+    taken = np.cumsum(edge[:-1]) > 0
+    place = (np.cumsum(taken) - 1)[start[pick]]
+    sample = CoverSample([data[taken].tobytes()], 2 * window - GRAM)
+    of = dict(zip(place.tolist(), pick.tolist(), strict=True))
+    for k in np.unique(n[pick]).tolist():
+        for run in equal_suffixes([(0, p) for p in place[n[pick] == k].tolist()], k - 1 + window, sample):
+            number[[of[p] for _, p in run]] = of[run[0][1]]
+    return number
+
+
+class Runs:
+    """Runs of blocks that may be copies, sorted some ``SORTED_BYTES`` at a time.  Buckets that are sorted
+    together do no harm; of a bucket that is sorted in parts, the first ones stay for each part."""
+
+    def __init__(self, window: int):
+        self.window, self.held, self.size = window, {}, 0
+
+    def add(self, bucket: int, key: int, sub: int, start: int, n: int, mark: int, data: bytes) -> list[tuple[int, int, int, int]]:
+        """Takes a run, ``n`` lengths of blocks before its bytes; (key, sub, start, n) to remove of those before it."""
+        out = []
+        if self.size >= SORTED_BYTES:
+            out = self.judged()
+            self.held = {x: d for x, d in self.held.items() if x[0] == SOURCE_RUN and x[1] == bucket}
+            self.size = sum(map(len, self.held.values()))
+            if self.size >= SORTED_BYTES:  # then the next part gets as many bytes again
+                self.size = 0
+        self.held[mark, bucket, key, sub, start, n] = data
+        self.size += len(data)
+        return out
+
+    def judged(self) -> list[tuple[int, int, int, int]]:
+        runs = list(self.held)
+        if all(mark == SOURCE_RUN for mark, *_ in runs):
+            return []
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i, x in enumerate(runs):
+            at = 0
+            for k in self.held[x][: x[5]]:
+                by_length.setdefault(k, []).append((i, at))
+                at += k
+        sample = CoverSample([self.held[x][x[5] :] for x in runs], 2 * self.window - GRAM)
+        gone = []
+        for k, suffixes in by_length.items():
+            for same in equal_suffixes(suffixes, k - 1 + self.window, sample):
+                places = [(*runs[i][2:4], runs[i][4] + at) for i, at in same]
+                first = min(places)
+                gone.extend((*p, k) for p in places if p != first)
+        out: list[tuple[int, int, int, int]] = []
+        for key, sub, start, k in sorted(set(gone)):  # neighbours in one row
+            if out and out[-1][:2] == (key, sub) and out[-1][2] + out[-1][3] == start:
+                out[-1] = (*out[-1][:3], out[-1][3] + k)
+            else:
+                out.append((key, sub, start, k))
+        return out
+
+
 def repeats_in_bucket(rows: list[tuple[int, int, int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
     """(key, sub, start) of the windows of a bucket that an earlier one equals; rows: (key, sub, start, n, offset, bytes)."""
     found = []
@@ -318,26 +441,19 @@ def repeats_in_bucket(rows: list[tuple[int, int, int, int, int, bytes]], window:
     for at in by_offset.values():  # equal windows have equal offsets from their anchor
         if len(at) < 2:
             continue
-        run: list[tuple[int, int]] = []
-        same = None
-        for x in [*sort_suffixes(at, sample), None]:
-            data = None if x is None else rows[x[0]][-1][x[1] : x[1] + window]
-            if run and data != same:
-                places = [(*rows[i][:2], rows[i][2] + k) for i, k in run]
-                found.extend(p for p in places if p != min(places))
-                run = []
-            if x is not None:
-                run.append(x)
-                same = data
+        for run in equal_suffixes(at, window, sample):
+            places = [(*rows[i][:2], rows[i][2] + k) for i, k in run]
+            first = min(places)
+            found.extend(p for p in places if p != first)
     return found
 
 
 def _sorted_buckets(window: int, most: int):
-    """Bucket after bucket of a partition that is sorted by bucket: (key, sub, start, n) to remove.  A bucket of
+    """Bucket after bucket of a partition that is sorted by bucket, and first runs before others: (key, sub, start, n) to remove.  A bucket of slabs of
     more than ``most`` rows isn't held: its windows are handed on one by one, with their offsets and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, out, hot = None, [], [], False
+        bucket, rows, out, hot, runs = None, [], [], False, Runs(window)
 
         def flush() -> pa.RecordBatch:
             types = [pa.int64()] * 5 + [pa.binary()]
@@ -362,6 +478,8 @@ def _sorted_buckets(window: int, most: int):
                     bucket, hot = b, False
                 if data is None:
                     out.append((key, sub, start, n, None, None))
+                elif offset in (SOURCE_RUN, COPY_RUN):
+                    out.extend((*span, None, None) for span in runs.add(bucket, key, sub, start, n, offset, data))
                 else:
                     rows.append((key, sub, start, n, offset, data))
                     hot = hot or len(rows) > most
@@ -370,6 +488,7 @@ def _sorted_buckets(window: int, most: int):
                 if len(out) >= 4096:
                     yield flush()
         close()
+        out.extend((*span, None, None) for span in runs.judged())
         if out:
             yield flush()
 
@@ -408,11 +527,13 @@ def removals(named: DataFrame, window: int = 100) -> DataFrame:
     # equal blocks are combined batch by batch
     rows = rows_a_batch(named, 2000).select("key", "sub", "text").mapInArrow(_block_rows(window), "gram long, body long, key long, sub long, packed long")
     judged = written(_judged(rows))
-    asked = judged.where(F.col("kind") == ASKED).groupBy("key", "sub").agg(F.collect_list(F.struct("start", "n", "offset")).alias("blocks"))
+    slab = F.when(F.col("kind") == ASKED, F.struct("start", "n", "offset"))
+    likely = F.when(F.col("source").isNotNull(), F.struct("start", "n", F.col("source.key").alias("of"), F.col("source.sub").alias("of_sub"), F.col("source.start").alias("at")))
+    asked = judged.where(F.col("kind") != REMOVED).groupBy("key", "sub").agg(F.collect_list(slab).alias("blocks"), F.collect_list(likely).alias("copies"))
     schema = "bucket long, key long, sub long, start long, n long, offset long, data binary"
-    slabs = named.join(asked, ["key", "sub"]).select("key", "sub", "text", "blocks").mapInArrow(_slab_rows(window), schema)
+    slabs = named.join(asked, ["key", "sub"]).select("key", "sub", "text", "blocks", "copies").mapInArrow(_slab_rows(window), schema)
     schema = "key long, sub long, start long, n long, offset long, bytes binary"
-    looked = written(slabs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_buckets(window, BUCKET_ROWS), schema))
+    looked = written(slabs.repartition("bucket").sortWithinPartitions("bucket", "offset").mapInArrow(_sorted_buckets(window, BUCKET_ROWS), schema))
     # what was handed on is sorted by Spark, which spills, and compared as a stream
     windows = looked.where("bytes IS NOT NULL").select("key", "sub", "start", "offset", "bytes").repartition("bytes", "offset").sortWithinPartitions("bytes", "offset", "key", "sub", "start")
     spans = ["key", "sub", "start", "n"]

@@ -139,3 +139,46 @@ def _asked_batch(texts, passage, n):
     rows = [texts[i] + passage + texts[-1 - i] for i in range(n)]
     asked = [[{"start": s, "n": 30, "offset": 20} for s in (90, 320)] for _ in rows]
     return pa.record_batch([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(rows), pa.array(asked)], names=["key", "sub", "text", "blocks"])
+
+
+def _row(mark, key, start, steps, data):
+    return 7, key, 0, start, len(steps), mark, bytes(steps) + data
+
+
+def test_sorting_judges_runs():
+    """Likely copies are removed only where sorting puts them beside an equal earlier one."""
+    rng = random.Random(13)
+    data = bytes(rng.choice(b"abc ") for _ in range(400))
+    other = data[:150] + b"#" + data[151:]
+    steps = [69, 60, 40, 69, 63]
+    runs = suffixes.Runs(100)
+    for row in (_row(suffixes.SOURCE_RUN, 1, 10, steps, data), _row(suffixes.COPY_RUN, 2, 0, steps, data), _row(suffixes.COPY_RUN, 3, 5, steps, other)):
+        assert runs.add(*row) == []
+    # of the third, the blocks whose bytes hold the edit stay, whatever their hashes said
+    assert runs.judged() == [(2, 0, 0, 301), (3, 0, 174, 132)]
+
+
+def test_runs_are_sorted_in_parts(monkeypatch):
+    """However many copies a run has, those held stay bounded, and each part meets the first one."""
+    monkeypatch.setattr(suffixes, "SORTED_BYTES", 3000)
+    rng = random.Random(14)
+    data = bytes(rng.choice(b"abc ") for _ in range(199))
+    runs, gone, most = suffixes.Runs(100), [], 0
+    runs.add(*_row(suffixes.SOURCE_RUN, 1, 0, [60, 40], data))
+    for key in range(2, 200):
+        gone += runs.add(*_row(suffixes.COPY_RUN, key, 0, [60, 40], data))
+        most = max(most, runs.size)
+    gone += runs.judged()
+    assert sorted(gone) == [(key, 0, 0, 100) for key in range(2, 200)] and most < 3500
+
+
+def test_equal_blocks_are_told_by_bytes():
+    """Blocks of equal hashes get one number only if their bytes agree."""
+    import numpy as np
+
+    rng = random.Random(15)
+    one, two = (bytes(rng.choice(b"abcdef") for _ in range(120)) for _ in range(2))
+    data = np.frombuffer(one + two + one, "u1")
+    start, n, same = np.array([0, 120, 240]), np.array([21, 21, 21]), np.zeros(3, "u8")
+    number = suffixes.numbered(data, start, n, same, same, 100)
+    assert number[0] == number[2] != number[1]
