@@ -384,6 +384,17 @@ def numbered(data: np.ndarray, start: np.ndarray, n: np.ndarray, gram: np.ndarra
     return number
 
 
+def joined(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(key, sub, start, n) with neighbours in one row, repeated ones once."""
+    out: list[tuple[int, int, int, int]] = []
+    for key, sub, start, n in sorted(set(spans)):
+        if out and out[-1][:2] == (key, sub) and out[-1][2] + out[-1][3] == start:
+            out[-1] = (*out[-1][:3], out[-1][3] + n)
+        else:
+            out.append((key, sub, start, n))
+    return out
+
+
 class Runs:
     """Runs of blocks that may be copies, sorted some ``SORTED_BYTES`` at a time.  Buckets that are sorted
     together do no harm; of a bucket that is sorted in parts, the first ones stay for each part."""
@@ -421,13 +432,7 @@ class Runs:
                 places = [(*runs[i][2:4], runs[i][4] + at) for i, at in same]
                 first = min(places)
                 gone.extend((*p, k) for p in places if p != first)
-        out: list[tuple[int, int, int, int]] = []
-        for key, sub, start, k in sorted(set(gone)):  # neighbours in one row
-            if out and out[-1][:2] == (key, sub) and out[-1][2] + out[-1][3] == start:
-                out[-1] = (*out[-1][:3], out[-1][3] + k)
-            else:
-                out.append((key, sub, start, k))
-        return out
+        return joined(gone)
 
 
 def repeats_in_bucket(rows: list[tuple[int, int, int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
@@ -450,10 +455,11 @@ def repeats_in_bucket(rows: list[tuple[int, int, int, int, int, bytes]], window:
 
 def _sorted_buckets(window: int, most: int):
     """Bucket after bucket of a partition that is sorted by bucket, and first runs before others: (key, sub, start, n) to remove.  A bucket of slabs of
-    more than ``most`` rows isn't held: its windows are handed on one by one, with their offsets and bytes."""
+    more than ``most`` rows isn't held: its windows are handed on one by one, with their offsets and bytes.
+    Small ones are sorted together, which does no harm, up to ``most`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows, out, hot, runs = None, [], [], False, Runs(window)
+        bucket, rows, held, out, hot, runs = None, [], [], [], False, Runs(window)
 
         def flush() -> pa.RecordBatch:
             types = [pa.int64()] * 5 + [pa.binary()]
@@ -461,9 +467,16 @@ def _sorted_buckets(window: int, most: int):
             out.clear()
             return batch
 
+        def judge() -> None:
+            found = joined([(*place, 1) for place in repeats_in_bucket(held, window)])
+            out.extend((*span, None, None) for span in found)
+            held.clear()
+
         def close() -> None:
             if len(rows) > 1:
-                out.extend((*place, 1, None, None) for place in repeats_in_bucket(rows, window))
+                if len(held) + len(rows) > most:
+                    judge()
+                held.extend(rows)
             rows.clear()
 
         def hand_on() -> None:
@@ -488,6 +501,7 @@ def _sorted_buckets(window: int, most: int):
                 if len(out) >= 4096:
                     yield flush()
         close()
+        judge()
         out.extend((*span, None, None) for span in runs.judged())
         if out:
             yield flush()
