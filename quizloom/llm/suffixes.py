@@ -24,7 +24,8 @@ that can repeat are sorted, one bucket at a time:
 
 A hot passage or a group of thousands of copies doesn't gather anywhere: each task combines
 equal blocks and equal slabs of its batch before they are shuffled, so one string is a row
-per batch at most, and its further copies are settled on the spot, by the same sort.
+per batch at most, and its further copies are settled on the spot: blocks by the same sort,
+slabs by their bytes.
 
 Order: documents by key, then places by start.  Defined results: a null text is empty; a
 null key comes first; different texts under one key are documents of their own, in the order of
