@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, neardup, pages, quality, sharding, suffixes, tokens, topk, warc
+from . import bpe, merkle, mixing, neardup, pages, quality, sharding, suffixes, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffixes": op2_suffixes,
@@ -66,8 +70,46 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op12_merkle": op12_merkle,
 }
 
+
+
+def _merkle_sql(leaf_levels: int = 5, group_levels: int = 4) -> str:
+    """Trees of so many levels above the leaves of a source (enough for 16 ** 5), and above the sources."""
+    field = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')".format
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    byte = "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    crc = f"xor(list_reduce({codes}, lambda a, b: {byte}, 4294967295), 4294967295)"
+    parts = [
+        f"""docs AS (SELECT doc_id, coalesce('=' || source, '') AS grp, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS touched FROM documents)""",
+        "p0 AS (SELECT *, coalesce(touched, leaf) AS f, '' AS proof, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs)",
+        "a0 AS (SELECT grp, i, leaf AS h, count(*) OVER (PARTITION BY grp) AS n FROM p0)",
+    ]
+
+    def climb(nodes: str, paths: str, levels: int) -> None:
+        for k in range(levels):
+            parts.append(f"{nodes}{k}r AS (SELECT grp, i // 16 AS i, n, list(h ORDER BY i) AS hs FROM {nodes}{k} GROUP BY grp, i // 16, n)")
+            up = f"CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END"
+            parts.append(f"{nodes}{k + 1} AS (SELECT grp, i, {up} AS h, (n + 15) // 16 AS n FROM {nodes}{k}r)")
+            before, after = "array_to_string(hs[1 : p.i % 16], '')", "array_to_string(hs[p.i % 16 + 2 : 16], '')"
+            step = f"CASE WHEN n > 1 THEN sha256({before} || f || {after}) ELSE f END AS f, CASE WHEN n > 1 THEN proof || {before} || {after} ELSE proof END AS proof, p.i // 16 AS i"
+            parts.append(f"{paths}{k + 1} AS (SELECT p.* EXCLUDE (f, proof, i), {step} FROM {paths}{k} p JOIN {nodes}{k}r r ON r.grp = p.grp AND r.i = p.i // 16)")
+
+    climb("a", "p", leaf_levels)
+    parts += [
+        f"b0 AS (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS i, h, count(*) OVER () AS n, grp AS name FROM a{leaf_levels})",
+        f"q0 AS (SELECT p.* EXCLUDE (grp, i), '' AS grp, b.i AS i, b.h AS subroot FROM p{leaf_levels} p JOIN b0 b ON b.name = p.grp)",
+    ]
+    climb("b", "q", group_levels)
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM q{group_levels} q JOIN b{group_levels} b ON b.i = q.i
+    """
+
+
 # What SQL can say of a query's rows is said whole; where it can't (trained cutoffs, draws,
 # vocabularies, slots of a filled table), tests hold the query against brute force.
 ORACLES: dict[str, str] = {
@@ -116,4 +158,5 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM s JOIN (SELECT v, min(c) AS component_id FROM reach GROUP BY v) ON v = doc_id
     """,
+    "op12_merkle": _merkle_sql(),
 }
