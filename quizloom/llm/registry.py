@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, merkle, mixing, neardup, pages, quality, sharding, suffixes, tokens, topk, warc
+from . import bpe, merkle, mixing, neardup, packing, pages, quality, sharding, suffixes, tokens, topk, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,10 +55,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_suffixes": op2_suffixes,
@@ -70,7 +78,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
     "op12_merkle": op12_merkle,
+    "op13_packing": op13_packing,
 }
 
 
