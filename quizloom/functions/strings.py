@@ -80,8 +80,25 @@ def is_id(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\A[0-9a-fA-F]{24}\z"), F.lit(False))
 
 
+def variant_of(json: Column) -> Column:
+    """JSON whose fields may differ in type from row to row, as a variant; null where it is no JSON."""
+    return F.try_parse_json(json)
+
+
+def kind_of(v: Column, path: str) -> Column:
+    """The kind of a variant's field in its row: long, decimal, double, string, boolean, array, object, null or missing."""
+    got = F.try_variant_get(v, path, "variant")
+    name = F.lower(F.regexp_extract(F.schema_of_variant(got), r"\A[A-Z]+", 0))
+    return F.when(got.isNull(), "missing").when(name == "void", "null").when(name == "bigint", "long").otherwise(name)
+
+
+def scalar_of(v: Column, path: str, *kinds: str) -> Column:
+    """A variant's field as string, where it is of one of the kinds."""
+    return F.when(kind_of(v, path).isin(*kinds), F.try_variant_get(v, path, "string"))
+
+
 def type_name(df, column: str) -> Column:
-    """The type of a field; "missing" where the collection hasn't the field."""
+    """The type of a column; "missing" where the collection hasn't it.  For fields whose type differs by row: :func:`kind_of`."""
     return F.lit(df.schema[column].dataType.simpleString() if column in df.columns else "missing")
 
 

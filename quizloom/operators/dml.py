@@ -1,7 +1,9 @@
 """Changes to collections, as new versions of them.
 
 Parquet has no update in place: each function returns the collection as it is after the
-change, and :func:`append` and :func:`replace` write it.
+change.  :mod:`quizloom.operators.snapshots` keeps versions of stored collections and makes
+changes to them safe; :func:`append` and :func:`replace` write plain folders of Parquet files, for
+which nothing but their files is kept.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ from pyspark.sql import functions as F
 
 
 def append(rows: DataFrame, path: str) -> None:
+    """Adds the rows; repeated after a failure, it may add them twice."""
     rows.write.mode("append").parquet(path)
 
 
 def replace(rows: DataFrame, path: str) -> None:
-    """Writes the new version beside the old one, which a plan may still read, and then swaps their
-    names.  What fails before the swap leaves the old version; both are whole at any time."""
+    """Writes the new rows beside the old ones, which a plan may still read, and then swaps the folders' names.
+    What fails before the swap leaves the old rows; between its two renames nothing is at the path."""
     spark = rows.sparkSession
     base = path.rstrip("/")
     fresh, old = (f"{base}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
@@ -65,15 +68,20 @@ def cascade_delete(deleted: DataFrame, quizzes: DataFrame, questions: DataFrame,
     return left, questions.join(ids, "quiz_id", "left_anti"), attempts.join(ids, "quiz_id", "left_anti")
 
 
-def find_or_insert(users: DataFrame, incoming: DataFrame, key: str = "google_id", required: tuple[str, ...] = ("google_id", "email")) -> tuple[DataFrame, DataFrame]:
-    """(users with the new ones, rejected): known keys stay unchanged, of several new rows with a
-    key the first by the required fields is taken, rows that lack a required field are rejected."""
+def new_rows(users: DataFrame, incoming: DataFrame, key: str = "google_id", required: tuple[str, ...] = ("google_id", "email")) -> tuple[DataFrame, DataFrame]:
+    """(new rows, rejected): of several rows with a key that isn't known the first by the required
+    fields is new, rows that lack a required field are rejected."""
     blank = F.lit(False)
     for c in required:
         blank = blank | F.col(c).isNull() | (F.col(c).cast("string") == "")
     good, bad = incoming.where(~blank), incoming.where(blank)
     first = F.row_number().over(Window.partitionBy(key).orderBy(*required, *[c for c in incoming.columns if c not in required]))
-    new = good.withColumn("__nth", first).where("__nth = 1").drop("__nth").join(users.select(key), key, "left_anti")
+    return good.withColumn("__nth", first).where("__nth = 1").drop("__nth").join(users.select(key), key, "left_anti"), bad
+
+
+def find_or_insert(users: DataFrame, incoming: DataFrame, key: str = "google_id", required: tuple[str, ...] = ("google_id", "email")) -> tuple[DataFrame, DataFrame]:
+    """(users with the new ones, rejected): known keys stay unchanged."""
+    new, bad = new_rows(users, incoming, key, required)
     return users.unionByName(new, allowMissingColumns=True), bad
 
 

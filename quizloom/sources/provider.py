@@ -3,7 +3,12 @@
 A provider is a picklable callable (system prompt, text) -> JSON string.  The default is
 deterministic and offline.  A completion is asked for again, with growing waits, only if it
 isn't JSON or fails the given check.  A row whose provider raises, takes longer than the
-timeout or still fails after the last attempt carries its error; the job goes on.
+timeout or still fails after the last attempt carries its error; the job goes on.  The thread of a call
+that timed out can't be stopped, so such a call may still be made, and paid.
+
+:func:`complete` calls whenever its result is read.  What follows it below asks through a
+:class:`quizloom.sources.replies.ReplyLog` instead, which calls once and keeps the replies: pass one as
+``log`` to have them kept from run to run.
 """
 
 from __future__ import annotations
@@ -97,13 +102,20 @@ def complete(
     return (df.repartition(tasks) if tasks else df).mapInPandas(run, schema)
 
 
+def answered(df: DataFrame, prompt: str, text: str, provider: Provider = offline, log=None, **options) -> DataFrame:
+    """As :func:`complete`, but with replies from the log, which asks once for those that it lacks."""
+    from quizloom.sources.replies import log_for
+
+    return log_for(df, log).complete(df, prompt, text, provider, **options)
+
+
 def metadata(docs: DataFrame, key: str, text: str, provider: Provider = offline, window: int = 3000, **options) -> DataFrame:
     """(key, title, description, ...) from the first ``window`` characters; a reply that fails gives blanks."""
     from quizloom import schemas
 
     asked = docs.select(key, F.substring(text, 1, window).alias("__text"), F.lit("metadata").alias("__prompt"))
     got = F.from_json("reply", schemas.METADATA_JSON)
-    return complete(asked, "__prompt", "__text", provider, **options).select(key, *(F.coalesce(got[f.name], F.lit("")).alias(f.name) for f in schemas.METADATA_JSON))
+    return answered(asked, "__prompt", "__text", provider, **options).select(key, *(F.coalesce(got[f.name], F.lit("")).alias(f.name) for f in schemas.METADATA_JSON))
 
 
 def solve(questions: DataFrame, key: str, provider: Provider = offline, size: int = 30, **options) -> DataFrame:
@@ -116,7 +128,7 @@ def solve(questions: DataFrame, key: str, provider: Provider = offline, size: in
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch_index", shown.alias("t")))), lambda x: x["t"]), "\n\n")
     batches = batched.groupBy(key, "batch_no").agg(text.alias("__text")).withColumn("__prompt", F.lit("solve"))
     got = F.from_json("reply", schemas.SOLVED_JSON)["questions"]
-    rows = complete(batches, "__prompt", "__text", provider, **options).where("reply IS NOT NULL").select(key, "batch_no", F.posexplode(got).alias("pos", "r"))
+    rows = answered(batches, "__prompt", "__text", provider, **options).where("reply IS NOT NULL").select(key, "batch_no", F.posexplode(got).alias("pos", "r"))
     return rows.select(key, "batch_no", "pos", F.col("r.index").alias("index"), F.col("r.correct_answer").alias("letter"))
 
 
@@ -127,7 +139,7 @@ def generate(docs: DataFrame, key: str, text: str, provider: Provider = offline,
     from quizloom.operators import quiz_json
 
     asked = docs.select(key, text, prompt_for(mode, F.lit(language), F.lit(count), F.lit(difficulty)).alias("__prompt"))
-    replies = complete(asked, "__prompt", text, provider, **options).select(key, "reply", "reply_error")
+    replies = answered(asked, "__prompt", text, provider, **options).select(key, "reply", "reply_error")
     code = F.when(F.col("reply_error").isNotNull(), F.col("reply_error")).otherwise(quiz_json.validate(F.col("reply"))["code"])
     judged = replies.select(key, code.alias("error"), quiz_json.parse(F.col("reply")).alias("quiz"))
     judged = judged.withColumn("error", F.when((F.col("error") == "") & (F.size("quiz.questions") == 0), "no_questions").otherwise(F.col("error")))
@@ -138,4 +150,4 @@ def tutor(comments: DataFrame, provider: Provider = offline, timeout: float = TU
     """Comments with a reply to each question asked, null where the provider fails."""
     choices = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(". "), o["text"])), "\n")
     asked = comments.withColumn("__text", F.concat_ws("\n", "question_text", choices, "content")).withColumn("__prompt", F.lit("tutor"))
-    return complete(asked, "__prompt", "__text", provider, timeout=timeout, **options).drop("__text", "__prompt", "reply_error")
+    return answered(asked, "__prompt", "__text", provider, timeout=timeout, **options).drop("__text", "__prompt", "reply_error")

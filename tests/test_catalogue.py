@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quizloom.plans import catalogue
+from quizloom.plans import catalogue, stored  # noqa: F401 (adds its own queries)
 
 from .conftest import TINY
 
