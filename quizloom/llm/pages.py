@@ -4,9 +4,11 @@
    where a container has neither, its number among such siblings), as far as they give
    structure, and its blocks of text, each with the path around it.
 2. Equivalence classes.  For each host, tokens with the same occurrence vector - the same
-   number of occurrences on every page - form a class.  A vector isn't gathered: it is
-   summed up as two sums of hashes of (page, count), so that a host with a third of all pages
-   is a partial aggregate like any other.
+   number of occurrences on every page - form a class.  Pages with one and the same main text, as
+   a page's own elements tell it, are copies and count as one page: an article under many
+   addresses isn't the host's fixed text.  A vector isn't gathered: it is summed up as two sums of
+   hashes of (page, count), so that a host with a third of all pages is a partial aggregate
+   like any other.
 3. Template.  A class is valid if it has at least ``MIN_TOKENS`` tokens and occurs on at
    least ``MIN_PAGES`` and half of the host's pages.  Valid classes nest by their paths.
    The template is their elements and their texts, which are the host's fixed text.
@@ -14,12 +16,16 @@
    found from the root inwards: the template element that holds most of the varying text
    of the one around it, over all pages of the host; an article or main that is a template
    element inside it narrows it further.
-5. Extraction.  A page's text is what it has in the main slot, less the fixed text and less
-   elements nested in the slot that are furniture by element, role or name.
-
-Without a template, and where less than one part in ``COPIES`` of a host's text varies (its pages
-are copies, so their articles would count as fixed), names and roles decide alone: the
-main slot is the page's largest article, else its main, else the innermost element that
+5. Fixed text in the main slot.  A fixed text there is the host's only if the pages that have it
+   differ in what else they have in the slot, and have more of that than of fixed text; else it
+   belongs to an article that several pages share, and stays.
+6. Extraction.  A page's text is what it has in the main slot, less the host's fixed text and less
+   elements nested in the slot that are furniture by element, role or name.  If nothing would be
+   left of a slot, its fixed text stays.
+
+Without a template, and where less than one part in ``DOUBTFUL`` of a host's text varies (its pages
+may be versions of one, so that what varies tells nothing about where the article is), names and
+roles decide alone: the main slot is the page's largest article, else its main, else the innermost element that
 holds most of the text of the one around it.  Names make no furniture of an element that is
 or holds that slot.
 
@@ -27,9 +33,9 @@ A page without its host's main slot, or on a host without a template, is judged
 elements.
 
 Defined results: a null html is empty, so is its text; pages with a null or malformed url
-share no template; equal pages and repeated rows give equal rows (copies weigh as pages
-of the host); unclosed and misnested elements are closed as their parents are; an empty
-table gives none; further columns are ignored.
+share no template; equal pages and repeated rows give equal rows (copies count as one page of
+the host); unclosed and misnested elements are closed as their parents are; an empty
+table gives none; hosts that are partly copies lose no article; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +53,8 @@ from pyspark.sql import functions as F
 from .common import scratch, written
 
 MIN_TOKENS, MIN_PAGES = 3, 5
-#: A host of which less than one part in so many varies has copies for pages.
-COPIES = 5
+#: Where less than one part in so many of a host varies, the main slot is told by names, not by what varies.
+DOUBTFUL = 5
 #: Bytes of main slots and fixed texts that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -225,8 +231,8 @@ class Page:
         yield from ((path, None, n, chars[path]) for path, n in times.items())
         yield from ((*token, n, n * sizes[token]) for token, n in texts.items())
 
-    def text_in(self, slot: str, fixed: Container[int]) -> str | None:
-        """The text in the host's main slot but for fixed text and nested furniture; None if the page hasn't the slot."""
+    def blocks_in(self, slot: str) -> list[tuple[int, str]] | None:
+        """(token, text) of the blocks in the host's main slot but for nested furniture; None if the page hasn't the slot."""
         n = len(self.elements)
         inside, gone, held = [False] * n, [False] * n, [0] * n
         for at, text in self.found:
@@ -245,13 +251,23 @@ class Page:
                 inside[i] = path == slot
         if True not in inside:
             return None
-        kept = []
-        for at, text in self.found:
-            if at < 0 or not inside[at] or gone[at] or token_of(self.elements[at][2], text) in fixed:
-                continue
-            if not header[at] or self.elements[at][1] in HEADINGS:  # of an article's header only the headings
-                kept.append(text)
-        return "\n".join(kept)
+        # of an article's header only the headings
+        return [
+            (token_of(self.elements[at][2], text), text)
+            for at, text in self.found
+            if at >= 0 and inside[at] and not gone[at] and (not header[at] or self.elements[at][1] in HEADINGS)
+        ]
+
+    def text_in(self, slot: str, fixed: Container[int]) -> str | None:
+        """The text in the host's main slot but for its fixed text, unless that is all there is."""
+        blocks = self.blocks_in(slot)
+        if blocks is None:
+            return None
+        return "\n".join(x for token, x in blocks if token not in fixed) or "\n".join(x for _, x in blocks) or None
+
+    def own_text(self) -> str:
+        """The text that the page's own elements, names and roles tell."""
+        return self.text_of(main_slot(self.chars()))
 
     def chars(self) -> dict[str, int]:
         """Characters of text in each element that isn't furniture."""
@@ -310,7 +326,7 @@ def deduced_slot(elements: list[tuple[str, int]], fixed: list[tuple[int, str, in
     if not roots:
         return None
     root = max(roots, key=lambda p: (varying[p], p))
-    if COPIES * varying[root] < dict(elements)[root] or not varying[root]:
+    if DOUBTFUL * varying[root] < dict(elements)[root] or not varying[root]:
         return None
     slot = _innermost(root, varying)
     mains = [p for p in varying if p.startswith(slot + "/") and tag_of(p) in MAIN and varying[p]]
@@ -321,22 +337,26 @@ def _host(url):
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+def templates(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(host, template, fixed): the elements (path, chars) and texts (token, path, chars) of the host's valid classes."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["host", "page", "path", "token", "n", "chars"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names, types = ["host", "page", "path", "token", "n", "chars"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]  # page: its main text
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = []
-                for host, page, source in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
-                    rows.extend((host, page, *token) for token in Page(source).tokens())
+                for host, source in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns), strict=True):
+                    page = Page(source)
+                    text = xxhash.xxh3_64_intdigest(page.own_text()) - (1 << 63)
+                    rows.extend((host, text, *token) for token in page.tokens())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    named = pages.select(_host(F.col(url)).alias("host"), F.xxhash64(F.col(key), F.col(url)).alias("page"), F.col(html).alias("html")).where("host IS NOT NULL AND html IS NOT NULL")
+    named = pages.select(_host(F.col(url)).alias("host"), F.col(html).alias("html")).where("host IS NOT NULL AND html IS NOT NULL")
     found = named.mapInArrow(tokens, "host string, page long, path string, token long, n long, chars long")
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit(1 << 31)))
+    # copies count as one page, which has what any of them has
+    found = found.groupBy("host", "path", "token", "page").agg(F.max("n").alias("n"), F.max("chars").alias("chars"))
     vectors = found.groupBy("host", "path", "token").agg(part(1).alias("v1"), part(2).alias("v2"), F.count(F.lit(1)).alias("on_pages"), F.sum("chars").alias("chars"))
     # tokens of few pages go before anything is joined or gathered; a host that loses its most frequent path so has no valid class
     vectors = written(vectors.where(F.col("on_pages") >= MIN_PAGES))
@@ -351,7 +371,7 @@ def templates(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 
 def main_slots(found: DataFrame) -> DataFrame:
-    """(host, slot, fixed): the main slot of each host's template and the tokens of its fixed texts."""
+    """(host, slot, fixed): the main slot of each host's template and the tokens of the fixed texts in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,36 +379,73 @@ def main_slots(found: DataFrame) -> DataFrame:
                 host, template, fixed = (c[i].as_py() for c in batch.columns)
                 texts = [(t["token"], t["path"], t["chars"]) for t in fixed]
                 slot = deduced_slot([(t["path"], t["chars"]) for t in template], texts)
-                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([slot], pa.string()), pa.array([[t[0] for t in texts]], pa.list_(pa.int64()))], names=["host", "slot", "fixed"])
+                inside = [token for token, path, _ in texts if slot is not None and f"{path}/".startswith(f"{slot}/")]
+                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([slot], pa.string()), pa.array([inside], pa.list_(pa.int64()))], names=["host", "slot", "fixed"])
 
     return found.select("host", "template", "fixed").mapInArrow(run, "host string, slot string, fixed array<long>").where("slot IS NOT NULL")
 
 
+def _beside(named: DataFrame, slots: DataFrame, how: str) -> DataFrame:
+    """Pages with their host's slot and fixed texts, which are broadcast if they are small."""
+    size = slots.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 8 * F.size("fixed"))).first()[0] or 0
+    joined = named.join(F.broadcast(slots) if size <= BROADCAST_BYTES else slots, "host", how)
+    return joined.select("page_id", "url", "html", "host", "slot", "fixed")
+
+
+def _pages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[Page, str | None, str | None, frozenset[int]]]]]:
+    """Slices of batches of (page_id, url, html, host, slot, fixed) with their parsed pages."""
+    host, slot, fixed = None, None, frozenset()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            piece, found = batch.slice(start, 1024), []
+            for i, (source, name, path) in enumerate(zip(*(piece.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                if path is not None and (name, path) != (host, slot):
+                    host, slot, fixed = name, path, frozenset(piece.column(5)[i].as_py())
+                found.append((Page(source or ""), name, path, fixed))
+            yield piece, found
+
+
+def settled(named: DataFrame, slots: DataFrame) -> DataFrame:
+    """Main slots with those fixed texts that are the host's: the rest of the slot differs and outweighs them."""
+    doubtful = slots.where(F.size("fixed") > 0)
+    if doubtful.isEmpty():
+        return slots
+
+    def rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _pages_of(batches):
+            rows = []
+            for page, host, slot, fixed in found:
+                blocks = page.blocks_in(slot) or []
+                rest = [x for token, x in blocks if token not in fixed]
+                digest, size = xxhash.xxh3_64_intdigest("\n".join(rest)) - (1 << 63), sum(map(len, rest))
+                out = sum(len(x) for token, x in blocks if token in fixed)
+                rows.extend((host, token, digest, size, out) for token in {token for token, _ in blocks if token in fixed})
+            if rows:
+                kinds = (pa.string(), *[pa.int64()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "token", "rest", "size", "out"])
+
+    told = _beside(named, doubtful, "inner").mapInArrow(rests, "host string, token long, rest long, size long, out long")
+    told = told.groupBy("host", "token").agg((F.min("rest") != F.max("rest")).alias("differ"), (F.sum("size") > F.sum("out")).alias("outweighed"))
+    own = told.where("differ AND outweighed").groupBy("host").agg(F.array_sort(F.collect_list("token")).alias("own"))
+    none = F.array().cast("array<long>")
+    return slots.join(own, "host", "left").select("host", "slot", F.coalesce("own", none).alias("fixed"))
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
+    named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), _host(F.col(url)).alias("host"))
     with scratch() as keep:
-        found = keep(written(main_slots(templates(pages, key, url, html))))
-    size = found.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + 8 * F.size("fixed"))).first()[0] or 0
-    known = F.broadcast(found) if size <= BROADCAST_BYTES else found
+        slots = written(main_slots(templates(pages, url, html)))
+        known = keep(written(settled(named, slots)))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, slot, fixed = None, None, frozenset()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                piece = batch.slice(start, 1024)
-                out = []
-                for i, (source, name, path) in enumerate(zip(*(piece.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                    page = Page(source or "")
-                    text = None
-                    if path is not None:
-                        if (name, path) != (host, slot):
-                            host, slot, fixed = name, path, frozenset(piece.column(5)[i].as_py())
-                        text = page.text_in(slot, fixed)
-                    out.append(page.text_of(main_slot(page.chars())) if text is None else text)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"]
-                )
-
-    named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), _host(F.col(url)).alias("host"))
-    joined = named.join(known, "host", "left").select("page_id", "url", "html", "host", "slot", "fixed")
-    return joined.mapInArrow(texts, f"page_id {pages.schema[key].dataType.simpleString()}, url string, text string, n_chars long")
+        for piece, found in _pages_of(batches):
+            out = []
+            for page, _, slot, fixed in found:
+                text = page.text_in(slot, fixed) if slot is not None else None
+                out.append(page.own_text() if text is None else text)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), piece.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"]
+            )
+
+    return _beside(named, known, "left").mapInArrow(texts, f"page_id {pages.schema[key].dataType.simpleString()}, url string, text string, n_chars long")

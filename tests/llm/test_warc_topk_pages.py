@@ -170,8 +170,8 @@ def test_a_name_alone_discards_no_main_slot():
 
 def test_only_valid_classes_are_gathered(spark):
     rows = [(i, "http://h/x", f'<body class="postid-{i}"><div><p>own {i}</p></div></body>') for i in range(8)]
-    rows += [(i, "http://h/x", "<html><body><div><p>same</p></div></body></html>") for i in range(8, 20)]
-    found = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")
+    rows += [(i, "http://h/x", f"<html><body><div><p>other {i}</p></div></body></html>") for i in range(8, 20)]
+    found = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html")
     assert [(r.host, [t.path for t in r.template]) for r in found.collect()] == [("h", ["html", "html/body", "html/body/div", "html/body/div/p"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1 and "Filter" in plan.split("collect_list")[1]
@@ -215,7 +215,7 @@ def test_deduction_against_occurrence_vectors(spark):
         if len(on) >= pages.MIN_PAGES:
             classes[tuple(sorted(on.items()))].append(token)
     valid = {t for on, tokens in classes.items() if len(tokens) >= pages.MIN_TOKENS and 2 * len(on) >= len(rows) for t in tokens}
-    found = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").first()
+    found = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html").first()
     assert {(t.path, None) for t in found.template} | {(t.path, t.token) for t in found.fixed} == valid
     assert {(t.path, t.chars) for t in found.template} == {(p, chars[p, t]) for p, t in valid if t is None}
     assert any(t is not None for _, t in valid) and not any("News" in str(t) for t in found.template)
@@ -231,6 +231,56 @@ def test_copies_for_pages_and_a_very_long_page(spark):
     assert got[100] == "\n".join(["a very long page"] * 60_000) and got[None] == ""
 
 
+def article_page(i, frame, tag):
+    """Article i in a frame: its name, a menu, a notice in the slot, an offer and an imprint, some of which change."""
+    body = "".join(f"<p>{f'article {i} says in its paragraph {j} ' * 6}</p>" for j in range(5))
+    want = "\n".join(" ".join((f"article {i} says in its paragraph {j} " * 6).split()) for j in range(5))
+    notice = "<p>Please read this with care</p>"
+    html = f"<html><body><div><p>Start</p><p>News</p></div><div><p>offer {frame} {'buy ' * (frame % 4)}</p></div><{tag}>{notice}{body}</{tag}><div>Imprint and contact</div></body></html>"
+    return html, want
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+@pytest.mark.parametrize("frames", ["one", "differing"])
+@pytest.mark.parametrize("copies", [2, 5, 6, 8, 10])
+def test_hosts_that_are_partly_copies_lose_no_article(spark, copies, frames, tag):
+    rows, want = [], {}
+    for host in range(2):
+        for k in range(10):
+            i = 0 if k < copies else k
+            html, text = article_page(i, k if frames == "differing" else 0, tag)
+            rows.append((100 * host + k, f"http://h{host}.example/{k}", html))
+            want[100 * host + k] = text
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, text in want.items():
+        own = got[k].removeprefix("Please read this with care\n")
+        assert own == text, (k, got[k][:80])
+
+
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_two_articles_shared_half_and_half(spark, tag):
+    rows = [(k, f"http://h.example/{k}", article_page(k % 2, k, tag)[0]) for k in range(12)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].endswith(article_page(k % 2, k, tag)[1]) for k in got)
+
+
+def test_versions_of_one_article_keep_their_common_text(spark):
+    """Pages that differ in one line of the slot: what they share outweighs it, so it stays."""
+    rows, want = [], {}
+    for k in range(10):
+        html, text = article_page(0 if k < 6 else k, 1, "article")
+        rows.append((k, f"http://h.example/{k}", html.replace("</article>", f"<p>version {k}</p></article>")))
+        want[k] = f"{text}\nversion {k}"
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: t.removeprefix("Please read this with care\n") for k, t in got.items()} == want
+
+
+def test_a_host_s_notice_goes_from_articles_that_differ(spark):
+    rows = [(k, f"http://h.example/{k}", article_page(0 if k < 3 else k, k, "div")[0]) for k in range(20)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: article_page(0 if k < 3 else k, k, "div")[1] for k in range(20)}
+
+
 def test_furniture_inside_the_deduced_slot(spark):
     rows = [
         (i, "http://inner.example/", f'<body><div>menu</div><div><h1>title {i}</h1><p>{f"words of page {i} " * 9}</p><form>ask {i}</form><div class="comments"><p>reader {i} says</p></div><aside>aside {i}</aside></div></body>')
