@@ -523,21 +523,28 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*gone.columns, pa.array(np.ones(gone.num_rows, "i8"))], names=["key", "sub", "start", "n"])
 
 
-def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    """(key, sub, text, more): null keys as NO_KEY; ``sub`` tells different texts of one key apart
-    and is 0 for keys that occur once.  Both joins with texts take them in this form, so
-    that Spark shuffles the texts once and reuses the exchange."""
-    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
-    again = written(named.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("again")))
+def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(key, sub, text, more) of every row, and (key, sub, text) once for each pair of these: null keys are NO_KEY;
+    ``sub`` tells different texts of one key apart, is below zero for a null key and 0 for keys that
+    occur once.  Where none occurs twice, both joins with texts read the same plan, so that Spark
+    shuffles the texts once and reuses the exchange."""
+    none = F.col(key).isNull()
+    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), none.alias("__none"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
+    again = written(named.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("__again")))
+    others = named.columns[3:]
     if again.isEmpty():
-        sub = F.lit(0).cast("long")
-    else:
-        named, sub = named.join(again, "key", "left"), F.when(F.col("again"), F.xxhash64("text")).otherwise(0)
-    return named.select("key", sub.alias("sub"), "text", *named.columns[2 : 2 + len(more)])
+        every = named.select("key", F.lit(0).cast("long").alias("sub"), "text", *others)
+        return every, every.select("key", "sub", "text")
+    h = F.xxhash64("text")
+    sub = F.when(F.col("__none"), h.bitwiseOR(F.lit(-(1 << 63)))).otherwise(h.bitwiseAND(F.lit((1 << 63) - 1)))
+    every = named.join(again, "key", "left").select("key", F.when(F.col("__again"), sub).otherwise(0).alias("sub"), "text", "__again", *others)
+    # what is worked on has each document once, however often it is repeated
+    once = every.where("__again").dropDuplicates(["key", "sub"]).select("key", "sub", "text")
+    return every.drop("__again"), every.where("__again IS NULL").select("key", "sub", "text").unionByName(once)
 
 
 def removals(named: DataFrame, window: int = 100) -> DataFrame:
-    """(key, sub, spans): for each document of :func:`keyed` that loses bytes, (start, n) of the
+    """(key, sub, spans): for each of the distinct documents of :func:`keyed` that loses bytes, (start, n) of the
     windows that also start earlier; a window removes its ``window`` bytes."""
     # equal blocks are combined batch by batch
     rows = rows_a_batch(named, 2000).select("key", "sub", "text").mapInArrow(_block_rows(window), "gram long, body long, key long, sub long, packed long")
@@ -554,7 +561,6 @@ def removals(named: DataFrame, window: int = 100) -> DataFrame:
     spans = ["key", "sub", "start", "n"]
     settled = looked.where("bytes IS NULL").select(*spans).unionByName(windows.mapInArrow(_neighbours, "key long, sub long, start long, n long"))
     both = judged.where(F.col("kind") == REMOVED).select(*spans).unionByName(settled)
-    # equal rows find the same spans
     return both.groupBy("key", "sub").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
@@ -588,12 +594,10 @@ def kept_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
                 out.append((len(data), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
-            keys = batch.column(0)
-            keys = pc.if_else(pc.equal(keys, NO_KEY), pa.scalar(None, pa.int64()), keys)
-            yield pa.RecordBatch.from_arrays([keys, *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    named = keyed(docs, key, text)
-    joined = named.join(removals(named, window), ["key", "sub"], "left").select("key", "text", "spans")
+    named, once = keyed(docs, key, text, F.col(key).cast("long").alias("id"))
+    joined = named.join(removals(once, window), ["key", "sub"], "left").select("id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -621,8 +625,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     whole = F.struct(*map(F.col, docs.columns)).alias("__row")
-    named = keyed(docs, key, text, whole)
-    spans = removals(named.select("key", "sub", "text"), window)
+    named, once = keyed(docs, key, text, whole)
+    spans = removals(once, window)
     back = named.join(spans, ["key", "sub"], "left").select("__row.*", F.col("spans").alias("__spans"))
     out = back.mapInArrow(run, T.StructType(docs.schema.fields))
     if "n_chars" in docs.columns:

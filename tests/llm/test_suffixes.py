@@ -182,3 +182,43 @@ def test_equal_blocks_are_told_by_bytes():
     start, n, same = np.array([0, 120, 240]), np.array([21, 21, 21]), np.zeros(3, "u8")
     number = suffixes.numbered(data, start, n, same, same, 100)
     assert number[0] == number[2] != number[1]
+
+
+def rows_written(monkeypatch, module):
+    """Counts the rows of all tables that a module writes on its way."""
+    inner, made = module.written, []
+
+    def counting(df):
+        table = inner(df)
+        made.append(table.count())
+        return table
+
+    monkeypatch.setattr(module, "written", counting)
+    return made
+
+
+@pytest.mark.parametrize("key", [None, 5])
+def test_work_is_linear_in_repeated_rows(spark, monkeypatch, key):
+    """n equal rows that share a passage with one other document."""
+    rng = random.Random(4)
+    words = [" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(3)]
+    sums = []
+    for n in (25, 400):
+        rows = [(key, words[0] + words[1])] * n + [(9, words[2] + words[1])]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        made = rows_written(monkeypatch, suffixes)
+        found = suffixes.kept_digests(df).collect()
+        monkeypatch.undo()
+        want = repeats([(key, rows[0][1]), rows[-1]], 100)
+        assert sorted(map(str, (tuple(r) for r in found))) == sorted(str((k, *want[k])) for k, _ in rows)
+        sums.append(sum(made))
+    assert sums[0] == sums[1]
+
+
+def test_the_least_key_is_not_null(spark):
+    low, text = -(1 << 63), "some words that are long enough to be a repeat of more than a hundred bytes, as they are in every one of these texts"
+    rows = [(low, text), (None, text), (low, text + " again"), (3, text)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixes.kept_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the null key comes first; of the two texts of one key either is before the other
+    n = len(text)
+    assert got[None, n] == 0 and got[low, n] == n and got[3, n] == n and got[low, n + 6] == n
