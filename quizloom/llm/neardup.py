@@ -44,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_a_batch, scratch, written
@@ -138,8 +138,15 @@ def _sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, fp binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the full sets of the documents that take part in candidates."""
+def _once(rows: DataFrame, repeated: DataFrame | None, *columns: str) -> DataFrame:
+    """The rows, of documents whose id is repeated each different (doc_id, columns) once."""
+    if repeated is None:
+        return rows
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", *columns]))
+
+
+def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """(doc_id, shingles): the full sets of the documents that take part in candidates, equal ones of a document once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +155,8 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -
                 sets = [shingle_set(x.as_py(), width).tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), text).join(wanted, "doc_id", "left_semi")
-    return texts.mapInArrow(run, "doc_id long, shingles binary")
+    texts = _once(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi"), repeated, "text")
+    return _once(texts.mapInArrow(run, "doc_id long, shingles binary"), repeated, "shingles")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -272,6 +279,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     with scratch() as keep:
         sketches = keep(written(_sketches(rows_a_batch(docs, 500), key, text, width)))
         with_set = sketches.where("n > 0 AND doc_id IS NOT NULL")
+        repeated = written(with_set.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+        repeated = None if repeated.isEmpty() else repeated
+        with_set = _once(with_set, repeated, "fp")
+        with_set = with_set if repeated is None else written(with_set)
         # equal sets: one vertex each, the least id
         # written, so that the join below reads two shuffles and a hot set can be split
         classes = written(with_set.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("fp", "rep"))
@@ -281,7 +292,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         rows = written(members.join(shared, "bucket"))
         scores = written(rows.groupBy("doc_id").agg(F.sum("in_bucket").alias("score")))
         rows = rows.drop("in_bucket").join(scores, "doc_id").withColumn("component", F.col("doc_id"))
-        sets = written(_sets(docs, key, text, width, scores.select("doc_id")))
+        sets = written(_sets(docs, key, text, width, scores.select("doc_id"), repeated))
 
         links = copies.select("a", "b")
         for _ in range(STAR_ROUNDS):
@@ -311,6 +322,6 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     twice = written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
     if twice.isEmpty():
         return left
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
-    first = left.join(twice, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    # combined before they are shuffled, so that a row with very many copies isn't gathered
+    first = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -119,3 +119,27 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
+
+
+def test_work_is_linear_in_repeated_rows(spark, monkeypatch):
+    """Two linked documents and one that isn't, n rows each: tables on the way grow by the sketches of rows alone."""
+    base = [f"w{i}" for i in range(60)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:-2], "x", "y"]), 3: " ".join(f"v{i}" for i in range(50))}
+    inner, sums = neardup.written, []
+    for n in (20, 320):
+        made = []
+
+        def counting(df, made=made):
+            table = inner(df)
+            made.append(table.count())
+            return table
+
+        monkeypatch.setattr(neardup, "written", counting)
+        df = spark.createDataFrame([(k, t) for k, t in texts.items() for _ in range(n)], "doc_id long, text string").repartition(3)
+        got = neardup.near_duplicates(df).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1)] * n + [(2, 1)] * n + [(3, 3)] * n
+        assert made[0] == 3 * n
+        sums.append(sum(made[1:]))
+        monkeypatch.setattr(neardup, "written", inner)
+        assert sorted(r.doc_id for r in neardup.one_of_each(df).collect()) == [1, 3]
+    assert sums[0] == sums[1]
