@@ -233,27 +233,42 @@ def mix_plan(
     return whole.unionByName(none).withColumn("taken", total)
 
 
+def _among_equals(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Numbers rows of one repeated ``__h`` from 1 as ``__i``, in groups and over the groups' counts, so that no task has
+    all of them; 1 for the others."""
+    alone = rows.join(repeated, "__h", "left_anti").withColumn("__i", F.lit(1).cast("long"))
+    # written, so that a row has one number in both plans that read it
+    many = written(rows.join(repeated, "__h", "left_semi")).withColumn("__row", F.monotonically_increasing_id())
+    many = many.withColumn("__part", F.shiftright("__row", 33) * 64 + F.pmod("__row", F.lit(64)))
+    sizes = many.groupBy("__h", "__part").agg(F.count(F.lit(1)).alias("__count"))
+    before = F.sum("__count").over(Window.partitionBy("__h").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__h", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__h", "__part").orderBy("__row"))
+    many = many.withColumn("__nth", inside).join(sizes, ["__h", "__part"]).withColumn("__i", F.col("__before") + F.col("__nth"))
+    columns = [*rows.columns, "__i"]
+    return alone.select(*columns).unionByName(many.select(*columns))
+
+
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that the mix takes, with their columns.  A text becomes the words taken,
     in the order of the text, as often as they are taken; what is taken once and whole
     keeps its text as it is.  White space stays with the word before it."""
     columns = docs.columns
 
-    def same(k: Column, source: Column, n: Column) -> list[Column]:
-        return [k.isNull(), F.coalesce(k, F.lit(0)), source.isNull(), F.coalesce(source, F.lit("")), n]
+    def same(k: Column, source: Column, n: Column) -> Column:
+        told = [k.isNull(), F.coalesce(k, F.lit(0)), source.isNull(), F.coalesce(source, F.lit("")), n]
+        return F.concat(F.hex(F.xxhash64(*told)), F.hex(F.xxhash64(F.lit(1), *told))).alias("__h")
 
-    # One row per document on either side, found by a hash of what tells documents apart, so
-    # that the texts are shuffled once; copies of one row are interchangeable: the n-th in
-    # order goes with the n-th.
+    # One row per document on either side, found by a hash of what tells documents apart, so that the texts
+    # are shuffled once; rows of one hash are interchangeable: the n-th goes with the n-th.
     plan = mix_plan(docs, key, text, **options)
-    named = [c.alias(f"o{i}") for i, c in enumerate(same(F.col(key), F.col("source"), F.col("size")))]
-    plan = plan.groupBy(F.xxhash64(*same(F.col(key), F.col("source"), F.col("size"))).alias("__h")).agg(
-        F.array_sort(F.collect_list(F.struct(*named, "offset", "taken", F.col("size").alias("n"), "parts"))).alias("__plans")
-    )
-    own = same(F.col(key), F.col("source"), word_count(F.col(text)))
-    nth = F.row_number().over(Window.partitionBy("__h").orderBy(*own[:4], "__n", F.xxhash64(text)))
-    numbered = docs.withColumns({"__h": F.xxhash64(*own), "__n": own[4]}).withColumn("__i", nth)
-    joined = numbered.join(plan, "__h").withColumn("__p", F.element_at("__plans", F.col("__i"))).where("__p.taken > 0")
+    plan = written(plan.select(same(F.col(key), F.col("source"), F.col("size")), F.struct("taken", F.col("size").alias("n"), "parts").alias("__p")))
+    numbered = docs.withColumn("__h", same(F.col(key), F.col("source"), word_count(F.col(text))))
+    repeated = written(plan.groupBy("__h").count().where("count > 1").select("__h"))
+    on = ["__h"]
+    if not repeated.isEmpty():
+        on, plan, numbered = ["__h", "__i"], _among_equals(plan, repeated), _among_equals(numbered, repeated)
+    joined = numbered.join(plan.where("__p.taken > 0"), on)
     # the last word too ends in white space, so that parts don't run together
     words = F.regexp_extract_all(F.concat(F.col(text), F.lit(" ")), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+)"))
     in_order = F.array_sort(F.transform("__p.parts", lambda p: F.struct(p["first"].alias("first"), p["slot"].alias("slot"), p["words"].alias("words"))))

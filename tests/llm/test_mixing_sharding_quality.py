@@ -40,6 +40,19 @@ def test_mixture(spark, docs):
     assert mixing.mixture(docs.limit(0)).isEmpty()
 
 
+def test_many_equal_rows_are_joined_by_number(spark, monkeypatch):
+    """200 rows of one null key, source and size, half of them equal: each gets a plan of its own, and no row lists them."""
+    rows = [(None, words(70, 0 if i % 2 else i), "hot") for i in range(200)] + [(i, words(40, i), "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept, inner = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda d: kept.append(inner(d)) or kept[-1])
+    got = mixing.mix_documents(df).collect()
+    taken = sorted(r.taken for r in mixing.mixture(df).collect() if r.taken)
+    assert sorted(len(WORD.findall(r.text)) for r in got) == taken
+    plans = next(t for t in kept if "__p" in t.columns)
+    assert plans.count() == 230 and not any("array<struct<o0" in str(t.schema) for t in kept)
+
+
 def test_targets_share_the_excess(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 400, "é": 1, "z": 0}
     df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
