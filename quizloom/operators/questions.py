@@ -34,6 +34,8 @@ _MARKED = (
     rf"(?ius)\A{W}*([A-D]){W}*[.):\-]{W}*{_TICK}{W}*(?:.+?)\z",
     rf"(?ius)\A{W}*đáp{W}*án{W}*([A-D]){W}*[.):\-]{W}*(?:.+?)\z",
 )
+# a marked option has one of these marks
+_MARKS = r"(?iu)[*_✓✔√☑]|\[x\]|\(x\)|đáp"
 _NUMBERING = rf"(?iu)\A{W}*(?:Câu|Question|Q)?{W}*\p{{Nd}}{{1,4}}{W}*[.:)]{W}*"
 _MISSING_A = rf"(?ius)(?:\A|{W})(?:đáp{W}*án{W}*)?A{W}*[.):\-]?{W}+([A-ZĐ0-9].*)\z"
 _KEY_HEADERS = (
@@ -87,28 +89,50 @@ def answer_key(text: Column, strict: bool = True) -> Column:
     return F.when(F.size(piped) > 0, piped).when(enough, compact).otherwise(F.array().cast("array<struct<number:int,letter:string>>"))
 
 
+def _without(c: Column, mark: str) -> Column:
+    """Without one or two emphasis marks at either end, and the white space that they leave."""
+    marked = (F.substring(c, 1, 1) == mark) | (F.substring(c, -1, 1) == mark)
+    m = rf"\{mark}{{1,2}}"
+    return F.when(marked, strip(F.regexp_replace(c, rf"\A{m}|{m}\z", ""))).otherwise(c)
+
+
+def _first_of(c: Column) -> Column:
+    return F.upper(F.substring(c, 1, 1))
+
+
+def _holds(c: Column, *parts: str) -> Column:
+    found = F.contains(c, F.lit(parts[0]))
+    for p in parts[1:]:
+        found = found | F.contains(c, F.lit(p))
+    return found
+
+
+def option_of(line: Column) -> Column:
+    """The line as an option (key, text), else null."""
+    fits = _first_of(line).isin("A", "B", "C", "D", "Đ") & line.rlike(_OPTION)
+    return F.when(fits, F.struct(F.upper(F.regexp_extract(line, _OPTION, 1)).alias("key"), strip(F.regexp_extract(line, _OPTION, 2)).alias("text")))
+
+
 def classify_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, raw, line, kind, ...): non-blank lines with what they are."""
-    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "__line")).withColumn("raw", strip(F.col("__line")))
-    line = strip(F.regexp_replace("raw", r"\A\*{1,2}|\*{1,2}\z", ""))
-    line = strip(F.regexp_replace(line, r"\A_{1,2}|_{1,2}\z", ""))
-    each = each.withColumn("line", line).where("line <> ''").drop("__line")
-    c = F.col("line")
-    prefixed = c.rlike(_HEAD_PREFIX)
-    number = F.regexp_extract(c, _HEAD_NUMBER, 1).try_cast("int")
-    numbered = ~prefixed & F.coalesce(number.between(1, 999), F.lit(False))
-    is_head = prefixed | numbered
-    chapter = ~is_head & c.rlike(_CHAPTER) & (F.length(c) < CHAPTER_UNDER) & ~c.rlike(_OPTION)
-    letter = _found(c, _ANSWERS)
-    kind = F.when(chapter, "chapter").when(letter.isNotNull(), "answer").when(is_head, "head").otherwise("body")
-    return each.withColumns(
-        {
-            "letter": letter,
-            "number": F.when(prefixed, F.regexp_extract(c, _HEAD_PREFIX, 1).try_cast("int")).when(numbered, number).otherwise(0),
-            "head_text": strip(F.when(prefixed, F.regexp_extract(c, _HEAD_PREFIX, 2)).otherwise(F.regexp_extract(c, _HEAD_NUMBER, 2))),
-            "kind": kind,
-        }
-    )
+    """(key, pos, raw, line, kind, ...): non-blank lines with what they are.
+
+    A pattern is tried only on lines that begin with a character, or hold a word, that it needs."""
+    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "__line")).select(key, "pos", strip(F.col("__line")).alias("raw"))
+    each = each.withColumn("line", _without(_without(F.col("raw"), "*"), "_")).where("line <> ''")
+    c, first = F.col("line"), F.col("__first")
+    each = each.withColumns({"__first": _first_of(c), "__upper": F.upper(c)})
+    by_word = first.isin("C", "Q")
+    digit = first.between("0", "9") | ((F.ascii(first) > 127) & first.rlike(r"\p{Nd}"))
+    each = each.withColumn("__number", F.when(by_word, F.regexp_extract(c, _HEAD_PREFIX, 1)).when(digit, F.regexp_extract(c, _HEAD_NUMBER, 1)).otherwise(""))
+    asks = _holds(F.col("__upper"), "ĐÁP", "ĐA", "ANS", "=>", "→", ">>")
+    each = each.withColumns({"__value": F.col("__number").try_cast("int"), "letter": F.when(asks, _found(c, _ANSWERS))})
+    prefixed = by_word & (F.col("__number") != "")
+    numbered = ~by_word & F.coalesce(F.col("__value").between(1, 999), F.lit(False))
+    chapter = ~prefixed & ~numbered & first.isin("C", "B", "P") & (F.length(c) < CHAPTER_UNDER) & c.rlike(_CHAPTER) & ~c.rlike(_OPTION)
+    kind = F.when(chapter, "chapter").when(F.col("letter").isNotNull(), "answer").when(prefixed | numbered, "head").otherwise("body")
+    rest = F.when(prefixed, F.regexp_extract(c, _HEAD_PREFIX, 2)).when(numbered, F.regexp_extract(c, _HEAD_NUMBER, 2)).otherwise("")
+    number = F.when(prefixed | numbered, F.col("__value")).otherwise(0)
+    return each.select(key, "pos", "raw", "line", "letter", number.alias("number"), strip(rest).alias("head_text"), kind.alias("kind"))
 
 
 def _fold(head: Column, number: Column, body: Column) -> Column:
@@ -160,7 +184,8 @@ def _finished(q: Column) -> Column:
     def complete(x: Column) -> Column:
         lost = x["lost_a"].isNotNull()
         with_a = F.concat(F.array(F.struct(F.lit("A").alias("key"), x["lost_a"].alias("text"))), x["options"])
-        marked = F.filter(F.transform(x["raws"], lambda r: _found(strip(r), _MARKED)), lambda a: a.isNotNull())
+        marks = lambda r: F.when(r.rlike(_MARKS), _found(strip(r), _MARKED))
+        marked = F.filter(F.transform(x["raws"], marks), lambda a: a.isNotNull())
         made = F.struct(
             F.when(lost, strip(F.regexp_replace(x["text"], _MISSING_A, ""))).otherwise(x["text"]).alias("question_text"),
             F.slice(F.when(lost, with_a).otherwise(x["options"]), 1, 4).alias("options"),
@@ -179,7 +204,6 @@ def parse_questions(docs: DataFrame, key: str = "doc_id", text: str = "text", st
     the text, else from an answer table; "" if there is none.
     """
     line = F.col("line")
-    option = F.when(line.rlike(_OPTION), F.struct(F.upper(F.regexp_extract(line, _OPTION, 1)).alias("key"), strip(F.regexp_extract(line, _OPTION, 2)).alias("text")))
     by_doc = Window.partitionBy(key).orderBy("pos")
     upto = by_doc.rowsBetween(Window.unboundedPreceding, 0)
     seg = F.sum((F.col("kind") != "body").cast("int")).over(upto)
@@ -188,13 +212,13 @@ def parse_questions(docs: DataFrame, key: str = "doc_id", text: str = "text", st
     segments = classified.groupBy(key, "seg").agg(
         F.max(F.when(first, F.struct("kind", "line", "letter", "number", "head_text"))).alias("head"),
         F.array_sort(
-            F.collect_list(F.when(~first, F.struct("pos", "raw", "line", inline_options(line).alias("inline"), option.alias("option"))))
+            F.collect_list(F.when(~first, F.struct("pos", "raw", "line", inline_options(line).alias("inline"), option_of(line).alias("option"))))
         ).alias("body"),
     )
     in_doc = Window.partitionBy(key).orderBy("seg")
-    chapter = F.last(F.when(F.col("head.kind") == "chapter", F.col("head.line")), ignorenulls=True).over(in_doc.rowsBetween(Window.unboundedPreceding, 0))
+    chapter = carried(segments, [key], ["seg"], F.when(F.col("head.kind") == "chapter", F.col("head.line")), NO_CHAPTER)
     after = F.lead(F.when(F.col("head.kind") == "answer", F.col("head.letter"))).over(in_doc)
-    segments = segments.withColumns({"chapter": F.coalesce(chapter, F.lit(NO_CHAPTER)), "inline_answer": after}).where(F.col("head.kind") == "head")
+    segments = segments.withColumns({"chapter": chapter, "inline_answer": after}).where(F.col("head.kind") == "head")
     # a generator computes its argument once; a projection would, for each mention of it
     folded = let(_fold(F.col("head.head_text"), F.col("head.number"), F.col("body")), _finished)
     valid = segments.select(key, "seg", "head.number", "chapter", "inline_answer", F.inline(F.filter(F.array(folded), lambda x: x.isNotNull())))
@@ -218,14 +242,32 @@ def parse_questions(docs: DataFrame, key: str = "doc_id", text: str = "text", st
     )
 
 
-def first_of_each(questions: DataFrame, by: list[str], norm: Column, order: str) -> DataFrame:
-    """The first question, by ``order``, of those with equal normal forms."""
-    nth = F.row_number().over(Window.partitionBy(*by, "__norm").orderBy(order))
-    return questions.withColumn("__norm", norm).withColumn("__nth", nth).where("__nth = 1").drop("__norm", "__nth")
+def first_of_each(rows: DataFrame, norm: Column, order: str) -> DataFrame:
+    """The first row, by ``order``, of all rows with equal normal forms; ``order`` tells rows apart.
+
+    Normal forms are compared by their MD5, so a form that very many rows have is combined before it is shuffled, as
+    16 bytes; texts move only to meet their winners."""
+    least = rows.groupBy(F.unhex(F.md5(norm)).alias("__norm")).agg(F.min(order).alias(order))
+    return rows.join(least.select(order), order, "left_semi")
 
 
 def deduplicate(questions: DataFrame, key: str = "doc_id") -> DataFrame:
-    return first_of_each(questions, [key], parser_key(F.col("question_text")), "order")
+    """The first of a document's questions with equal texts."""
+    nth = F.row_number().over(Window.partitionBy(key, "__norm").orderBy("order"))
+    normed = questions.withColumn("__norm", F.md5(parser_key(F.col("question_text")))).withColumn("__nth", nth)
+    return normed.where("__nth = 1").drop("__norm", "__nth")
+
+
+def carried(rows: DataFrame, by: list[str], order: list[str], heading: Column, default) -> Column:
+    """The last heading at or before each row of its group, the default before the first."""
+    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.last(heading, ignorenulls=True).over(over), F.lit(default))
+
+
+def first_seen(rows: DataFrame, by: list[str], label: str, order: str, *aggregates: Column) -> DataFrame:
+    """(by, label, first_order, aggregates, nth): groups of a label, numbered in order of first appearance."""
+    grouped = rows.groupBy(*by, label).agg(F.min(order).alias("first_order"), *aggregates)
+    return grouped.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("first_order")))
 
 
 def resolve_answers(questions: DataFrame, solved: DataFrame | None, on: list[str], default: str = "A") -> DataFrame:
@@ -264,15 +306,11 @@ def merge_solved(batch: DataFrame, results: DataFrame, on: list[str]) -> DataFra
 
 def group_chapters(questions: DataFrame, key: str, base_title: str, fallback_chapter: str | None = None) -> DataFrame:
     """One quiz per chapter, in order of first appearance: (key, quiz_no, chapter, title, questions)."""
-    grouped = questions.groupBy(key, "chapter").agg(
-        F.min("order").alias("first_order"),
-        F.min(base_title).alias(base_title),
-        F.array_sort(F.collect_list(F.struct("order", "question_text", "options", "correct_answer"))).alias("questions"),
-    )
-    number = F.row_number().over(Window.partitionBy(key).orderBy("first_order"))
+    listed = F.array_sort(F.collect_list(F.struct("order", "question_text", "options", "correct_answer"))).alias("questions")
+    grouped = first_seen(questions, [key], "chapter", "order", F.min(base_title).alias(base_title), listed)
     title = F.concat_ws(" - ", F.col(base_title), blank_to_null(F.col("chapter")))
     chapter = F.coalesce(blank_to_null(F.col("chapter")), F.lit(fallback_chapter))
-    return grouped.select(key, number.alias("quiz_no"), chapter.alias("chapter"), title.alias("title"), F.size("questions").alias("total_questions"), "questions")
+    return grouped.select(key, F.col("nth").alias("quiz_no"), chapter.alias("chapter"), title.alias("title"), F.size("questions").alias("total_questions"), "questions")
 
 
 def answer_statistics(questions: DataFrame, by: list[str]) -> DataFrame:

@@ -89,6 +89,25 @@ def text_preprocess(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.preprocess(F.col("text")).alias("cleaned"))
 
 
+@query(
+    f"""
+    WITH src AS (SELECT doc_id, {_PAGES.format('text')} AS t FROM documents), {_REPEATED},
+    spaced AS (SELECT doc_id, {_SPACES.format('t')} AS s FROM left_over),
+    cut AS (SELECT *, substr(s, 1, 3000) AS head FROM spaced),
+    ends AS (
+        SELECT *, CASE WHEN strpos(reverse(head), chr(10) || chr(10)) > 0 THEN length(head) - strpos(reverse(head), chr(10) || chr(10)) - 1 ELSE -1 END AS para,
+               CASE WHEN strpos(reverse(head), ' .') > 0 THEN length(head) - strpos(reverse(head), ' .') - 1 ELSE -1 END AS sent
+        FROM cut
+    )
+    SELECT doc_id, {_STRIP.format("CASE WHEN length(s) <= 3000 THEN s WHEN para > 2100 THEN substr(head, 1, para) WHEN sent > 2400 THEN substr(head, 1, sent + 1) ELSE head END")} AS cleaned
+    FROM ends
+    """
+)
+def text_preprocess_cut(spark, sf_dir):
+    """The same with a limit that many texts reach."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.preprocess(F.col("text"), 3000).alias("cleaned"))
+
+
 @query(
     r"""
     WITH cut AS (SELECT doc_id, text, substr(text, 1, 800) AS head FROM documents),
@@ -183,7 +202,7 @@ def text_clean_extracted(spark, sf_dir):
 )
 def dedup_parser_key(spark, sf_dir):
     key = strings.parser_key(F.col("text"))
-    return questions.first_of_each(table(spark, sf_dir, "documents"), [], key, "doc_id").select("doc_id", key.alias("norm"))
+    return questions.first_of_each(table(spark, sf_dir, "documents"), key, "doc_id").select("doc_id", key.alias("norm"))
 
 
 @query(
@@ -195,7 +214,7 @@ def dedup_parser_key(spark, sf_dir):
 )
 def dedup_generated_key(spark, sf_dir):
     key = strings.generated_key(F.col("text"))
-    return questions.first_of_each(table(spark, sf_dir, "documents"), [], key, "doc_id").select("doc_id", key.alias("norm"))
+    return questions.first_of_each(table(spark, sf_dir, "documents"), key, "doc_id").select("doc_id", key.alias("norm"))
 
 
 # -- serving ---------------------------------------------------------------------------
@@ -573,8 +592,8 @@ def merge_solved(spark, sf_dir):
 )
 def group_first_seen(spark, sf_dir):
     """Documents of a source grouped by language, groups in order of first appearance."""
-    grouped = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).cast("int").alias("n"))
-    return grouped.withColumn("quiz_no", F.row_number().over(Window.partitionBy("source").orderBy("first_doc")))
+    found = questions.first_seen(table(spark, sf_dir, "documents"), ["source"], "lang", "doc_id", F.count(F.lit(1)).cast("int").alias("n"))
+    return found.select("source", "lang", F.col("first_order").alias("first_doc"), "n", F.col("nth").alias("quiz_no"))
 
 
 @query(
@@ -584,9 +603,9 @@ def group_first_seen(spark, sf_dir):
     """
 )
 def carry_forward(spark, sf_dir):
-    over = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(over)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce(heading, F.lit(-1)).alias("heading"))
+    events = table(spark, sf_dir, "events")
+    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return events.select("event_id", "user_id", questions.carried(events, ["user_id"], ["ts", "event_id"], signup, -1).alias("heading"))
 
 
 @query(

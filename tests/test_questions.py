@@ -110,7 +110,7 @@ def test_fold_agrees_with_a_reading_line_by_line(spark):
     texts = ["\n".join(rng.choice(kinds).replace("{}", str(rng.randint(1, 99))) for _ in range(rng.randint(0, 25))) for _ in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     line = F.col("line")
-    option = F.when(line.rlike(q._OPTION), F.struct(F.upper(F.regexp_extract(line, q._OPTION, 1)).alias("key"), F.regexp_extract(line, q._OPTION, 2).alias("text")))
+    option = q.option_of(line)
     facts = q.classify_lines(df, "doc_id", "text").withColumns(
         {"inline": q.inline_options(line), "option": option, "hi": q.inline_options(F.col("head_text")), "ht": F.trim(F.element_at(F.split("head_text", q._MARKER, -1), 1))}
     )
