@@ -30,9 +30,19 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def _runs(space: str) -> str:
+    """Runs of white space that aren't one plain space already, so that most spaces of a text are no match."""
+    return rf"[{space.replace('x20', 'x1F')}][{space}]*|\x20[{space}]+"
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space."""
-    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+    return F.regexp_replace(c, _runs(SPACE), " ")
+
+
+def collapse_in_lines(c: Column) -> Column:
+    """Runs of white space other than line feeds as one space."""
+    return F.regexp_replace(c, _runs(SPACE_NO_LF), " ")
 
 
 def rfind(c: Column, needle: str) -> Column:

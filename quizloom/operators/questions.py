@@ -125,7 +125,9 @@ def classify_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     digit = first.between("0", "9") | ((F.ascii(first) > 127) & first.rlike(r"\p{Nd}"))
     each = each.withColumn("__number", F.when(by_word, F.regexp_extract(c, _HEAD_PREFIX, 1)).when(digit, F.regexp_extract(c, _HEAD_NUMBER, 1)).otherwise(""))
     asks = _holds(F.col("__upper"), "ĐÁP", "ĐA", "ANS", "=>", "→", ">>")
-    each = each.withColumns({"__value": F.col("__number").try_cast("int"), "letter": F.when(asks, _found(c, _ANSWERS))})
+    # a cast that fails costs more than all patterns
+    value = F.when(F.col("__number") != "", F.col("__number").try_cast("int"))
+    each = each.withColumns({"__value": value, "letter": F.when(asks, _found(c, _ANSWERS))})
     prefixed = by_word & (F.col("__number") != "")
     numbered = ~by_word & F.coalesce(F.col("__value").between(1, 999), F.lit(False))
     chapter = ~prefixed & ~numbered & first.isin("C", "B", "P") & (F.length(c) < CHAPTER_UNDER) & c.rlike(_CHAPTER) & ~c.rlike(_OPTION)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizloom.functions.strings import SPACE, SPACE_NO_LF, is_blank, let, lines, rfind, strip
+from quizloom.functions.strings import SPACE, collapse_in_lines, is_blank, let, lines, rfind, strip
 
 MAX_INPUT, MIN_INPUT = 120_000, 100
 REPEATED_UNDER, REPEATED_TIMES = 80, 3
@@ -88,7 +88,7 @@ def repeated_removed(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"[{SPACE_NO_LF}]+", " "), r"\n{4,}", "\n\n\n")
+    return F.regexp_replace(collapse_in_lines(c), r"\n{4,}", "\n\n\n")
 
 
 def smart_truncate(c: Column, limit: int = MAX_INPUT) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quizloom.functions import strings
-from quizloom.operators import quiz_json, serving, snapshots
+from quizloom.operators import layout, quiz_json, serving, snapshots
 from quizloom.operators.snapshots import SnapshotTable
 from quizloom.plans.catalogue import query, table
 from quizloom.sources import files, provider
@@ -226,3 +226,32 @@ def types_by_row(spark, sf_dir):
     v = strings.variant_of(j)
     mixed: DataFrame = table(spark, sf_dir, "events").select("event_id", v.alias("v"))
     return mixed.select("event_id", strings.kind_of(F.col("v"), "$.k").alias("kind"), strings.scalar_of(F.col("v"), "$.k", "long", "string").alias("shown"))
+
+
+@query(
+    """
+    WITH o AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders)
+    SELECT CASE WHEN n BETWEEN 1001 AND 1020 THEN 'by number' WHEN n BETWEEN 1021 AND 1040 THEN 'by cursor' ELSE 'last' END AS how, o_orderkey, o_orderdate
+    FROM o WHERE n BETWEEN 1001 AND 1040 OR n > 20 * ((SELECT count(*) FROM orders) // 20 - 1) AND n <= 20 * ((SELECT count(*) FROM orders) // 20)
+    """
+)
+def seek_pages(spark, sf_dir):
+    """Pages of an ordered copy: the 51st by number, the next by the cursor of its last row, and the last full one."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    copy = layout.OrderedFiles(spark, shared_dir(spark, "ordered"), "o_orderdate", "o_orderkey")
+    copy.write(orders, rows_a_file=500)
+    page = copy.page(51, 20)
+    last = page.orderBy(F.asc("o_orderdate"), F.desc("o_orderkey")).first()
+    parts = {"by number": page, "by cursor": copy.after((last.o_orderdate, last.o_orderkey), 20), "last": copy.page(copy.total() // 20, 20)}
+    named = [df.select(F.lit(how).alias("how"), "o_orderkey", "o_orderdate") for how, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (77, 1000, -1) OR o_custkey = 7")
+def keyed_lookup(spark, sf_dir):
+    """Lookups by the key, and by another column, of a copy laid out for them."""
+    path = shared_dir(spark, "keyed")
+    layout.write_keyed(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, "o_orderkey", ("o_custkey",), rows_a_group=1000)
+    copy = spark.read.parquet(path)
+    found = serving.lookup(copy, o_orderkey=77).unionByName(serving.lookup(copy, o_orderkey=1000)).unionByName(serving.lookup(copy, o_orderkey=-1))
+    return found.unionByName(copy.where("o_custkey = 7")).distinct()
