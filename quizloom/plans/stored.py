@@ -15,7 +15,7 @@ from quizloom.functions import strings
 from quizloom.operators import layout, quiz_json, serving, snapshots
 from quizloom.operators.snapshots import SnapshotTable
 from quizloom.plans.catalogue import query, table
-from quizloom.sources import files, provider
+from quizloom.sources import encodings, files, provider
 from quizloom.sources.replies import ReplyLog
 from quizloom.sources.shared import shared_dir
 from quizloom.streaming import arrivals
@@ -255,3 +255,25 @@ def keyed_lookup(spark, sf_dir):
     copy = spark.read.parquet(path)
     found = serving.lookup(copy, o_orderkey=77).unionByName(serving.lookup(copy, o_orderkey=1000)).unionByName(serving.lookup(copy, o_orderkey=-1))
     return found.unionByName(copy.where("o_custkey = 7")).distinct()
+
+
+_WAYS = ("utf-8", "utf-16-le", "utf-16", "cp1252", "mac_roman")
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded(texts: pd.Series, ways: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(w) for t, w in zip(texts, ways, strict=True)])
+
+
+@query(
+    r"""
+    SELECT doc_id, text, CASE WHEN doc_id % 5 IN (0, 3, 4) AND NOT regexp_matches(text, '[^\x00-\x7F]') THEN 'ascii' ELSE ['utf-8', 'utf-16-le', 'utf-16', 'cp1252', 'mac_roman'][doc_id % 5 + 1] END AS encoding, true AS sure
+    FROM documents WHERE text <> ''
+    """
+)
+def encodings_detected(spark, sf_dir):
+    """Documents written in five encodings and read back."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    way = F.element_at(F.array(*map(F.lit, _WAYS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    found = docs.select("doc_id", _encoded("text", way).alias("content")).select("doc_id", encodings.detected(F.col("content"), encodings.fit(docs)).alias("f"))
+    return found.select("doc_id", "f.text", "f.encoding", (F.col("f.confidence") >= 0.5).alias("sure"))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quizloom.functions.strings import strip
 from quizloom.operators import dml, text
+from quizloom.sources import encodings
 
 TYPES = ("pdf", "docx", "txt")
 MAX_MB = 10
@@ -85,12 +86,15 @@ def _binary_text(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
-def extract(files: DataFrame, max_mb: int = MAX_MB) -> DataFrame:
+def extract(files: DataFrame, max_mb: int = MAX_MB, pairs: dict[str, float] | None = None) -> DataFrame:
     """(path, file_type, length, text, is_valid, error, status) per file.  Text files stay in
-    the JVM; only the zipped and paged formats go through Arrow."""
+    the JVM; only the zipped and paged formats go through Arrow.  With ``pairs``, as
+    :func:`quizloom.sources.encodings.fit` gives them, the encoding of text files is detected, in Arrow tasks too."""
     gated = gate(files, max_mb)
     fine = gated.where("error IS NULL")
-    plain = fine.where("file_type = 'txt'").select("path", "file_type", "length", decode_text(F.col("content")).alias("raw"), "error")
+    content = F.col("content")
+    read = decode_text(content) if pairs is None else encodings.detected(content, pairs)["text"]
+    plain = fine.where("file_type = 'txt'").select("path", "file_type", "length", read.alias("raw"), "error")
     other = fine.where("file_type <> 'txt'").withColumn("x", _binary_text("content", "file_type")).select("path", "file_type", "length", F.col("x.text").alias("raw"), F.col("x.error").alias("error"))
     none = gated.where("error IS NOT NULL").select("path", "file_type", "length", F.lit(None).cast("string").alias("raw"), "error")
     cleaned = plain.unionByName(other).unionByName(none).withColumn("text", text.clean_extracted(text.from_legacy(F.col("raw"))))
