@@ -137,8 +137,26 @@ def classify_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.select(key, "pos", "raw", "line", "letter", number.alias("number"), strip(rest).alias("head_text"), kind.alias("kind"))
 
 
+def _steps(body: Column) -> Column:
+    """A segment's lines as steps: a line that may hold options, if there is one, and the plain lines that follow it, which
+    are put together at once: a question may go on for very many lines."""
+    plain = lambda x: (F.size(x["inline"]) == 0) & x["option"].isNull()
+    marks = F.filter(F.transform(body, lambda x, i: F.when(~plain(x), i)), lambda i: i.isNotNull())
+
+    def step(marks: Column) -> Column:
+        def one(m: Column, k: Column) -> Column:
+            upto = F.coalesce(F.try_element_at(marks, (k + 1).cast("int")), F.size(body))
+            tail = F.slice(body, m + 2, upto - m - 1)
+            lines, raws = F.transform(tail, lambda x: x["line"]), F.transform(tail, lambda x: x["raw"])
+            return F.struct(F.when(m >= 0, F.element_at(body, F.greatest(m, F.lit(0)) + 1)).alias("own"), F.array_join(lines, " ").alias("line"), raws.alias("raws"))
+
+        return F.transform(F.concat(F.array(F.lit(-1)), marks), one)
+
+    return let(marks, step)
+
+
 def _fold(head: Column, number: Column, body: Column) -> Column:
-    """Question text, options and raw option lines of a segment, line by line."""
+    """Question text, options and raw option lines of a segment, step by step."""
     options = inline_options(head)
     start = F.struct(
         F.when(F.size(options) > 0, strip(F.element_at(F.split(head, _MARKER, -1), 1))).otherwise(head).alias("text"),
@@ -146,27 +164,36 @@ def _fold(head: Column, number: Column, body: Column) -> Column:
         F.when(F.size(options) > 0, F.array(head)).otherwise(F.array().cast("array<string>")).alias("raws"),
     )
 
-    def step(s: Column, x: Column) -> Column:
-        inline = (s["text"] != "") & (F.size(x["inline"]) > 0)
-        own = ~inline & (number > 0) & x["option"].isNotNull()
-        more = ~inline & ~own & (number > 0)
+    def more(s: Column, line: Column, raws: Column, use: Column) -> Column:
+        """What goes on with the last option, or the question if it has none."""
         none = F.size(s["options"]) == 0
         last = F.try_element_at(s["options"], F.lit(-1))
         longer = F.concat(
             F.slice(s["options"], F.lit(1), F.greatest(F.size(s["options"]) - 1, F.lit(0))),
-            F.array(F.struct(last["key"].alias("key"), F.concat(last["text"], F.lit(" "), x["line"]).alias("text"))),
+            F.array(F.struct(last["key"].alias("key"), F.concat(last["text"], F.lit(" "), line).alias("text"))),
         )
         return F.struct(
-            F.when(more & none, F.when(s["text"] != "", F.concat(s["text"], F.lit(" "), x["line"])).otherwise(x["line"])).otherwise(s["text"]).alias("text"),
-            F.when(inline, F.concat(s["options"], x["inline"]))
-            .when(own, F.concat(s["options"], F.array(x["option"])))
-            .when(more & ~none, longer)
-            .otherwise(s["options"])
-            .alias("options"),
-            F.when(inline | own | (more & ~none), F.concat(s["raws"], F.array(x["raw"]))).otherwise(s["raws"]).alias("raws"),
+            F.when(use & none, F.when(s["text"] != "", F.concat(s["text"], F.lit(" "), line)).otherwise(line)).otherwise(s["text"]).alias("text"),
+            F.when(use & ~none, longer).otherwise(s["options"]).alias("options"),
+            F.when(use & ~none, F.concat(s["raws"], raws)).otherwise(s["raws"]).alias("raws"),
         )
 
-    return F.aggregate(body, start, step)
+    def line(s: Column, x: Column) -> Column:
+        """A line by itself: options of its own, or one that goes on."""
+        inline = (s["text"] != "") & (F.size(x["inline"]) > 0)
+        own = ~inline & (number > 0) & x["option"].isNotNull()
+        added = F.struct(
+            s["text"].alias("text"),
+            F.concat(s["options"], F.when(inline, x["inline"]).otherwise(F.array(x["option"]))).alias("options"),
+            F.concat(s["raws"], F.array(x["raw"])).alias("raws"),
+        )
+        return F.when(inline | own, added).otherwise(more(s, x["line"], F.array(x["raw"]), number > 0))
+
+    def step(s: Column, x: Column) -> Column:
+        begun = F.when(x["own"].isNotNull(), line(s, x["own"])).otherwise(s)
+        return let(begun, lambda t: more(t, x["line"], x["raws"], (F.size(x["raws"]) > 0) & (number > 0)))
+
+    return F.aggregate(_steps(body), start, step)
 
 
 def _finished(q: Column) -> Column:

@@ -132,6 +132,15 @@ def test_fold_agrees_with_a_reading_line_by_line(spark):
     assert got == keep and len(got) > 50
 
 
+def test_a_question_that_goes_on_for_very_many_lines(spark):
+    n = 100_000
+    more = "\n".join(f"line {i} goes on" for i in range(n))
+    got = parse(spark, f"1. Start\n{more}\nA. x\nB. y\n{more}\nC. z\n2. Next?\nA. p\nB. q")
+    assert len(got) == 2 and got[1][3] == "Next?"
+    joined = more.replace("\n", " ")
+    assert got[0][3] == f"Start {joined}" and got[0][4] == f"A=x|B=y {joined}|C=z"
+
+
 def test_dedup_batches_and_merge(spark):
     df = spark.createDataFrame([(1, 1, "What  is it?"), (1, 2, "what is IT?"), (1, 3, "what is it")], "doc_id long, `order` int, question_text string")
     assert [r.order for r in q.deduplicate(df).orderBy("order").collect()] == [1, 3]
