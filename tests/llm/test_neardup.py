@@ -126,7 +126,7 @@ def test_work_is_linear_in_repeated_rows(spark, monkeypatch):
     base = [f"w{i}" for i in range(60)]
     texts = {1: " ".join(base), 2: " ".join([*base[:-2], "x", "y"]), 3: " ".join(f"v{i}" for i in range(50))}
     inner, sums = neardup.written, []
-    for n in (20, 320):
+    for n in (20, 160):
         made = []
 
         def counting(df, made=made):
@@ -140,6 +140,35 @@ def test_work_is_linear_in_repeated_rows(spark, monkeypatch):
         assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1)] * n + [(2, 1)] * n + [(3, 3)] * n
         assert made[0] == 3 * n
         sums.append(sum(made[1:]))
-        monkeypatch.setattr(neardup, "written", inner)
-        assert sorted(r.doc_id for r in neardup.one_of_each(df).collect()) == [1, 3]
+    monkeypatch.setattr(neardup, "written", inner)
+    assert sorted(r.doc_id for r in neardup.one_of_each(df).collect()) == [1, 3]
     assert sums[0] == sums[1]
+
+
+def family(n):
+    """Forms of 70 words with 10 fields of 12 possible values each: alike, but no two enough."""
+    rng = random.Random(n)
+    out = set()
+    while len(out) < n:
+        w = [f"f{i}" for i in range(70)]
+        for k in range(10):
+            w[7 * k + 3] = f"v{k}x{rng.randrange(12)}"
+        out.add(" ".join(w))
+    return sorted(out)
+
+
+def test_a_family_without_links_has_few_candidates(spark, monkeypatch):
+    """Its members are met by their rare shingles, but few pairs are compared by their sets."""
+    inner, compared = neardup._left_open, []
+
+    def counting(*args):
+        pairs = neardup.written(inner(*args))
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "_left_open", counting)
+    rows = list(enumerate(family(500)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    want = brute(rows, 2)
+    assert got == want and len({c for _, c in want.values()}) > 450
+    assert not compared or compared[-1] <= 1000

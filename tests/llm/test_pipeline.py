@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert suffixes.GRAM < 100
 
 
