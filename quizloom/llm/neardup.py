@@ -22,12 +22,12 @@ rounds settle most buckets; the next centres are of the bucket's smallest compon
 What stays after them is settled exactly, whatever its amount: the documents that remain
 are joined by the prefixes of their full sets.  Shingles are ordered from rare to frequent,
 those that only one component holds before all others.  Two sets that are similar enough
-share a shingle of their prefixes, and as many of them that what follows can make up for the
-rest of their overlap: pairs are counted by their shared shingles, as ids, and only those with
-enough are confirmed on their sets.  Sets are first compared by profile (shingle, size,
-shingles that follow the prefix), then by component, and only then by document, so a family that
-shares its frequent shingles isn't paired; what remains of a hot profile is joined in a grid
-of parts.
+share a shingle so early that what follows it can still hold their overlap, so only such
+pairs are looked at.  Sets are first compared by profile (shingle, size, how many shingles
+follow), then by component, and only then by document, so a family that shares its
+frequent shingles isn't paired; what remains of a hot profile is joined in a grid of parts.
+Of these pairs those are confirmed on their sets that share enough of their prefixes:
+what follows the prefixes can't make up for more.
 
 With 32 bands of 4 rows two sets at similarity 0.8 share no bucket with probability
 (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -231,9 +231,8 @@ def _still_open(members: DataFrame, tested: DataFrame, merged: DataFrame, percen
 
 
 def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, component, n, x, rest) of members (doc_id, component): the shingles x among which is the
-    first that a set of n shares with a similar set of another component; ``rest`` shingles that other
-    components hold too follow them."""
+    """(doc_id, component, n, held, prefix) of members (doc_id, component): among the shingles of the prefix is the first
+    that a set of n shares with a similar set of another component; ``held`` of the n other components have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,36 +248,38 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ordered = shingles.join(common, "x").groupBy("doc_id", "component", "which", "n").agg(F.sort_array(F.collect_set(F.struct("f", "x"))).alias("xs"))
     # of n shingles the first n - ceil(n * percent / 100) + 1; those of one component alone come before xs
     longest = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1 - (F.col("n") - F.size("xs"))
-    rest = F.greatest(F.size("xs") - longest, F.lit(0)).cast("long")
-    early = ordered.where(longest > 0).select("doc_id", "component", "n", rest.alias("rest"), F.explode(F.slice("xs", 1, longest.cast("int"))).alias("s"))
-    return written(early.select("doc_id", "component", "n", F.col("s.x").alias("x"), "rest"))
+    prefix = F.transform(F.slice("xs", 1, longest.cast("int")), lambda s: s["x"])
+    return written(ordered.where(longest > 0).select("doc_id", "component", "n", F.size("xs").cast("long").alias("held"), prefix.alias("prefix")))
 
 
 def _left_open(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of members (doc_id, component) in different components that can be similar enough.
-
-    What two sets share is in both prefixes, or behind the prefix that ends first: so they share no more than they
-    share in their prefixes and the longer rest."""
-    prefixes = _prefixes(members, sets, percent)
-    groups = written(prefixes.select("x", "n", "rest", "component").distinct())
-    profiles = written(groups.groupBy("x", "n", "rest").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")))
+    """All pairs (a, b) of members (doc_id, component) in different components that can be similar enough."""
+    prefixed = _prefixes(members, sets, percent)
+    early = prefixed.select("doc_id", "component", "n", "held", F.posexplode("prefix").alias("at", "x"))
+    # r of the shingles follow, x included
+    prefixes = written(early.select("doc_id", "component", "n", "x", (F.col("held") - F.col("at")).alias("r")))
+    groups = written(prefixes.select("x", "n", "r", "component").distinct())
+    profiles = written(groups.groupBy("x", "n", "r").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")))
     named = lambda df, side: df.select("x", *(F.col(c).alias(c + side) for c in df.columns if c != "x"))
     met = named(profiles, "_a").join(named(profiles, "_b"), "x").where(
-        f"(n_a < n_b OR n_a = n_b AND rest_a <= rest_b) AND least(lo_a, lo_b) <> greatest(hi_a, hi_b) AND 100 * n_a >= {percent} * n_b"
+        "(n_a < n_b OR n_a = n_b AND r_a <= r_b) AND least(lo_a, lo_b) <> greatest(hi_a, hi_b)"
+        f" AND 100 * n_a >= {percent} * n_b AND {100 + percent} * least(r_a, r_b) >= {percent} * (n_a + n_b)"
     )
-    met = written(met.select("x", "n_a", "rest_a", "n_b", "rest_b", F.ceil(F.sqrt(F.col("k_a").cast("double") * F.col("k_b")) / PART).cast("long").alias("parts")))
+    met = written(met.select("x", "n_a", "r_a", "n_b", "r_b", F.ceil(F.sqrt(F.col("k_a").cast("double") * F.col("k_b")) / PART).cast("long").alias("parts")))
     # a grid of parts: a component is in one row of it as a, in one column as b
     part = lambda side: F.pmod(F.xxhash64("component" + side), "parts")
     all_parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    on = ["x", "n_a", "rest_a", "n_b", "rest_b"]
-    left = named(groups, "_a").join(met, ["x", "n_a", "rest_a"]).select(*on, "component_a", part("_a").alias("p"), all_parts.alias("q"))
-    right = named(groups, "_b").join(met, ["x", "n_b", "rest_b"]).select(*on, "component_b", part("_b").alias("q"), all_parts.alias("p"))
-    differ = "component_a <> component_b AND (n_a <> n_b OR rest_a <> rest_b OR component_a < component_b)"
+    on = ["x", "n_a", "r_a", "n_b", "r_b"]
+    left = named(groups, "_a").join(met, ["x", "n_a", "r_a"]).select(*on, "component_a", part("_a").alias("p"), all_parts.alias("q"))
+    right = named(groups, "_b").join(met, ["x", "n_b", "r_b"]).select(*on, "component_b", part("_b").alias("q"), all_parts.alias("p"))
+    differ = "component_a <> component_b AND (n_a <> n_b OR r_a <> r_b OR component_a < component_b)"
     apart = left.join(right, [*on, "p", "q"]).where(differ)
-    met_in = apart.join(named(prefixes, "_a"), ["x", "n_a", "rest_a", "component_a"]).join(named(prefixes, "_b"), ["x", "n_b", "rest_b", "component_b"])
-    lack = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent} - greatest(rest_a, rest_b)")
-    pairs = met_in.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"), lack.alias("lack"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("lack").alias("lack")).where("shared >= lack").select("a", "b")
+    pairs = apart.join(named(prefixes, "_a"), ["x", "n_a", "r_a", "component_a"]).join(named(prefixes, "_b"), ["x", "n_b", "r_b", "component_b"])
+    pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    # what two sets share is in both prefixes, or behind the prefix that ends first
+    side = lambda s: prefixed.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("prefix").alias(f"p{s}"), (F.col("held") - F.size("prefix")).alias(f"rest{s}"))
+    enough = F.size(F.array_intersect("pa", "pb")) + F.greatest("resta", "restb")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * enough >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
