@@ -238,3 +238,17 @@ def test_replace_swaps_whole_versions(spark, tmp_path):
 def test_schemas_hold_rows(spark):
     for s in schemas.COLLECTIONS.values():
         assert spark.createDataFrame([], s).schema == s
+
+
+def test_discovery_and_dropping_all(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS shelf LOCATION '{tmp_path}/shelf'")
+    for name in ("quizzes", "users"):
+        spark.range(3).write.saveAsTable(f"shelf.{name}")
+    found = {(r.database, r.table) for r in files.discover(spark).collect()}
+    assert {("shelf", "quizzes"), ("shelf", "users")} <= found
+    with pytest.raises(ValueError, match="confirm"):
+        dml.drop_all(spark, "shelf", "shelve")
+    assert spark.table("shelf.users").count() == 3
+    dml.drop_all(spark, "shelf", "shelf")
+    assert not any(r.database == "shelf" for r in files.discover(spark).collect())
+    spark.sql("DROP DATABASE shelf")
