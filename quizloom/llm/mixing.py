@@ -18,7 +18,8 @@ block is taken at most ``cap`` times and a document at most ``cap`` times its si
 Scale: sizes are summed to (source, chunk) before any window; chunks hold about
 ``chunk_docs`` documents of a source however large it is, so a source with a third of all
 rows is split over many tasks.  Sums over chunks and over shards are prefix sums of two
-levels.  Slots are made from shards in an explicit number of partitions.  The text is
+levels.  Targets and the line of quotas have a row per source and are windows without partitions: one
+task holds all sources, which is meant for up to a million of them.  Slots are made from shards in an explicit number of partitions.  The text is
 not shuffled by :func:`mix_plan`.
 
 Defined results: a null text has no words and takes none; a null source is a source of its
