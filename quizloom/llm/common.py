@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it Spark removes a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _held: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("held", default=None)
 
 
@@ -25,11 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quizloom-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files; the session's setting is as before at the end."""
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, and safe from lost executors."""
+    """The rows of ``df`` as a table in the shared folder: computed once, and safe from lost executors.
+    What was shuffled on the way is removed, since only this table is read again."""
     path = shared_dir(df.sparkSession)
-    # Snappy keeps direct buffers as large as a page, which a few long texts fill
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        # Snappy keeps direct buffers as large as a page, which a few long texts fill
+        df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     if (held := _held.get()) is not None:

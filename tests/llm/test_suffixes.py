@@ -1,8 +1,10 @@
+import glob
 import random
+import time
 
 import pytest
 
-from quizloom.llm import suffixes
+from quizloom.llm import common, suffixes
 
 from .brute import repeats
 
@@ -222,3 +224,18 @@ def test_the_least_key_is_not_null(spark):
     # the null key comes first; of the two texts of one key either is before the other
     n = len(text)
     assert got[None, n] == 0 and got[low, n] == n and got[3, n] == n and got[low, n + 6] == n
+
+
+def test_what_a_written_table_shuffled_is_removed(spark):
+    """When a table is written its shuffle files go at once, and the session's setting is as before."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    left = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{i} {text}" if i % 2 else f"{i}") for i in range(40)], "doc_id long, text string").repartition(3)
+    before, setting = left(), spark.conf.get(common.CLEANED, None)
+    found = suffixes.removals(suffixes.keyed(docs, "doc_id", "text")[1])
+    until = time.time() + 20
+    while left() - before and time.time() < until:  # executors are told without waiting
+        time.sleep(0.2)
+    assert not left() - before and spark.conf.get(common.CLEANED, None) == setting
+    assert found.count() == 19
