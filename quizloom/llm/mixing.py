@@ -109,7 +109,7 @@ def _packed(docs: DataFrame, key: str, block_words: int, chunk_docs: int) -> tup
     chunks = max(1, -(-n // chunk_docs))
     sized = docs.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), key, "size"), F.lit(chunks)))
     sums = sized.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
-    sums = _summed_before(sums, "source", "chunk", "chunk_size", "chunk_start")
+    sums = written(_summed_before(sums, "source", "chunk", "chunk_size", "chunk_start"))
     in_chunk = Window.partitionBy("source", "chunk").orderBy(F.xxhash64(F.lit(12), key), key, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(in_chunk), F.lit(0)))
     s = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "chunk_start")
@@ -163,7 +163,7 @@ def _slots(quotas: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFr
     line = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     surplus, lack = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
     over = written(over.select("rank", "drawn", surplus.alias("surplus"), lack.alias("lack"), F.coalesce(F.sum(surplus).over(line), F.lit(0)).alias("passed"), F.coalesce(F.sum(lack).over(line), F.lit(0)).alias("asked")))
-    made = counted.withColumn("offset", within).join(over.select("rank", "drawn", "surplus", "passed"), "rank")
+    made = written(counted.withColumn("offset", within).join(over.select("rank", "drawn", "surplus", "passed"), "rank"))
     # an explicit number, so that a few rows that make many slots stay in many tasks
     made = made.repartition(-(-slots // (shard_slots * SHARDS_A_TASK)) or 1, "shard")
     made = made.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("nth", F.col("first") + F.col("i"))
@@ -205,14 +205,15 @@ def mix_plan(
 ) -> DataFrame:
     """One row per document: (key, source, size, source_size, target, taken, parts), where
     ``parts`` lists (slot, first, words): the document's words that each slot of the mix takes."""
-    # texts are read once; what follows works on a few bytes per document
+    # texts are read once; what follows works on a few bytes per document, and what several branches
+    # read is written: the driver then never holds a plan that has all of them many times over
     sized = written(docs.select(F.col(key), F.col("source"), word_count(F.col(text)).alias("size")))
     placed, sizes = _packed(sized, key, block_words, chunk_docs)
-    aims = targets(sizes, weights, cap)
+    aims = written(targets(sizes, weights, cap))
     taken = block_draws(aims, block_words, cap, shard_slots, seed).groupBy("rank", "block").agg(F.collect_list("slot").alias("slots"))  # at most cap slots each
-    taken = taken.hint("merge")  # its estimate doesn't see the rows made from quotas, and it grows with the data
+    taken = written(taken).hint("merge")  # its estimate doesn't see the rows made from quotas, and it grows with the data
     small = aims.select(F.col("source").alias("s"), "source_size", "target", "rank")
-    placed = placed.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("row", F.monotonically_increasing_id())
+    placed = written(placed.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     spread = placed.where("size > 0").select(
         key,
         "source",

@@ -53,6 +53,15 @@ def test_many_equal_rows_are_joined_by_number(spark, monkeypatch):
     assert plans.count() == 230 and not any("array<struct<o0" in str(t.schema) for t in kept)
 
 
+def test_no_plan_of_the_mix_holds_its_steps_many_times(spark, docs, monkeypatch):
+    """What several branches read is written, so the driver plans a few windows and shuffles at a time."""
+    seen, inner = [], mixing.written
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(mixing, "written", lambda d: seen.append(plan(d)) or inner(d))
+    seen.append(plan(mixing.mixture(docs)))
+    assert max(p.count("Window [") for p in seen) <= 8 and max(p.count("Join ") for p in seen) <= 3
+
+
 def test_targets_share_the_excess(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 400, "é": 1, "z": 0}
     df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
