@@ -46,3 +46,14 @@ def test_uploads_with_detection(spark, model):
     df = spark.createDataFrame(rows, "path string, content binary").withColumn("length", F.coalesce(F.length("content"), F.lit(1)).cast("long"))
     got = {r.path: r.text for r in files.extract(df, pairs=model).collect()}
     assert got.pop("none.txt") is None and set(got.values()) == {text.strip()}
+
+
+def test_letters_are_judged_by_what_is_around_them(spark):
+    """Single letters whose pairs are likelier in another encoding, and a window that a text repeats."""
+    texts = ["Allez, ément; ément! ément? ément: ément", "Mot. Èment. Èment. Èment.", "Le père, le frère, la mère, très chère, après."] * 5
+    texts += ["Der Bär kam. Sie schrieb beäver dazu.", "Le pré, l'été. Èonoi. Un éon, le éonide."]
+    model = encodings.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert encodings.judge("Sie schrieb beäver dazu.".encode("mac_roman"), model)[::2] == ("mac_roman", "Sie schrieb beäver dazu.")
+    assert encodings.judge("Un mot. Èonoi.".encode("mac_roman"), model)[::2] == ("mac_roman", "Un mot. Èonoi.")
+    repeated = "Allez, ément; ément! ément? ément: ément" + ". ément" * 30
+    assert encodings.judge(repeated.encode("cp1252"), model)[::2] == ("cp1252", repeated)
