@@ -34,10 +34,12 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)\z", 1))
 
 
-def gate(files: DataFrame, max_mb: int = MAX_MB) -> DataFrame:
-    """Adds ``file_type`` and ``error``: unsupported_type, empty_file, too_large or null."""
+def gate(files: DataFrame, max_mb: int | None = MAX_MB) -> DataFrame:
+    """Adds ``file_type`` and ``error``: unsupported_type, empty_file, too_large (never, if ``max_mb`` is None) or null."""
     n = F.col("length")
-    error = F.when(~extension(F.col("path")).isin(*TYPES), "unsupported_type").when(n == 0, "empty_file").when(n > max_mb * 1024 * 1024, "too_large")
+    error = F.when(~extension(F.col("path")).isin(*TYPES), "unsupported_type").when(n == 0, "empty_file")
+    if max_mb is not None:
+        error = error.when(n > max_mb * 1024 * 1024, "too_large")
     return files.withColumn("file_type", extension(F.col("path"))).withColumn("error", error)
 
 
@@ -49,6 +51,14 @@ def decode_text(content: Column) -> Column:
     return F.coalesce(utf16, bom, F.when(valid, content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
+def encode_text(c: Column, mark: Column | None = None) -> Column:
+    """The bytes of a text file that reads back as this text: UTF-8, after a byte order mark where ``mark`` says so and
+    where the text is empty (a file without bytes is refused) or begins with one (it would be taken for the file's)."""
+    needed = (c == "") | c.startswith("\ufeff")
+    marked = needed if mark is None else needed | mark
+    return F.concat(F.when(marked, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit(""))), F.encode(c, "UTF-8"))
+
+
 def docx_text(data: bytes) -> str:
     """Paragraphs, then table rows with their cells joined by " | "."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -86,7 +96,7 @@ def _binary_text(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
-def extract(files: DataFrame, max_mb: int = MAX_MB, pairs: dict[str, float] | None = None) -> DataFrame:
+def extract(files: DataFrame, max_mb: int | None = MAX_MB, pairs: dict[str, float] | None = None) -> DataFrame:
     """(path, file_type, length, text, is_valid, error, status) per file.  Text files stay in
     the JVM; only the zipped and paged formats go through Arrow.  With ``pairs``, as
     :func:`quizloom.sources.encodings.fit` gives them, the encoding of text files is detected, in Arrow tasks too."""

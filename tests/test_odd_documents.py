@@ -20,3 +20,10 @@ def test_text_preprocess_keeps_long_texts_whole(spark, tmp_path):
     long = "\n\n".join(f"Paragraph {i} of a  long text." for i in range(6000))
     assert len(long) > 150_000
     assert differing(spark, tmp_path, "text_preprocess", [long, "x" * 120_001, "a short one"]) == ([], [])
+
+
+ODD = ["", "x", "", "\ufeff" + "a text that begins with a byte order mark " * 4, "\ufeffshort", "y" * 11_000_000, " \n ", "plain " * 30]
+
+
+def test_upload_text_of_empty_marked_and_very_large_texts(spark, tmp_path):
+    assert differing(spark, tmp_path, "upload_text", ODD) == ([], [])
