@@ -26,7 +26,7 @@ def watch(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFr
     return spark.readStream.format("binaryFile").schema(UPLOAD).option("maxFilesPerTrigger", files_a_batch).load(folder)
 
 
-def store_batch(batch: DataFrame, number: int, name: str, documents: SnapshotTable, states: SnapshotTable, max_mb: int = files.MAX_MB) -> None:
+def store_batch(batch: DataFrame, number: int, name: str, documents: SnapshotTable, states: SnapshotTable, max_mb: int | None = files.MAX_MB) -> None:
     """One micro-batch; may be called again with the same rows and number after a failure."""
     at = F.lit(number).cast("long").alias("batch")
 
@@ -41,7 +41,7 @@ def store_batch(batch: DataFrame, number: int, name: str, documents: SnapshotTab
     record(documents.read(version).where(F.col("batch") == number), 1, F.col("status"), F.col("error"))
 
 
-def arrivals(source: DataFrame, documents: SnapshotTable, states: SnapshotTable, checkpoint: str, max_mb: int = files.MAX_MB, name: str | None = None) -> StreamingQuery:
+def arrivals(source: DataFrame, documents: SnapshotTable, states: SnapshotTable, checkpoint: str, max_mb: int | None = files.MAX_MB, name: str | None = None) -> StreamingQuery:
     """Starts the stream over what has arrived: it ends when that is stored, and is started again for what comes
     later.  ``checkpoint`` belongs to these two tables; ``name`` must stay the same with it."""
     known = name or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]

@@ -27,3 +27,7 @@ ODD = ["", "x", "", "\ufeff" + "a text that begins with a byte order mark " * 4,
 
 def test_upload_text_of_empty_marked_and_very_large_texts(spark, tmp_path):
     assert differing(spark, tmp_path, "upload_text", ODD) == ([], [])
+
+
+def test_arrivals_of_empty_marked_and_very_large_texts(spark, tmp_path):
+    assert differing(spark, tmp_path, "arrivals_stored", ODD) == ([], [])
