@@ -22,6 +22,9 @@ MAX_MB = 10
 HAS_PDF = importlib.util.find_spec("fitz") is not None
 # Fixed value: the namespace of word-processing documents.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_P, _ROW, _CELL = f"{_W}p", f"{_W}tbl/{_W}tr", f"{_W}tc"
+# What is text in them: an element's own, or what it stands for.
+_MARKS = {f"{_W}t": "", f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -63,14 +66,13 @@ def docx_text(data: bytes) -> str:
     """Paragraphs, then table rows with their cells joined by " | "."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
 
     def words(e: ElementTree.Element) -> str:
-        return "".join(marks.get(t.tag, t.text or "") for t in e.iter() if t.tag in marks or t.tag == f"{_W}t")
+        return "".join([_MARKS[t.tag] or t.text or "" for t in e.iter() if t.tag in _MARKS])
 
-    parts = [words(p).strip() for p in body.findall(f"{_W}p")]
-    for row in body.findall(f"{_W}tbl/{_W}tr"):
-        cells = ["\n".join(words(p) for p in c.findall(f"{_W}p")).strip() for c in row.findall(f"{_W}tc")]
+    parts = [words(p).strip() for p in body.findall(_P)]
+    for row in body.findall(_ROW):
+        cells = ["\n".join(words(p) for p in c.findall(_P)).strip() for c in row.findall(_CELL)]
         parts.append(" | ".join(c for c in cells if c))
     return "\n".join(p for p in parts if p)
 
@@ -89,6 +91,9 @@ def pdf_text(data: bytes) -> str:
 def _binary_text(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     rows: list[tuple[str | None, str | None]] = []
     for data, k in zip(content, kind, strict=True):
+        if data is None:  # refused already
+            rows.append((None, None))
+            continue
         try:
             rows.append(({"docx": docx_text, "pdf": pdf_text}[k](data), None))
         except Exception as e:  # a broken file is a row with an error, not a broken job
@@ -100,14 +105,14 @@ def extract(files: DataFrame, max_mb: int | None = MAX_MB, pairs: dict[str, floa
     """(path, file_type, length, text, is_valid, error, status) per file.  Text files stay in
     the JVM; only the zipped and paged formats go through Arrow.  With ``pairs``, as
     :func:`quizloom.sources.encodings.fit` gives them, the encoding of text files is detected, in Arrow tasks too."""
+    # the two parts are told by name, so that each file's content is made and read in one of them only
     gated = gate(files, max_mb)
-    fine = gated.where("error IS NULL")
-    content = F.col("content")
+    zipped = F.col("file_type").isin("docx", "pdf")
+    content = F.when(F.col("error").isNull(), F.col("content"))
     read = decode_text(content) if pairs is None else encodings.detected(content, pairs)["text"]
-    plain = fine.where("file_type = 'txt'").select("path", "file_type", "length", read.alias("raw"), "error")
-    other = fine.where("file_type <> 'txt'").withColumn("x", _binary_text("content", "file_type")).select("path", "file_type", "length", F.col("x.text").alias("raw"), F.col("x.error").alias("error"))
-    none = gated.where("error IS NOT NULL").select("path", "file_type", "length", F.lit(None).cast("string").alias("raw"), "error")
-    cleaned = plain.unionByName(other).unionByName(none).withColumn("text", text.clean_extracted(text.from_legacy(F.col("raw"))))
+    plain = gated.where(~zipped).select("path", "file_type", "length", read.alias("raw"), "error")
+    other = gated.where(zipped).withColumn("x", _binary_text(content, "file_type")).select("path", "file_type", "length", F.col("x.text").alias("raw"), F.coalesce("error", "x.error").alias("error"))
+    cleaned = plain.unionByName(other).withColumn("text", text.clean_extracted(text.from_legacy(F.col("raw"))))
     valid = text.validity(F.col("text"))
     error = F.coalesce("error", F.when(~valid["is_valid"], valid["reason"]))
     out = cleaned.withColumn("is_valid", F.col("error").isNull() & valid["is_valid"]).withColumn("error", error)

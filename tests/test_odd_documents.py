@@ -1,8 +1,10 @@
 """Queries against their SQL on documents that the small tables lack."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from quizloom.plans import catalogue, stored  # noqa: F401 (adds its own queries)
+from quizloom.sources import files
 
 
 def differing(spark, folder, name, texts):
@@ -31,3 +33,21 @@ def test_upload_text_of_empty_marked_and_very_large_texts(spark, tmp_path):
 
 def test_arrivals_of_empty_marked_and_very_large_texts(spark, tmp_path):
     assert differing(spark, tmp_path, "arrivals_stored", ODD) == ([], [])
+
+
+def test_upload_docx_of_any_size(spark, tmp_path):
+    assert differing(spark, tmp_path, "upload_docx", ["", "a\n\n <b> & c \nlast", "y" * 11_000_000, "x\n"]) == ([], [])
+
+
+def test_each_file_is_made_and_read_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def content(text):
+        made.add(1)
+        return text.encode()
+
+    names = ["a.txt", "b.docx", "c.bin", "d.pdf", "e.txt", "f.docx"]
+    df = spark.createDataFrame([(n, "no zip") for n in names], "path string, text string").select("path", content("text").alias("content"))
+    got = files.extract(df.withColumn("length", F.length("content").cast("long"))).select("path", "text").collect()
+    assert sorted(r.path for r in got) == names and made.value == len(names)
