@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 from quizloom.functions.strings import strip
 from quizloom.operators import dml, text
 from quizloom.sources import encodings
+from quizloom.sources.shared import rows_a_batch
 
 TYPES = ("pdf", "docx", "txt")
 MAX_MB = 10
+ROWS_A_BATCH = 200
 HAS_PDF = importlib.util.find_spec("fitz") is not None
 # Fixed value: the namespace of word-processing documents.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -106,7 +108,7 @@ def extract(files: DataFrame, max_mb: int | None = MAX_MB, pairs: dict[str, floa
     the JVM; only the zipped and paged formats go through Arrow.  With ``pairs``, as
     :func:`quizloom.sources.encodings.fit` gives them, the encoding of text files is detected, in Arrow tasks too."""
     # the two parts are told by name, so that each file's content is made and read in one of them only
-    gated = gate(files, max_mb)
+    gated = gate(rows_a_batch(files, ROWS_A_BATCH), max_mb)
     zipped = F.col("file_type").isin("docx", "pdf")
     content = F.when(F.col("error").isNull(), F.col("content"))
     read = decode_text(content) if pairs is None else encodings.detected(content, pairs)["text"]

@@ -28,6 +28,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rows_a_batch(df: DataFrame, n: int) -> DataFrame:
+    """Sets how many rows Spark puts into an Arrow batch, which is held whole on both sides of a Python function;
+    whole files are long, so the default of 10,000 may be more than memory allows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+    return df
+
+
 class Folder:
     """Small files under a path, on any file system that Spark reaches."""
 

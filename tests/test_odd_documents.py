@@ -51,3 +51,15 @@ def test_each_file_is_made_and_read_once(spark):
     df = spark.createDataFrame([(n, "no zip") for n in names], "path string, text string").select("path", content("text").alias("content"))
     got = files.extract(df.withColumn("length", F.length("content").cast("long"))).select("path", "text").collect()
     assert sorted(r.path for r in got) == names and made.value == len(names)
+
+
+def test_batches_of_files_are_small(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+    @F.pandas_udf("long")
+    def rows(path):
+        return path.map(lambda _: len(path))
+
+    df = spark.range(1000).coalesce(1).select(F.concat(F.col("id").cast("string"), F.lit(".docx")).alias("path"), F.lit(b"x").alias("content"), F.lit(1).cast("long").alias("length"))
+    assert files.extract(df).count() == 1000
+    assert df.select(rows("path").alias("n")).agg(F.max("n")).first()[0] <= 200
