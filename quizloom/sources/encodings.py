@@ -46,9 +46,20 @@ def fit(docs: DataFrame, text: str = "text", most: int = MOST_PAIRS, most_window
     counted = written(wide.select("n", F.explode(parts).alias("k")).where("k IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n")))
     model = {}
     for length in (2, 3, 5, 7):
-        rows = counted.where(F.length("k") == length).orderBy(F.desc("n"), "k").limit(most if length == 2 else most_windows).collect()
-        total = sum(r.n for r in rows) or 1
-        model |= {r.k: math.log(r.n / total) for r in rows}
+        own = counted.where(F.length("k") == length)
+        # the least count of which, with all greater ones, no more windows have it than may go to the tasks
+        left, least = most if length == 2 else most_windows, None
+        for r in own.groupBy("n").agg(F.count(F.lit(1)).alias("windows")).orderBy(F.desc("n")).collect():
+            left -= r.windows
+            if left < 0:
+                break
+            least = r.n
+        found = own.where(F.col("n") >= least).toArrow() if least is not None else None
+        if found is not None:
+            counts = found["n"].to_pylist()
+            total = sum(counts)
+            logs = {n: math.log(n / total) for n in set(counts)}
+            model.update((k, logs[n]) for k, n in zip(found["k"].to_pylist(), counts, strict=True))
     return model
 
 
@@ -63,8 +74,8 @@ class Judge:
     """Judges files by a model that :func:`fit` made."""
 
     def __init__(self, model: dict[str, float]):
-        self.model, self.seen = {k: math.exp(x) for k, x in model.items()}, {}
-        self.rare = {n: min((x for k, x in self.model.items() if len(k) == n), default=1.0) for n in (2, 3, 5, 7)}
+        self.model, self.seen = model, {}
+        self.rare = {n: math.exp(min((x for k, x in model.items() if len(k) == n), default=0.0)) for n in (2, 3, 5, 7)}
 
     def __call__(self, data: bytes) -> tuple[str, float, str]:
         """(encoding, confidence, text)."""
@@ -99,7 +110,7 @@ class Judge:
         if window in self.seen:
             return self.seen[window]
         texts = [_strict(window, e) for e in SINGLE_BYTE]
-        known = lambda k: self.model.get(k, 0.0)
+        known = lambda k: math.exp(self.model[k]) if k in self.model else 0.0
         floor = self.rare[2] / 100
         weights = {t[3]: (known(t[2:4]) + floor) * (known(t[3:5]) + floor) for t in texts if t}
         shares = [weights[t[3]] / sum(weights.values()) if t else 0.0 for t in texts]
